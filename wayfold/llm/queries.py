@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op10_quality import op10_quality_scores
 from .op5_media import op5_media_fingerprints
 from .op6_mixture import op6_mix_sources
+from .op7_simhash import op7_simhash_components
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_media": lambda s, d: op5_media_fingerprints(docs(s, d)),
         "op6_mixture": lambda s, d: op6_mix_sources(docs(s, d)),
+        "op7_simhash": lambda s, d: op7_simhash_components(docs(s, d)),
+        "op10_quality": lambda s, d: op10_quality_scores(docs(s, d), table(s, d, "labels")),
     }
 
 
