@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op10_quality import op10_quality_scores
+from .op1_pii import op1_pii_spans
+from .op2_decontaminate import op2_benchmark_leaks
 from .op5_media import op5_media_fingerprints
 from .op6_mixture import op6_mix_sources
 from .op7_simhash import op7_simhash_components
@@ -20,6 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     docs = lambda s, d: table(s, d, "documents")
     return {
+        "op1_pii": lambda s, d: op1_pii_spans(docs(s, d)),
+        "op2_decontaminate": lambda s, d: op2_benchmark_leaks(docs(s, d), table(s, d, "benchmark")),
         "op5_media": lambda s, d: op5_media_fingerprints(docs(s, d)),
         "op6_mixture": lambda s, d: op6_mix_sources(docs(s, d)),
         "op7_simhash": lambda s, d: op7_simhash_components(docs(s, d)),

@@ -18,6 +18,11 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+_SMALL = np.arange(0x800)
+for _c in range(0x80, 0x800):
+    if len(_l := chr(_c).lower()) == 1 and 0x80 <= ord(_l) < 0x800:
+        _SMALL[_c] = ord(_l)
+
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -86,6 +91,15 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
         row = end
 
 
+def lower_letters(data: np.ndarray) -> np.ndarray:
+    """Lower case for one- and two-byte code points (Latin, Greek, Cyrillic, …); lengths stay."""
+    out = LOWER[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0))
+    code = _SMALL[((data[lead] & 0x1F).astype(np.int64) << 6) | (data[lead + 1] & 0x3F)]
+    out[lead], out[lead + 1] = 0xC0 | code >> 6, 0x80 | code & 0x3F
+    return out
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of true, broken at text borders."""
     if not len(inside):
