@@ -154,7 +154,7 @@ def labelled_table(rows: int = 700, seed: int = 5) -> list[tuple[str, list[int]]
     hexes = lambda n: "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, n))
 
     def plain():
-        w = letters(rng.integers(1, 13))
+        w = letters(rng.integers(1, 13 if rng.random() < 0.7 else 40))
         w = [w, w, w, w.capitalize(), w.upper()][rng.integers(0, 5)]
         w = ["é" + w, w][int(rng.random() < 0.9)]
         return w + ["", "", "", "", ",", ".", "!!", "%%%", "###", "$$$", "&&&", "-" + w, ":", ")"][rng.integers(0, 14)]
