@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from .op2_decontaminate import op2_benchmark_leaks
 from .op5_media import op5_media_fingerprints
 from .op6_mixture import op6_mix_sources
 from .op7_simhash import op7_simhash_components
+from .op9_licenses import op9_license_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_media": lambda s, d: op5_media_fingerprints(docs(s, d)),
         "op6_mixture": lambda s, d: op6_mix_sources(docs(s, d)),
         "op7_simhash": lambda s, d: op7_simhash_components(docs(s, d)),
+        "op9_licenses": lambda s, d: op9_license_scan(docs(s, d)),
         "op10_quality": lambda s, d: op10_quality_scores(docs(s, d), table(s, d, "labels")),
     }
 
