@@ -26,6 +26,7 @@ def test_base_and_rules(spark):
         assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
     assert "cc-by-nc-4.0" in got[0].labels.split(",") and "cc-by-4.0" not in got[0].labels
     assert got[3].labels == "gpl,gpl-3.0,licensed" and "mit" in got[4].labels.split(",") and "apache-2.0" in got[5].labels.split(",")
+    assert got[10].score == got[7].score == got[8].score == 0 and got[4].score > 0.9
     assert got[15].labels == "spdx-mit" and got[10].labels == ""
     assert op9_license_scan(df.limit(0)).count() == 0
 

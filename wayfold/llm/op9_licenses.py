@@ -166,5 +166,5 @@ def op9_license_scan(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", n_base.alias("n_base"),
         F.when(some, F.element_at("places", 1)).cast("bigint").alias("first_word"), F.when(some, F.element_at("places", -1)).cast("bigint").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.coalesce(F.least(F.lit(1.0), cover / F.greatest(F.length("norm") - 2, F.lit(1))), F.lit(0.0)).alias("score"),
+        F.when(F.col("norm").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(cover, F.lit(0)) / F.greatest(F.length("norm") - 2, F.lit(1)))).alias("score"),
     )

@@ -63,6 +63,12 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def checked(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """A narrow table, checkpointed and counted: marked for broadcast up to ``bound`` rows, joined by shuffle beyond."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= bound else df
+
+
 def fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo: the split that contracts name. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
