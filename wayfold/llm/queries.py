@@ -13,6 +13,7 @@ from .op3_paragraphs import op3_repeated_paragraphs
 from .op5_media import op5_media_fingerprints
 from .op6_mixture import op6_mix_sources
 from .op7_simhash import op7_simhash_components
+from .op8_suffixes import op8_suffix_dedup
 from .op9_licenses import op9_license_scan
 
 
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_media": lambda s, d: op5_media_fingerprints(docs(s, d)),
         "op6_mixture": lambda s, d: op6_mix_sources(docs(s, d)),
         "op7_simhash": lambda s, d: op7_simhash_components(docs(s, d)),
+        "op8_suffixes": lambda s, d: op8_suffix_dedup(docs(s, d)),
         "op9_licenses": lambda s, d: op9_license_scan(docs(s, d)),
         "op10_quality": lambda s, d: op10_quality_scores(docs(s, d), table(s, d, "labels")),
     }
