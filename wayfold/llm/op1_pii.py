@@ -229,7 +229,7 @@ class Field:
             else:
                 paths = score[:n, :, None] + self.moves[None]
                 back.append(paths.argmax(axis=1).astype(np.int8))
-                score = np.concatenate([paths.max(axis=1) + here, score[n:]])
+                score[:n] = paths.max(axis=1) + here
         if score is None:
             return out
         label = (score + self.moves[:, 0]).argmax(axis=1)
