@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import checked, cut
 
 LEVELS, BITS = 5, 12
 PREFIX = "_mix_"
@@ -66,13 +66,13 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Every input row with its columns and a struct ``_mix_``: size, source_size, target, copies, taken.
 
-    The small plan of thresholds (a row a source) joins the documents; Spark broadcasts it only below its own size
-    limit and otherwise splits a hot source by adaptive skew handling."""
+    The plan of thresholds (a row a source, counted) is broadcast up to a million sources; beyond, a shuffled join whose
+    hot source adaptive skew handling splits."""
     key = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 4)
     rows = docs.select(F.col(source_col).alias("source"), key.alias("key"), word_count(F.col(text_col)).alias("size"))
     rows = cut(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = cut(thresholds(rows, cut(source_targets(sizes, weights, share, most))))
+    plan = checked(thresholds(rows, cut(source_targets(sizes, weights, share, most))))
     plan = plan.select(F.struct("*").alias(PREFIX + "plan"))
     p = F.col(PREFIX + "plan")
     out = docs.withColumn(PREFIX + "size", word_count(F.col(text_col))).withColumn(PREFIX + "key", key)

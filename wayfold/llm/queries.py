@@ -10,6 +10,7 @@ from .op10_quality import op10_quality_scores
 from .op1_pii import op1_pii_spans
 from .op2_decontaminate import op2_benchmark_leaks
 from .op3_paragraphs import op3_repeated_paragraphs
+from .op4_pitman_yor import op4_pitman_yor_scores
 from .op5_media import op5_media_fingerprints
 from .op6_mixture import op6_mix_sources
 from .op7_simhash import op7_simhash_components
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": lambda s, d: op1_pii_spans(docs(s, d)),
         "op2_decontaminate": lambda s, d: op2_benchmark_leaks(docs(s, d), table(s, d, "benchmark")),
         "op3_paragraphs": lambda s, d: op3_repeated_paragraphs(docs(s, d)),
+        "op4_pitman_yor": lambda s, d: op4_pitman_yor_scores(docs(s, d)),
         "op5_media": lambda s, d: op5_media_fingerprints(docs(s, d)),
         "op6_mixture": lambda s, d: op6_mix_sources(docs(s, d)),
         "op7_simhash": lambda s, d: op7_simhash_components(docs(s, d)),
