@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import op1_pii, op2_decontaminate, op6_mixture, op7_simhash, op10_quality
-from wayfold.llm.shared import Scratch
+from wayfold.llm.shared import Scratch, checked
 
 #: The stages learn, hash and sample; no SQL says their rows.
 ORACLE_SQL = None
@@ -32,12 +32,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each SimHash component the document with the smallest id stays; rows without an id stay."""
     groups = op7_simhash.simhash_groups(docs)
     extra = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    extra = checked(extra)
     return docs.join(extra, docs["doc_id"] == extra["_gone"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, its values changed or not."""
     found = op2_decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
+    found = checked(found)
     return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
 
 

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced import suffix_order
-from .shared import blocks, checked, cut, prefix_hash, span_hash
+from .shared import Scratch, blocks, checked, cut, prefix_hash, release, span_hash
 
-LENGTH, GRAM, SHARD, MEMORY = 100, 48, 2 << 20, 32 << 20
+LENGTH, GRAM, SHARD, MEMORY = 100, 48, 1 << 20, 32 << 20
 _LOW = np.uint64((1 << 28) - 1)
 _NULL = -(1 << 63)
 
@@ -184,37 +184,48 @@ def _removed_rows(batches):
         yield from sort_shard()
 
 
-def _kept_rows(batches):
-    """(id, text, whole, list of ranges) to the result row and the kept bytes."""
-    for batch in batches:
-        for part, data, offsets in blocks(batch, "text"):
-            out: list[list] = [[], [], [], [], []]
-            whole, ranges = part.column(2).to_pylist(), part.column(3).to_pylist()
-            for k in range(part.num_rows):
-                text = data[offsets[k] : offsets[k + 1]].tobytes()
-                cuts: list[list[int]] = []
-                if whole[k] and len(text) >= LENGTH:
-                    cuts = [[0, len(text)]]
-                else:
-                    for r in sorted((x["a"], x["b"]) for x in ranges[k] or ()):
-                        if cuts and r[0] <= cuts[-1][1]:
-                            cuts[-1][1] = max(cuts[-1][1], r[1])
-                        else:
-                            cuts.append([*r])
-                kept, at = [], 0
-                for a, b in cuts:
-                    kept.append(text[at:a])
-                    at = b
-                kept.append(text[at:])
-                body = b"".join(kept)
-                for c, v in zip(out, (len(text), len(text) - len(body), len(cuts), hashlib.sha256(body).hexdigest(), body)):
-                    c.append(v)
-            arrays = [part.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one row for each input row; ``kept`` is binary."""
+def _kept_rows(keep_bytes: bool):
+    """(id, text, whole, list of ranges) to the result row, with the kept bytes if asked for."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offsets in blocks(batch, "text"):
+                yield kept_row(part, data, offsets)
+
+    def kept_row(part, data, offsets):
+        out: list[list] = [[], [], [], [], []]
+        whole, ranges = part.column(2).to_pylist(), part.column(3).to_pylist()
+        for k in range(part.num_rows):
+            text = data[offsets[k] : offsets[k + 1]].tobytes()
+            cuts: list[list[int]] = []
+            if whole[k] and len(text) >= LENGTH:
+                cuts = [[0, len(text)]]
+            else:
+                for r in sorted((x["a"], x["b"]) for x in ranges[k] or ()):
+                    if cuts and r[0] <= cuts[-1][1]:
+                        cuts[-1][1] = max(cuts[-1][1], r[1])
+                    else:
+                        cuts.append([*r])
+            kept, at = [], 0
+            for a, b in cuts:
+                kept.append(text[at:a])
+                at = b
+            kept.append(text[at:])
+            body = b"".join(kept)
+            for c, v in zip(out, (len(text), len(text) - len(body), len(cuts), hashlib.sha256(body).hexdigest(), body if keep_bytes else None)):
+                c.append(v)
+        arrays = [part.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one row for each input row; ``kept`` is binary.
+
+    What one step hands to the next is a table in the shared folder, so the shuffles behind it can go."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # exact copies: of each digest the least id stays in play
     digests = cut(rows.select("id", F.sha2("text", 256).alias("d"), (F.octet_length("text") >= LENGTH).alias("long")).filter("long").select("id", "d"))
@@ -222,17 +233,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = checked(digests.join(least, F.col("d") == F.col("e")).filter("id <> i0").select(F.col("id").alias("c"), "d").distinct(), 100_000)
     played = rows.join(copies, (F.col("id") == F.col("c")) & (F.sha2("text", 256) == F.col("d")), "left_anti")
     narrow = played.mapInArrow(_segment_rows, "key bigint, id bigint, at int, n int")
-    again = narrow.repartition("key").sortWithinPartitions("key").mapInArrow(_again, "key bigint, id bigint, at int, n int")
+    again = scratch.table("again", narrow.repartition("key").sortWithinPartitions("key").mapInArrow(_again, "key bigint, id bigint, at int, n int"))
+    del narrow
+    release(spark)
     wanted = again.groupBy("id").agg(F.collect_list(F.struct("at", "n", "key")).alias("parts")).withColumnRenamed("id", "w")
     with_text = played.join(wanted, F.col("id") == F.col("w")).select("id", "text", "parts")
     bodies = with_text.mapInArrow(_body_rows, "key bigint, id bigint, at int, body binary")
     ranges = bodies.repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(_removed_rows, "id bigint, a bigint, b bigint")
-    merged = cut(ranges.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).withColumnRenamed("id", "r"))
+    merged = scratch.table("ranges", ranges.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).withColumnRenamed("id", "r"))
+    del wanted, with_text, bodies, ranges
+    scratch.drop("again")
+    release(spark)
     all_rows = rows.join(copies, (F.col("id") == F.col("c")) & (F.sha2("text", 256) == F.col("d")), "left").join(merged, F.col("id") == F.col("r"), "left")
     ready = all_rows.select("id", "text", F.col("c").isNotNull().alias("whole"), "ranges")
-    made = ready.mapInArrow(_kept_rows, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    made = ready.mapInArrow(_kept_rows(keep_bytes), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return made.select(F.nullif("id", F.lit(_NULL)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def op8_suffix_dedup(docs: DataFrame) -> DataFrame:
-    return without_repeats(docs).drop("kept")
+    return without_repeats(docs, keep_bytes=False).drop("kept")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -41,9 +44,34 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: replicated storage, so a lost executor costs nothing and lineage stays short."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Lineage ends in a table in the shared folder: a lost executor costs nothing, and plans see true sizes.
+
+    (A row checkpoint keeps its plan's estimated size; in loops of joins these estimates multiply without bound.)"""
+    return _written(df, f"{checkpoint_root(df.sparkSession)}/wayfold-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    df.write.option("compression", "zstd").parquet(path)
+    if not _MADE:
+        atexit.register(_forget, spark)
+    _MADE.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_MADE: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _forget(spark: SparkSession) -> None:
+    """At the end of the program the intermediate tables go."""
+    with contextlib.suppress(Exception):
+        for path in _MADE:
+            _delete(spark, path)
 
 
 class Scratch:
@@ -53,18 +81,20 @@ class Scratch:
         self.spark, self.root = spark, f"{checkpoint_root(spark)}/wayfold-{uuid.uuid4().hex}"
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _written(df, f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles of finished steps nobody refers to any more, so their disk is freed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def checked(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """A narrow table, checkpointed and counted: marked for broadcast up to ``bound`` rows, joined by shuffle beyond."""
+    """A narrow table, written and counted: marked for broadcast up to ``bound`` rows, joined by shuffle beyond."""
     df = cut(df)
     return F.broadcast(df) if df.count() <= bound else df
 
