@@ -1,0 +1,14 @@
+"""All queries of the engine's own operators, with their DuckDB twins."""
+
+from __future__ import annotations
+
+from . import sequences  # noqa: F401  registers its queries
+from .base import ORACLE, SPARK
+
+
+def queries() -> dict:
+    return dict(SPARK)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)

@@ -119,21 +119,22 @@ def _(s, d):
     return packets(s, d).groupBy("seq_id").agg(F.count_if("marker").alias("n"))
 
 
-EWM = """SELECT a.seq_id, a.row_idx, round(sum(CASE WHEN b.row_idx = 1 THEN 1 ELSE {a} END * power(1 - {a}, a.row_idx - b.row_idx) * b.{v}), 6) AS {o}
+#: 1e-9 keeps the decimal ties of short inputs off the rounding edge, on both sides.
+EWM = """SELECT a.seq_id, a.row_idx, round(sum(CASE WHEN b.row_idx = 1 THEN 1 ELSE {a} END * power(1 - {a}, a.row_idx - b.row_idx) * b.{v}) + 1e-9, 6) AS {o}
 FROM packets a JOIN packets b ON a.seq_id = b.seq_id AND b.row_idx <= a.row_idx GROUP BY 1, 2"""
 
 
 @query("ewm_baseline", EWM.format(a="(2.0 / 33)", v="frame_len", o="ewm"), "packets")
 def _(s, d):
-    return Q.ewm(packets(s, d).select("seq_id", "row_idx", "frame_len"), K, O, "frame_len", 2 / 33).select("seq_id", "row_idx", r6("ewm"))
+    return Q.ewm(packets(s, d).select("seq_id", "row_idx", "frame_len"), K, O, "frame_len", 2 / 33).select("seq_id", "row_idx", r6(F.col("ewm") + 1e-9, "ewm"))
 
 
 @query("exp_smooth", EWM.format(a="0.3", v="prob", o="smooth"), "packets")
 def _(s, d):
-    return Q.ewm(packets(s, d).select("seq_id", "row_idx", "prob"), K, O, "prob", 0.3, "smooth").select("seq_id", "row_idx", r6("smooth"))
+    return Q.ewm(packets(s, d).select("seq_id", "row_idx", "prob"), K, O, "prob", 0.3, "smooth").select("seq_id", "row_idx", r6(F.col("smooth") + 1e-9, "smooth"))
 
 
-@query("frame_features", f"""WITH e AS ({EWM.format(a='(2.0 / 33)', v='frame_len', o='ewm').replace('round(sum', '(sum').replace(', 6) AS', ') AS')})
+@query("frame_features", f"""WITH e AS ({EWM.format(a='(2.0 / 33)', v='frame_len', o='ewm').replace('round(sum', '(sum').replace(' + 1e-9, 6) AS', ') AS')})
 SELECT p.seq_id, p.row_idx, round(ln(1 + p.frame_len), 6) AS log_size, round(p.frame_len - e.ewm, 6) AS residual, round(p.frame_len / (e.ewm + 1e-9), 6) AS ratio FROM packets p JOIN e USING (seq_id, row_idx)""", "packets")
 def _(s, d):
     e = Q.ewm(packets(s, d).select("seq_id", "row_idx", "frame_len"), K, O, "frame_len", 2 / 33)
@@ -304,11 +305,11 @@ def _(s, d):
 
 
 @query("overlap_average", f"""WITH {STARTS}, r AS (SELECT p.seq_id, p.row_idx, p.prob * (1 + (s.start % 3)) AS v FROM packets p JOIN starts s ON s.seq_id = p.seq_id AND p.row_idx - 1 >= s.start AND p.row_idx - 1 < s.start + 32)
-SELECT seq_id, row_idx, round(sum(v) / count(*), 6) AS avg_prob, count(*) AS n_windows FROM r GROUP BY 1, 2""", "packets")
+SELECT seq_id, row_idx, round(sum(v) / count(*) + 1e-9, 6) AS avg_prob, count(*) AS n_windows FROM r GROUP BY 1, 2""", "packets")
 def _(s, d):
     p = Q.in_windows(packets(s, d).withColumn("i", F.col("row_idx") - 1), K, "i", 32, 25)
     v = F.col("prob") * (1 + F.col("start") % 3)
-    return p.groupBy("seq_id", "row_idx").agg(F.round(F.sum(v) / F.count("*"), 6).alias("avg_prob"), F.count("*").alias("n_windows"))
+    return p.groupBy("seq_id", "row_idx").agg(F.round(F.sum(v) / F.count("*") + 1e-9, 6).alias("avg_prob"), F.count("*").alias("n_windows"))
 
 
 @query("balance_windows", f"""WITH {STARTS}, l AS (SELECT s.seq_id, s.start, bool_or(p.marker AND p.prob > 0.75) AS label FROM packets p JOIN starts s ON s.seq_id = p.seq_id AND p.row_idx - 1 >= s.start AND p.row_idx - 1 < s.start + 32 GROUP BY 1, 2),
