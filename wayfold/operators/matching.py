@@ -48,10 +48,10 @@ def band_join(left: DataFrame, right: DataFrame, keys: Names, lt: str, rt: str,
     return a.join(b, [*keys, "_b"]).filter(F.abs(F.col(lt) - F.col(rt)) <= tolerance).drop("_b")
 
 
-def greedy_pairs(candidates: pd.DataFrame, order: Sequence[str] = ("delta", "pi", "gi")) -> pd.DataFrame:
+def greedy_pairs(candidates: pd.DataFrame) -> pd.DataFrame:
     """One-to-one pairs of one group, least delta first."""
     used_p, used_g, keep = set(), set(), []
-    for i, p, g in candidates.sort_values(list(order))[["pi", "gi"]].itertuples():
+    for i, p, g in candidates.sort_values(["delta", "pi", "gi"])[["pi", "gi"]].itertuples():
         if p not in used_p and g not in used_g:
             used_p.add(p)
             used_g.add(g)

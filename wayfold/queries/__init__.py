@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import experiments, sequences  # noqa: F401  registers their queries
+from . import experiments, matching, sequences  # noqa: F401  registers their queries
 from .base import ORACLE, SPARK
 
 
