@@ -47,3 +47,33 @@ def test_copies_and_chance_meetings(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = op3_repeated_paragraphs(df).collect()
     assert {r.doc_id for r in got} == set(range(101, 140)) and {r.kept_doc_id for r in got} == {100}
+
+
+def test_families_of_near_copies_are_whole(spark):
+    """Each paragraph an edit of an earlier one: members of a band are near each other, but not all near its leader."""
+    rng = random.Random(15)
+    rows = []
+    for family in range(3):
+        made = [words(rng, 100).split()]
+        for _ in range(150):
+            new = list(rng.choice(made))
+            at = rng.randrange(99)
+            new[at : at + 2] = words(rng, 2).split()
+            made.append(new)
+        rows += [(1000 * family + i, " ".join(w)) for i, w in enumerate(made)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r.doc_id: r.kept_doc_id for r in op3_repeated_paragraphs(df).collect()}
+    assert got == {i: root(i) for i in sets if root(i) != i}

@@ -4,13 +4,15 @@ Paragraphs of two sizes are taken from each text: lines, and the sentences withi
 paragraphs share a content hash and are one from then on. Those with ``LEAST`` or more 5-word shingles get ``BANDS``
 bands of ``ROWS`` minima (recall 0.985 at a similarity of 0.8, 0.9995 at 0.9); shorter ones reach 0.8 only when equal or
 cut short by a word, and meet by hash. Paragraphs of one band meet in a sorted partition and pair with the band's least
-hash, never with each other; exact Jaccard of the shingle sets verifies each pair, and those that fail pair again in
-ever finer sub-bands, until none is left. Verified pairs join into components; of each component the
+hash; exact Jaccard of the shingle sets verifies each pair. All members of a band that this leaves in more than one
+component, those near the leader included, then meet in an exact prefix join: a set's rarest shingles, one more than it
+may lack, hold one of each near partner's, so every near pair of two components is verified. Verified pairs join into
+components; of each component the
 first place (document id, then position) stays, the others are removable. Removable paragraphs next to each other form
 a run; runs of ``RUN`` words and more are removed, so single repeated headings stay.
 
-Hot lines: each scan batch sends a (band, hash) once, counts combine before they move, and leaders, not all pairs, are
-verified. Only the texts of colliding paragraphs are read again; their ids go with the scan up to ``ID_BOUND`` of them,
+Hot lines: each scan batch sends a (band, hash) once, counts combine before they move, and pairs of one component are not
+verified again. Only the texts of colliding paragraphs are read again; their ids go with the scan up to ``ID_BOUND`` of them,
 and are joined by shuffle beyond.
 
 Cases: null and empty texts have no paragraphs; rows without an id are left out; repeated rows remove each other's
@@ -29,6 +31,7 @@ from .components import components
 from .shared import LOWER, SPACE, Scratch, blocks, checked, code_points, cut, mix, owner, powers, prefix_hash, runs, shingles, span_hash
 
 WORDS, SIMILARITY, BANDS, ROWS, LEAST, RUN, GAP, ID_BOUND = 5, 0.8, 8, 4, 9, 20, 5, 2_000_000
+SLOTS = 1 << 18  # of the counts by which shingles are ordered
 _RNG = np.random.default_rng(404)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -175,9 +178,8 @@ def _shingle_set(body: bytes) -> np.ndarray:
     return np.unique(shingles(span_hash(prefix_hash(data), starts, ends), np.zeros(len(starts), np.int64), WORDS)[0])
 
 
-def _verified(similarity: float, turn: int):
-    """Adds whether a pair is near, and a minimum of its first set under a function of the round."""
-    a_t, b_t = (np.uint64(x) for x in np.random.default_rng([9, turn]).integers(1, 1 << 62, 2))
+def _verified(similarity: float):
+    """(h, lead) of the pairs that are near."""
 
     def run(batches):
         memory: dict[int, np.ndarray] = {}
@@ -190,22 +192,53 @@ def _verified(similarity: float, turn: int):
             return memory[key]
 
         for batch in batches:
-            ok, sub = [], []
+            ok = []
             for h, lead, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 a, b = shingle_set(h, x), shingle_set(lead, y)
                 same = len(np.intersect1d(a, b, assume_unique=True))
                 ok.append(same >= similarity * (len(a) + len(b) - same))
-                sub.append(int(mix((a | np.uint64(1)) * (a_t | np.uint64(1)) + b_t).min()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_()), pa.array(np.array(sub, np.uint64).view(np.int64))], names=["h", "lead", "ok", "sub"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _counts(batches):
+    """(slot, n): how many shingles of the bodies fall in each of SLOTS slots."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for body in batch.column(1):
+            total[(_shingle_set(body.as_py()) % np.uint64(SLOTS)).astype(np.int64)] += 1  # slots shared within a set count once
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+
+def _prefix_rows(often: np.ndarray, similarity: float):
+    """(s, h, n): of each body of n shingles the rarest ones, in an order that is the same for all bodies. A near body
+    holds ``similarity`` of n at least, so it shares one of the first that are one more than the others."""
+
+    def run(batches):
+        for batch in batches:
+            keys, sizes, found = [], [], []
+            for h, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = _shingle_set(body.as_py())
+                n = len(values)
+                count = often[(values % np.uint64(SLOTS)).astype(np.int64)]
+                first = np.lexsort((values, count))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                first = first[count[first] > 1]  # alone in its slot: no other body has it
+                keys += [h] * len(first)
+                sizes += [n] * len(first)
+                found.append(values[first])
+            s = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["s", "h", "n"])
 
     return run
 
 
 def near_pairs(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text) to verified pairs (a, b) of content hashes, whose components hold the near paragraphs that met.
+    """(doc_id, text) to verified pairs (a, b) of content hashes, whose components hold all near paragraphs that met.
 
-    A pair that fails its band's leader pairs again in a sub-band: band and a fresh minimum, on which near paragraphs
-    agree four times in five and chance meetings hardly, so the failures of a band fade geometrically."""
+    First each member of a band is verified against the band's leader; then, of the bands whose members lie in more
+    than one component, all near pairs across components are found by an exact prefix join."""
     bands = rows.mapInArrow(_band_rows, "key bigint, h bigint")
     todo = cut(bands.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_leaders, "key bigint, h bigint, lead bigint"))
     ids = cut(todo.select("h").union(todo.select("lead")).distinct().withColumnRenamed("h", "i"))
@@ -218,19 +251,29 @@ def near_pairs(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         bodies = rows.mapInArrow(_body_rows(None), "h bigint, body binary").join(ids, F.col("h") == F.col("i"), "left_semi")
     bodies = cut(bodies.groupBy("h").agg(F.min("body").alias("body")))
     left, right = bodies.select(F.col("h").alias("l"), F.col("body").alias("x")), bodies.select(F.col("h").alias("r"), F.col("body").alias("y"))
-    pairs, turn = None, 0
-    while not todo.isEmpty():
-        turn += 1
-        once = todo.select("h", "lead").distinct()  # the same pair from several bands is verified once
-        full = once.join(left, F.col("h") == F.col("l")).join(right, F.col("lead") == F.col("r")).select("h", "lead", "x", "y")
-        seen = cut(full.mapInArrow(_verified(similarity, turn), "h bigint, lead bigint, ok boolean, sub bigint"))
-        good = seen.filter("ok").select(F.col("h").alias("a"), F.col("lead").alias("b"))
-        pairs = good if pairs is None else pairs.union(good)
-        failed = seen.filter("not ok").select(F.col("h").alias("h2"), F.col("lead").alias("lead2"), "sub")
-        again = todo.join(failed, (F.col("h") == F.col("h2")) & (F.col("lead") == F.col("lead2"))).select(F.xxhash64("key", "sub").alias("key"), "h").distinct()
-        leads = again.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("most")).filter("lead <> most").select(F.col("key").alias("k"), "lead")
-        todo = cut(again.join(leads, F.col("key") == F.col("k")).filter("h <> lead").select("key", "h", "lead"))
-    return pairs
+
+    def near(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(left, F.col("h") == F.col("l")).join(right, F.col("lead") == F.col("r")).select("h", "lead", "x", "y")
+        return cut(full.mapInArrow(_verified(similarity), "a bigint, b bigint"))
+
+    good = near(todo.select("h", "lead").distinct())  # the same pair from several bands is verified once
+    roots = components(good)
+    of = lambda c: roots.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root"))
+    rooted = todo.join(of("h"), F.col("h") == F.col("h_node"), "left").join(of("lead"), F.col("lead") == F.col("lead_node"), "left")
+    apart = F.coalesce("h_root", "h") != F.coalesce("lead_root", "lead")
+    unlike = rooted.filter(apart).select(F.col("key").alias("k")).distinct()
+    members = todo.join(unlike, F.col("key") == F.col("k"), "left_semi")
+    members = members.select("h").union(members.select("lead")).distinct().withColumnRenamed("h", "m")
+    some = cut(bodies.join(members, F.col("h") == F.col("m"), "left_semi"))
+    counts = some.mapInArrow(_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(SLOTS, np.int32)
+    often[counts["slot"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    prefix = some.mapInArrow(_prefix_rows(often, similarity), "s bigint, h bigint, n int").join(of("h"), F.col("h") == F.col("h_node"), "left")
+    prefix = cut(prefix.select("s", "h", "n", F.coalesce("h_root", "h").alias("root")))
+    other = prefix.select(F.col("s").alias("s2"), F.col("h").alias("lead"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    sized = (F.col("n") >= similarity * F.col("n2") - 1e-6) & (F.col("n2") >= similarity * F.col("n") - 1e-6)
+    across = prefix.join(other, (F.col("s") == F.col("s2")) & (F.col("root") != F.col("root2")) & (F.col("h") < F.col("lead")) & sized)
+    return good.union(near(across.select("h", "lead").distinct()))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN, similarity: float = SIMILARITY) -> DataFrame:
