@@ -1,0 +1,135 @@
+"""Near copies among whole texts: all pairs whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+Texts equal in words (A-Z lower-cased) are one from the start. Each sends its rarest shingles, one more than a near copy
+may lack (prefix filter), in an order that is the same for all, so two near texts meet under one shingle at least: no
+pair is lost. Texts that meet are first verified against the least hash of their shingle; of the shingles whose texts
+this leaves in more than one component, all pairs across components are verified then.
+
+Cases: null and empty texts are copies of each other; texts under five words have equal copies only; a null id is never
+the smallest unless alone; an empty table gives no rows; other columns are not read.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .op3_paragraphs import ID_BOUND, SLOTS, _leaders, _verified, word_runs_hash
+from .op7_simhash import joined_words
+from .shared import blocks, cut, prefix_hash, shingles, span_hash
+
+WORDS, SIMILARITY = 5, 0.8
+
+
+def _texts(data: np.ndarray, offsets: np.ndarray):
+    """(content hash of each text, joined bytes, byte borders, shingles, text of each shingle)."""
+    n = len(offsets) - 1
+    text, starts, ends, whose = joined_words(data, offsets)
+    words = span_hash(prefix_hash(text), starts, ends)
+    border = np.searchsorted(whose, np.arange(n + 1))
+    h = word_runs_hash(words, border[:-1], border[1:])
+    made, at = shingles(words, whose, WORDS)
+    return h.view(np.int64), text, np.append(starts, len(text))[border], made, whose[at]
+
+
+def _keys(batches):
+    for batch in batches:
+        for part, data, offsets in blocks(batch, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_texts(data, offsets)[0])], names=["doc_id", "h"])
+
+
+def _counts(batches):
+    """(slot, n): how many shingles fall in each slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for _, data, offsets in blocks(batch, "text", 1 << 20):
+            total += np.bincount((_texts(data, offsets)[3] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+
+def _prefix_rows(often: np.ndarray, similarity: float):
+    """(key, h): the rarest shingles of each text, each distinct text once a block."""
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in blocks(batch, "text", 1 << 20):
+                h, _, _, made, whose = _texts(data, offsets)
+                border = np.searchsorted(whose, np.arange(len(h) + 1))
+                keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for t in np.unique(h, return_index=True)[1].tolist():
+                    values = np.unique(made[border[t] : border[t + 1]])
+                    n = len(values)
+                    if not n:
+                        continue
+                    count = often[(values % np.uint64(SLOTS)).astype(np.int64)]
+                    first = np.lexsort((values, count))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                    first = first[count[first] > 1]  # alone in its slot: no other text has it
+                    keys.append(values[first])
+                    of.append(np.full(len(first), h[t]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(of))], names=["key", "h"])
+
+    return run
+
+
+def _body_rows(wanted: np.ndarray | None):
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in blocks(batch, "text", 1 << 20):
+                h, text, border, *_ = _texts(data, offsets)
+                at = np.unique(h, return_index=True)[1]
+                if wanted is not None:
+                    at = at[np.isin(h[at], wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array([text[border[t] : border[t + 1]].tobytes() for t in at.tolist()], pa.binary())], names=["h", "body"])
+
+    return run
+
+
+def near_pairs(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text) to verified pairs (a, b) of content hashes, whose components are those of all near pairs."""
+    counts = rows.mapInArrow(_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(SLOTS, np.int32)
+    often[counts["slot"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    prefix = rows.mapInArrow(_prefix_rows(often, similarity), "key bigint, h bigint").distinct()
+    todo = cut(prefix.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_leaders, "key bigint, h bigint, lead bigint"))
+    ids = cut(todo.select("h").union(todo.select("lead")).distinct().withColumnRenamed("h", "i"))
+    n_ids = ids.count()
+    if not n_ids:
+        return todo.select(F.col("h").alias("a"), F.col("lead").alias("b"))
+    if n_ids <= ID_BOUND:
+        bodies = rows.mapInArrow(_body_rows(np.sort(ids.toPandas()["i"].to_numpy(np.int64))), "h bigint, body binary")
+    else:
+        bodies = rows.mapInArrow(_body_rows(None), "h bigint, body binary").join(ids, F.col("h") == F.col("i"), "left_semi")
+    bodies = cut(bodies.groupBy("h").agg(F.min("body").alias("body")))
+    left, right = bodies.select(F.col("h").alias("l"), F.col("body").alias("x")), bodies.select(F.col("h").alias("r"), F.col("body").alias("y"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(left, F.col("h") == F.col("l")).join(right, F.col("lead") == F.col("r")).select("h", "lead", "x", "y")
+        return cut(full.mapInArrow(_verified(similarity), "a bigint, b bigint"))
+
+    good = near(todo.select("h", "lead").distinct())
+    roots = components(good)
+    of = lambda c: roots.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root"))
+    rooted = todo.join(of("h"), F.col("h") == F.col("h_node"), "left").join(of("lead"), F.col("lead") == F.col("lead_node"), "left")
+    rooted = cut(rooted.select("key", "h", "lead", F.coalesce("h_root", "h").alias("root"), F.coalesce("lead_root", "lead").alias("lead_root")))
+    unlike = rooted.filter("root <> lead_root").select(F.col("key").alias("k")).distinct()
+    # the leader of a shingle has met all its texts already
+    rest = cut(rooted.join(unlike, F.col("key") == F.col("k"), "left_semi").select("key", "h", "root"))
+    other = rest.select(F.col("key").alias("key2"), F.col("h").alias("lead"), F.col("root").alias("root2"))
+    across = rest.join(other, (F.col("key") == F.col("key2")) & (F.col("root") != F.col("root2")) & (F.col("h") < F.col("lead")))
+    return good.union(near(across.select("h", "lead").distinct()))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): a row for each input row; component_id is the smallest id reachable by near copies."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    made = cut(rows.mapInArrow(_keys, "doc_id bigint, h bigint"))
+    known = made.groupBy("h").agg(F.min("doc_id").alias("least"))
+    roots = components(near_pairs(rows))
+    placed = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(placed.join(least, "root").select(F.col("h").alias("g"), "component_id"))
+    return made.join(named, F.col("h") == F.col("g")).select("doc_id", "component_id")
