@@ -36,3 +36,48 @@ def test_rules_are_many_and_valid():
     assert len(table) > 250
     for _, key, pattern in table:
         re.compile(pattern)
+
+
+def examples(pattern):
+    """The shortest match of each alternative of a pattern."""
+    from re import _parser
+
+    def spell(items):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "NOT_LITERAL":
+                out += "x"
+            elif name == "IN":
+                out += spell(arg[:1]) if str(arg[0][0]) == "LITERAL" else chr(arg[0][1][0])
+            elif name == "BRANCH":
+                out += spell(arg[1][0])
+            elif name == "MAX_REPEAT":
+                out += spell(arg[2]) * arg[0]
+            elif name == "SUBPATTERN":
+                out += spell(arg[3])
+            else:
+                raise ValueError(name)
+        return out
+
+    parts = list(_parser.parse(pattern))
+    if len(parts) == 1 and str(parts[0][0]) == "BRANCH":
+        return [spell(x) for x in parts[0][1][1]]
+    return [spell(parts)]
+
+
+def test_each_rule_alone_gets_its_label(spark):
+    table = rules()
+    texts = [(label, f"zz {x} zz") for label, _, pattern in table for x in examples(pattern)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)] + [(len(texts) + i, f"zz {p} zz") for i, p in enumerate(BASE)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in op9_license_scan(df).collect()}
+    compiled = [(rank, label, re.compile(f"(?<= )(?:{pattern})(?= )")) for rank, (label, _, pattern) in enumerate(table)]
+    for i, (label, text) in enumerate(texts):
+        hits = [(m.start(), m.end(), rank, name) for rank, name, p in compiled for m in p.finditer(f" {text} ")]
+        left = {h[3] for h in hits if not any(g[0] <= h[0] and g[1] >= h[1] and g[2] < h[2] for g in hits)}
+        r = got[i]
+        assert any(h[3] == label for h in hits), text
+        assert set(r.labels.split(",")) == left | set(filter(None, r.base_labels.split(","))) and r.score > 0, (label, text)
+    assert all(got[len(texts) + i].n_base == 1 for i in range(len(BASE)))

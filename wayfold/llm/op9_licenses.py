@@ -1,8 +1,8 @@
 """License scan by ordered signature rules, with DataFrame functions alone.
 
-Texts become words (A-Z lower-cased; letters, digits and everything beyond ASCII). A row-level gate looks for a few
-stems by plain substring search; only rows that have one are normalised (`` w1 w2 … ``), and of the rules only those
-whose keyword the normalised text holds are run. A rule's matches become intervals; an interval inside another one of
+Texts become words (A-Z lower-cased; letters, digits and everything beyond ASCII). A row-level gate looks for the
+first words of all rules' keywords by plain substring search; only rows that have one are normalised (`` w1 w2 … ``),
+and of the rules only those whose keyword the normalised text holds are run. A rule's matches become intervals; an interval inside another one of
 the same or a higher priority goes, so ``cc-by-nc-4.0`` silences ``cc-by`` found by a rule within it. Base phrases are
 counted by position in the word array and are never suppressed. No shuffle, no join: each row is decided alone.
 
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Every rule needs one of these stems in the lower-cased text.
-STEMS = ("licens", "licenc", "copyright", "copyleft", "reserved", "spdx", "gpl", "creative", "cc0", "domain", "hereby", "redistribution", "warrant", "apache", "mozilla", "confidential", "proprietary", "wtfpl", "cc by", "cc-by")
 _NOT_WORD = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
 _ANY = "(?:the |a |an |this |of |under |terms |license |licence |version |v ?)*"
 
@@ -95,6 +93,13 @@ def rules() -> list[tuple[str, str, str]]:
     return out
 
 
+def stems() -> list[str]:
+    """The first words of all rules' keywords, without those that hold a shorter one: whatever stands between words, a
+    text without any of them has no match. Each base phrase holds one too."""
+    first = {key.split()[0] for _, key, _ in rules()}
+    return sorted(x for x in first if not any(y != x and y in x for y in first))
+
+
 def _matches(norm: Column, rule: Column) -> Column:
     """Intervals (start, end, priority, label) of one rule in the normalised text, from the pieces between matches."""
     pieces, texts = F.split(norm, rule["pattern"], -1), F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
@@ -119,9 +124,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n_words = F.regexp_count("text", F.lit(f"[^{_NOT_WORD}]+")).cast("bigint")
     low = rows.select("doc_id", "text", n_words.alias("n_words"), F.lower("text").alias("low"))
     gate = F.lit(False)
-    for stem in STEMS[:-2]:
+    for stem in stems():
         gate = gate | F.contains("low", F.lit(stem))
-    gate = gate | (F.contains("low", F.lit("cc")) & F.contains("low", F.lit("by")) & F.col("low").rlike(f"cc[{_NOT_WORD}]+by"))
     upper = "".join(map(chr, range(65, 91)))
     plain = F.regexp_replace(F.translate("text", upper, upper.lower()), f"[{_NOT_WORD}]+", " ")
     norm = F.when(gate, F.concat(F.lit(" "), F.trim(plain), F.lit(" ")))
