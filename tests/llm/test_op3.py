@@ -20,7 +20,7 @@ def test_repeats_go_and_clean_texts_stay(spark):
     texts = [
         fresh() + "\n" + passage + "\n" + fresh(),  # 0 keeps
         fresh() + "\n" + passage + "\n" + fresh(),  # 1 a line again
-        fresh() + " and then " + passage + " " + fresh(),  # 2 within a line
+        fresh() + " and then once more " + passage + " " + fresh(),  # 2 within a line; its first sentence is at 8 / 12 here
         fresh() + "\n" + near,  # 3 one word changed
         "Heading of five words here.\n" + fresh(), "Heading of five words here.\n" + fresh(),  # 4, 5 short repeats only
         long_line, long_line[: -len("x.")] + "zz.",  # 6, 7 near lines
@@ -77,3 +77,88 @@ def test_families_of_near_copies_are_whole(spark):
                 parent[y] = x
     got = {r.doc_id: r.kept_doc_id for r in op3_repeated_paragraphs(df).collect()}
     assert got == {i: root(i) for i in sets if root(i) != i}
+
+
+def near_roots(texts):
+    """Components of all pairs at a Jaccard similarity of 0.8 over 5-word shingles, and the pairs."""
+    sets = [set(zip(*[t.lower().split()[k:] for k in range(5)])) for t in texts]
+    root, pairs = list(range(len(sets))), []
+    for b in range(len(sets)):
+        for a in range(b):
+            if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                pairs.append((a, b))
+                if root[a] != root[b]:
+                    x, y = sorted((root[a], root[b]))
+                    root = [x if r == y else r for r in root]
+    return root, pairs
+
+
+def test_recall_of_links_against_brute_force(spark):
+    """Edited copies of paragraphs of 8 to 60 words, at and around the threshold: 0.9 of all links and more are found."""
+    from wayfold.llm.components import components
+    from wayfold.llm.op3_paragraphs import near_pairs, paragraphs
+    import numpy as np
+
+    rng = random.Random(23)
+    texts = []
+    for n in [8, 9, 10, 11, 12, 13, 14, 20, 30, 60] * 12:
+        w = words(rng, n).split()
+        texts.append(" ".join(w))
+        for _ in range(2):
+            v = list(w)
+            kind = rng.randrange(3)
+            if kind == 0:
+                v = v[1:]
+            elif kind == 1:
+                v = v[:-1]
+            else:
+                v[rng.choice([0, 1, n - 2, n - 1])] = words(rng, 1)
+            texts.append(" ".join(v))
+    rng.shuffle(texts)
+    _, pairs = near_roots(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    hashes = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        hashes.append(int(paragraphs(data, np.array([0, len(data)]), False)[4].view(np.int64)[0]))
+    roots = {r.node: r.root for r in components(near_pairs(df)).collect()}
+    of = [roots.get(h, h) for h in hashes]
+    found = sum(of[a] == of[b] for a, b in pairs)
+    assert len(pairs) > 100 and found >= 0.95 * len(pairs)
+    true, _ = near_roots(texts)
+    assert all(true[a] == true[b] for a in range(len(texts)) for b in range(a) if of[a] == of[b])
+
+
+def test_groups_beyond_a_block_lose_no_links(spark):
+    """One group split over many blocks: chains of near copies that are not near the most frequent member."""
+    from pyspark.sql import functions as F
+    from wayfold.llm.components import components
+    from wayfold.llm.near_sets import near_edges
+
+    rng = random.Random(5)
+    bodies = []
+    for _ in range(12):
+        chain = [words(rng, 40).split()]
+        for _ in range(6):
+            new = list(chain[-1])
+            new[rng.randrange(40)] = words(rng, 1)
+            chain.append(new)
+        bodies += [" ".join(w) for w in chain]
+    rng.shuffle(bodies)
+    true, _ = near_roots(bodies)
+    table = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(bodies)], "h bigint, body binary")
+    members = table.select(F.lit(1).cast("bigint").alias("key"), "h", F.lit(1).cast("bigint").alias("n"))
+    roots = {r.node: r.root for r in components(near_edges(members, lambda wanted: table, chunk=7)).collect()}
+    of = [roots.get(i, i) for i in range(len(bodies))]
+    assert all((true[a] == true[b]) == (of[a] == of[b]) for a in range(len(bodies)) for b in range(a))
+
+
+def test_lines_meet_sentences_but_not_their_own(spark):
+    rng = random.Random(31)
+    base = words(rng, 60).split()
+    whole = " ".join(base)
+    split = " ".join(base[:30]) + ". " + " ".join(base[30:])  # the same line but for a full stop: two sentences
+    own = " ".join(base[::-1]) + ". Some few more words here."  # a long sentence in a line hardly longer
+    df = spark.createDataFrame([(1, whole), (2, split), (3, own), (4, words(rng, 9000)), (5, words(rng, 12))], "doc_id bigint, text string")
+    got = op3_repeated_paragraphs(df).collect()
+    assert [(r.doc_id, r.start, r.end, r.n_words, r.kept_doc_id) for r in got] == [(2, 0, len(split), 60, 1)]

@@ -1,23 +1,22 @@
 """Substring dedup by paragraph MinHash banding.
 
 Paragraphs of two sizes are taken from each text: lines, and the sentences within them, of five words and more. Equal
-paragraphs share a content hash and are one from then on. Those with ``LEAST`` or more 5-word shingles get ``BANDS``
-bands of ``ROWS`` minima (recall 0.985 at a similarity of 0.8, 0.9995 at 0.9); shorter ones reach 0.8 only when equal or
-cut short by a word, and meet by hash. Paragraphs of one band meet in a sorted partition and pair with the band's least
-hash; exact Jaccard of the shingle sets verifies each pair. All members of a band that this leaves in more than one
-component, those near the leader included, then meet in an exact prefix join: a set's rarest shingles, one more than it
-may lack, hold one of each near partner's, so every near pair of two components is verified. Verified pairs join into
-components; of each component the
-first place (document id, then position) stays, the others are removable. Removable paragraphs next to each other form
-a run; runs of ``RUN`` words and more are removed, so single repeated headings stay.
+paragraphs share a content hash and are one row from then on, with the number of places they stand for. Each sends
+``BANDS`` bands of ``ROWS`` minima over its 5-word shingles (recall 0.986 at a similarity of 0.8, 0.999 at 0.9); those of
+4 to 8 shingles, whose near partners are equal or a word shorter or longer at an end, send the hashes of the whole and of
+the whole without its first and its last word instead (with three bands besides at 8). Fewer shingles reach 0.8 only
+when equal. ``near_sets`` verifies exact Jaccard among the paragraphs of a band, whatever component they lie in.
 
-Hot lines: each scan batch sends a (band, hash) once, counts combine before they move, and pairs of one component are not
-verified again. Only the texts of colliding paragraphs are read again; their ids go with the scan up to ``ID_BOUND`` of them,
-and are joined by shuffle beyond.
+Verified pairs join into components; a place is removable if the first line or the first sentence of its component
+stands before it (document id, then position) and does not overlap it. Removable places that touch form a run; runs of
+``RUN`` words and more are removed, so single repeated headings stay.
+
+Hot lines: equal paragraphs combine in each task before they move, so a band sees each of them once; only the texts of
+colliding paragraphs are read again.
 
 Cases: null and empty texts have no paragraphs; rows without an id are left out; repeated rows remove each other's
-text as copies do, except that rows equal in id and text do not count as repeats; an empty table gives no rows; other
-columns are not read.
+text as copies do, except that rows equal in id and text do not count as repeats; a text of any length is handled whole;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,29 +27,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LOWER, SPACE, Scratch, blocks, checked, code_points, cut, mix, owner, powers, prefix_hash, runs, shingles, span_hash
+from .near_sets import SIMILARITY, WORDS, band_keys, near_edges
+from .shared import LOWER, SPACE, Scratch, blocks, checked, code_points, mix, owner, prefix_hash, runs, shingles, span_hash, word_runs_hash
 
-WORDS, SIMILARITY, BANDS, ROWS, LEAST, RUN, GAP, ID_BOUND = 5, 0.8, 8, 4, 9, 20, 5, 2_000_000
-SLOTS = 1 << 18  # of the counts by which shingles are ordered
-_RNG = np.random.default_rng(404)
-_A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+BANDS, ROWS, RUN = 6, 3, 20
+TRIMMED, BANDED = 4, 8  # shingles from which on a paragraph sends trimmed hashes, and bands
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
-PLACES = "doc_id bigint, w0 int, w1 int, c0 int, c1 int, h bigint"
-
-
-def word_runs_hash(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the words begin..end of each paragraph."""
-    up, down = powers(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+PLACES = "doc_id bigint, line boolean, w0 int, w1 int, c0 int, c1 int, h bigint"
 
 
-def paragraphs(data: np.ndarray, offsets: np.ndarray):
-    """(text, first word, end word, hash, bands, byte start, byte end) of all paragraphs of a block, bands as an array
-    of BANDS columns and a mask of the rows that have them."""
+def paragraphs(data: np.ndarray, offsets: np.ndarray, with_bands: bool = True):
+    """(text, is a line, first word, end word, hash, bands, has band, byte start, byte end, first word of its text) of all
+    paragraphs of a block; bands and the mask of those sent have ``BANDS`` columns."""
     low = LOWER[data]
     starts, ends = runs(~SPACE[data], offsets)
     whose = owner(starts, offsets)
@@ -63,83 +52,84 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray):
     new_sentence = new_line.copy()
     new_sentence[1:] |= _END[data[ends[:-1] - 1]]
     line, sentence = np.flatnonzero(new_line), np.flatnonzero(new_sentence)
-    both = []
-    for at in (line, sentence):
-        both.append((at, np.append(at[1:], n)))
-    parts = np.searchsorted(sentence, both[0][1]) - np.searchsorted(sentence, both[0][0])
-    out_b, out_e = np.concatenate([both[0][0][parts > 1], both[1][0]]), np.concatenate([both[0][1][parts > 1], both[1][1]])
-    # a line must not match a sentence of its own: the two sizes never meet
-    size = np.repeat(np.array([1, 0], np.uint64), [int((parts > 1).sum()), len(both[1][0])])
-    keep = out_e - out_b >= WORDS
-    out_b, out_e, size = out_b[keep], out_e[keep], size[keep]
-    order = np.argsort(out_b, kind="stable")
-    out_b, out_e, size = out_b[order], out_e[order], size[order]
-    if not len(out_b):
+    line_end, sentence_end = np.append(line[1:], n), np.append(sentence[1:], n)
+    several = np.searchsorted(sentence, line_end) - np.searchsorted(sentence, line) > 1  # a line of one sentence is that sentence
+    b, e = np.concatenate([line[several], sentence]), np.concatenate([line_end[several], sentence_end])
+    is_line = np.arange(len(b)) < several.sum()
+    keep = e - b >= WORDS
+    b, e, is_line = b[keep], e[keep], is_line[keep]
+    if not len(b):
         return None
-    h = word_runs_hash(words, out_b, out_e) ^ size
-    banded = out_e - out_b - WORDS + 1 >= LEAST
-    bands = np.zeros((len(out_b), BANDS), np.uint64)
-    # windows of all positions; those that leave a paragraph fall between its end and the next start
-    grams = np.zeros(n, np.uint64)
-    made, at = shingles(words, whose, WORDS)
-    grams[at] = made
-    bb, ee = out_b[banded], out_e[banded]
-    if len(bb):
-        width = ee - bb - WORDS + 1
-        index = np.repeat(bb - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(int(width.sum()))
-        values, first = grams[index], np.concatenate([[0], np.cumsum(width)[:-1]])
-        for k in range(BANDS):
-            key = np.uint64(2 * k + 1) + size[banded]
-            for r in range(k * ROWS, (k + 1) * ROWS):
-                least = np.minimum.reduceat((values * _A[r] + _B[r]) >> np.uint64(8), first)
-                key = mix(key * np.uint64(0x9FB21C651E98DF25) ^ least)
-            bands[banded, k] = key
-    return whose[out_b], out_b, out_e, h, bands, banded, starts[out_b], ends[out_e - 1], np.searchsorted(whose, whose[out_b])
+    order = np.argsort(b, kind="stable")
+    b, e, is_line = b[order], e[order], is_line[order]
+    h = word_runs_hash(words, b, e)
+    bands, sent = np.zeros((len(b), BANDS), np.uint64), np.zeros((len(b), BANDS), bool)
+    if with_bands:
+        width = e - b - WORDS + 1
+        # windows of all positions; those that leave a paragraph fall between its end and the next start
+        grams = np.zeros(n, np.uint64)
+        made, at = shingles(words, whose, WORDS)
+        grams[at] = made
+        wide = width >= BANDED
+        if wide.any():
+            bb, ww = b[wide], width[wide]
+            first = np.cumsum(ww) - ww
+            values = grams[np.repeat(bb - first, ww) + np.arange(int(ww.sum()))]
+            bands[wide] = band_keys(values, first, BANDS, ROWS)
+            sent[wide] = True
+        short = (width >= TRIMMED) & (width <= BANDED)
+        if short.any():
+            x, y = b[short], e[short]
+            for k, (p, q) in enumerate(((x, y), (x + 1, y), (x, y - 1))):
+                bands[short, k] = mix(word_runs_hash(words, p, q) ^ np.uint64(0x7A11))
+                sent[short, k] = True
+    return whose[b], is_line, b, e, h, bands, sent, starts[b], ends[e - 1], np.searchsorted(whose, whose[b])
 
 
 def _place_rows(batches):
     """Where each paragraph stands, in words and code points of its text."""
     for batch in batches:
         for part, data, offsets in blocks(batch, "text", 1 << 20):
-            got = paragraphs(data, offsets)
+            got = paragraphs(data, offsets, False)
             if got is None:
                 continue
-            text, b, e, h, _, _, s, t, first = got
+            text, is_line, b, e, h, _, _, s, t, first = got
             points = code_points(data)
             base = points[offsets[:-1]][text]
             whole = lambda x: pa.array(x.astype(np.int32))
-            arrays = [part.column(0).take(pa.array(text)), whole(b - first), whole(e - first), whole(points[s] - base), whole(points[t] - base), pa.array(h.view(np.int64))]
+            arrays = [part.column(0).take(pa.array(text)), pa.array(is_line), whole(b - first), whole(e - first), whole(points[s] - base), whole(points[t] - base), pa.array(h.view(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PLACES.split(", ")])
 
 
+_BAND_NAMES = [f"b{k}" for k in range(BANDS)]
+
+
 def _band_rows(batches):
-    """(key, h) of the banded paragraphs, each once a block."""
+    """(h, n, bands) of the paragraphs that may have near partners, each once a block with its number of places."""
     for batch in batches:
-        for _, data, offsets in blocks(batch, "text", 1 << 20):
+        for _, data, offsets in blocks(batch, "text", 4 << 20):
             got = paragraphs(data, offsets)
             if got is None:
                 continue
-            _, _, _, h, bands, banded, *_ = got
-            keys, h = bands[banded].view(np.int64).ravel(), np.repeat(h[banded].view(np.int64), BANDS)
-            order = np.lexsort((h, keys))
-            h, keys = h[order], keys[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (keys[1:] != keys[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(h[new])], names=["key", "h"])
+            _, _, _, _, h, bands, sent, *_ = got
+            at = np.flatnonzero(sent[:, 0])
+            own, first, n = np.unique(h[at], return_index=True, return_counts=True)
+            at = at[first]
+            columns = [pa.array(bands[at, k].view(np.int64), mask=~sent[at, k]) for k in range(BANDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n), *columns], names=["h", "n", *_BAND_NAMES])
 
 
 def _body_rows(wanted: np.ndarray | None):
-    """(h, body) of banded paragraphs, of those in the sorted array ``wanted`` where there is one; each once a block."""
+    """(h, body) of paragraphs, of those in the sorted array ``wanted`` where there is one; each once a block."""
 
     def run(batches):
         for batch in batches:
             for _, data, offsets in blocks(batch, "text", 1 << 20):
-                got = paragraphs(data, offsets)
+                got = paragraphs(data, offsets, False)
                 if got is None:
                     continue
-                _, _, _, h, _, banded, s, t, _ = got
-                h = h.view(np.int64)
-                keep = banded.copy()
+                _, _, b, e, h, _, _, s, t, _ = got
+                h, keep = h.view(np.int64), e - b >= WORDS + TRIMMED - 1
                 if wanted is not None:
                     keep &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                 at = np.flatnonzero(keep)
@@ -150,130 +140,12 @@ def _body_rows(wanted: np.ndarray | None):
     return run
 
 
-def _leaders(batches):
-    """Rows sorted by (key, h) to (key, h, lead) for each further hash of a key; one row of state."""
-    last, lead, before = None, 0, None
-    for batch in batches:
-        keys, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(keys):
-            continue
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        new[0] = last is None or keys[0] != last
-        lead_at = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-        leads = np.where(lead_at >= 0, h[np.maximum(lead_at, 0)], lead)
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | new[1:]
-        if not new[0] and before is not None:
-            fresh[0] = h[0] != before
-        pick = fresh & ~new & (h != leads)
-        last, lead, before = keys[-1], leads[-1], h[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[pick]), pa.array(h[pick]), pa.array(leads[pick])], names=["key", "h", "lead"])
-
-
-def _shingle_set(body: bytes) -> np.ndarray:
-    data = np.frombuffer(body, np.uint8)
-    at = np.array([0, len(data)])
-    starts, ends = runs(~SPACE[data], at)
-    return np.unique(shingles(span_hash(prefix_hash(data), starts, ends), np.zeros(len(starts), np.int64), WORDS)[0])
-
-
-def _verified(similarity: float):
-    """(h, lead) of the pairs that are near."""
-
-    def run(batches):
-        memory: dict[int, np.ndarray] = {}
-
-        def shingle_set(key, body):
-            if key not in memory:
-                if len(memory) > 2000:
-                    memory.clear()
-                memory[key] = _shingle_set(body.as_py())
-            return memory[key]
-
-        for batch in batches:
-            ok = []
-            for h, lead, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                a, b = shingle_set(h, x), shingle_set(lead, y)
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(same >= similarity * (len(a) + len(b) - same))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _counts(batches):
-    """(slot, n): how many shingles of the bodies fall in each of SLOTS slots."""
-    total = np.zeros(SLOTS, np.int64)
-    for batch in batches:
-        for body in batch.column(1):
-            total[(_shingle_set(body.as_py()) % np.uint64(SLOTS)).astype(np.int64)] += 1  # slots shared within a set count once
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-
-def _prefix_rows(often: np.ndarray, similarity: float):
-    """(s, h, n): of each body of n shingles the rarest ones, in an order that is the same for all bodies. A near body
-    holds ``similarity`` of n at least, so it shares one of the first that are one more than the others."""
-
-    def run(batches):
-        for batch in batches:
-            keys, sizes, found = [], [], []
-            for h, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = _shingle_set(body.as_py())
-                n = len(values)
-                count = often[(values % np.uint64(SLOTS)).astype(np.int64)]
-                first = np.lexsort((values, count))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                first = first[count[first] > 1]  # alone in its slot: no other body has it
-                keys += [h] * len(first)
-                sizes += [n] * len(first)
-                found.append(values[first])
-            s = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["s", "h", "n"])
-
-    return run
-
-
 def near_pairs(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text) to verified pairs (a, b) of content hashes, whose components hold all near paragraphs that met.
-
-    First each member of a band is verified against the band's leader; then, of the bands whose members lie in more
-    than one component, all near pairs across components are found by an exact prefix join."""
-    bands = rows.mapInArrow(_band_rows, "key bigint, h bigint")
-    todo = cut(bands.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_leaders, "key bigint, h bigint, lead bigint"))
-    ids = cut(todo.select("h").union(todo.select("lead")).distinct().withColumnRenamed("h", "i"))
-    n_ids = ids.count()
-    if not n_ids:
-        return todo.select(F.col("h").alias("a"), F.col("lead").alias("b"))
-    if n_ids <= ID_BOUND:
-        bodies = rows.mapInArrow(_body_rows(np.sort(ids.toPandas()["i"].to_numpy(np.int64))), "h bigint, body binary")
-    else:
-        bodies = rows.mapInArrow(_body_rows(None), "h bigint, body binary").join(ids, F.col("h") == F.col("i"), "left_semi")
-    bodies = cut(bodies.groupBy("h").agg(F.min("body").alias("body")))
-    left, right = bodies.select(F.col("h").alias("l"), F.col("body").alias("x")), bodies.select(F.col("h").alias("r"), F.col("body").alias("y"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(left, F.col("h") == F.col("l")).join(right, F.col("lead") == F.col("r")).select("h", "lead", "x", "y")
-        return cut(full.mapInArrow(_verified(similarity), "a bigint, b bigint"))
-
-    good = near(todo.select("h", "lead").distinct())  # the same pair from several bands is verified once
-    roots = components(good)
-    of = lambda c: roots.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root"))
-    rooted = todo.join(of("h"), F.col("h") == F.col("h_node"), "left").join(of("lead"), F.col("lead") == F.col("lead_node"), "left")
-    apart = F.coalesce("h_root", "h") != F.coalesce("lead_root", "lead")
-    unlike = rooted.filter(apart).select(F.col("key").alias("k")).distinct()
-    members = todo.join(unlike, F.col("key") == F.col("k"), "left_semi")
-    members = members.select("h").union(members.select("lead")).distinct().withColumnRenamed("h", "m")
-    some = cut(bodies.join(members, F.col("h") == F.col("m"), "left_semi"))
-    counts = some.mapInArrow(_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    often = np.zeros(SLOTS, np.int32)
-    often[counts["slot"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
-    prefix = some.mapInArrow(_prefix_rows(often, similarity), "s bigint, h bigint, n int").join(of("h"), F.col("h") == F.col("h_node"), "left")
-    prefix = cut(prefix.select("s", "h", "n", F.coalesce("h_root", "h").alias("root")))
-    other = prefix.select(F.col("s").alias("s2"), F.col("h").alias("lead"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    sized = (F.col("n") >= similarity * F.col("n2") - 1e-6) & (F.col("n2") >= similarity * F.col("n") - 1e-6)
-    across = prefix.join(other, (F.col("s") == F.col("s2")) & (F.col("root") != F.col("root2")) & (F.col("h") < F.col("lead")) & sized)
-    return good.union(near(across.select("h", "lead").distinct()))
+    """(doc_id, text) to verified pairs (a, b) of content hashes, whose components hold all near paragraphs that met."""
+    made = rows.mapInArrow(_band_rows, "h bigint, n bigint, " + ", ".join(f"{b} bigint" for b in _BAND_NAMES))
+    known = made.groupBy("h").agg(F.sum("n").alias("n"), *[F.max(b).alias(b) for b in _BAND_NAMES])
+    members = known.select(F.explode(F.array(*_BAND_NAMES)).alias("key"), "h", "n").filter("key is not null")
+    return near_edges(members, lambda wanted: rows.mapInArrow(_body_rows(wanted), "h bigint, body binary"), similarity)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN, similarity: float = SIMILARITY) -> DataFrame:
@@ -283,14 +155,24 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     roots = components(near_pairs(rows, similarity))
     places = scratch.table("places", rows.mapInArrow(_place_rows, PLACES))
-    known = places.groupBy("h").agg(F.min(F.struct("doc_id", "w0")).alias("first"), F.max(F.struct("doc_id", "w0")).alias("last"))
-    classed = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "first", "last", F.coalesce("root", "h").alias("class"))
-    heads = classed.groupBy("class").agg(F.min("first").alias("head"), F.max("last").alias("tail")).filter("head <> tail")
-    multi = checked(classed.join(heads.withColumnRenamed("class", "c"), F.col("class") == F.col("c")).select(F.col("h").alias("g"), "head"), 100_000)
-    extra = places.join(multi, F.col("h") == F.col("g")).filter(F.struct("doc_id", "w0") > F.col("head"))
+    at = F.struct("doc_id", "w0", "w1")
+    known = places.groupBy("h").agg(F.min(F.when(F.col("line"), at)).alias("line"), F.min(F.when(~F.col("line"), at)).alias("sentence"), F.min(at).alias("first"), F.max(at).alias("last"))
+    classed = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "line", "sentence", "first", "last", F.coalesce("root", "h").alias("class"))
+    heads = classed.groupBy("class").agg(*[F.min(c).alias(c) for c in ("line", "sentence", "first")], F.max("last").alias("last")).filter("first <> last")
+    heads = heads.select(F.col("class").alias("c"), F.col("line").alias("line_head"), F.col("sentence").alias("sentence_head"))
+    multi = checked(classed.join(heads, F.col("class") == F.col("c")).select(F.col("h").alias("g"), "line_head", "sentence_head"), 100_000)
+    here = F.struct("doc_id", "w0")
+
+    def earlier(head: str):
+        """The head's document, where the head stands before this place and does not overlap it."""
+        h = F.col(head)
+        before = F.struct(h["doc_id"].alias("doc_id"), h["w0"].alias("w0")) < here
+        return F.when(h.isNotNull() & before & ((h["doc_id"] != F.col("doc_id")) | (h["w1"] <= F.col("w0"))), h["doc_id"])
+
+    extra = places.join(multi, F.col("h") == F.col("g")).select("doc_id", "w0", "w1", "c0", "c1", F.least(earlier("line_head"), earlier("sentence_head")).alias("k")).filter("k is not null")
     by_doc = Window.partitionBy("doc_id").orderBy("w0", F.desc("w1"))
     before = F.max("w1").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    marked = extra.select("doc_id", "w0", "w1", "c0", "c1", F.col("head.doc_id").alias("k")).withColumn("new", (before.isNull() | (F.col("w0") > before + GAP)).cast("int"))
+    marked = extra.withColumn("new", (before.isNull() | (F.col("w0") > before)).cast("int"))
     islands = marked.withColumn("island", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     out = islands.groupBy("doc_id", "island").agg(F.min("c0").alias("start"), F.max("c1").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"), F.min("k").alias("kept_doc_id"))
     return out.filter(F.col("n_words") >= run_words).select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("n_words").cast("bigint").alias("n_words"), "kept_doc_id")

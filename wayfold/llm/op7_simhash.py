@@ -1,17 +1,23 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Texts become 64-bit fingerprints of their 3-word shingles; equal fingerprints meet in one row first, so exact copies
-cost nothing later. Two fingerprints at 3 or fewer differing bits agree in one of four 16-bit fields, hence a row goes
-to four buckets; a bucket over ``LIMIT`` rows is dealt again by the same argument over four parts of the other 48 bits
-(the table of such buckets has at most 4 * 65536 rows, which bounds its broadcast). Within a bucket fingerprints are
-sorted by Gray rank, so neighbours share long bit patterns; a node keeps the bits all its entries share, less those
-already kept above it, and a search adds up the differences on the way down and leaves a group once they exceed 3.
-The search walks each bucket breadth first and gives one edge to each newly reached fingerprint, a forest and never
-all pairs; the forests of all buckets join in ``components``.
+cost nothing later. Two fingerprints at 3 or fewer differing bits agree in one of four 16-bit fields, so each goes to
+the index four times, rotated so that the field leads; a field's value over ``LIMIT`` rows is dealt again by the same
+argument over four parts of the other 48 bits (the table of such values has at most 4 * 65536 rows, which bounds its
+broadcast). A task holds a share of these values, each whole, and builds one index over all its entries, in ranges of
+about ``RANGE``: entries are sorted by field and Gray rank, so that neighbours share long bit patterns; a node keeps the
+bits all its entries share, less those already kept above it. A batch of queries goes down the hierarchy together,
+adding up differences, and leaves a group once its field differs or the differences exceed 3. Entries reached are taken
+out of the index and asked in their turn, so that a dense group costs edges in proportion to its size, never all pairs.
+The edges of all tasks join in ``components``.
+
+``near_copies`` applies fingerprints to whole texts at a Jaccard similarity of 0.8 over 5-word shingles: 64 bits cannot
+reach that far (near texts differ in about 10 bits there), so what fingerprints link is verified, and MinHash bands give
+the other candidates.
 
 Cases: null and empty texts have fingerprint zero and link like others; fewer than three words give one shingle; rows
-with equal texts share a component; a null id is never the smallest unless alone; an empty table gives no rows; other
-columns are not read.
+with equal texts share a component; a null id is never the smallest unless alone; a text of any length is handled whole;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,25 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LOWER, SPACE, blocks, cut, owner, runs
+from .near_sets import SIMILARITY, WORDS, band_keys, near_edges
+from .shared import blocks, cut, few, joined_words, prefix_hash, shingles, span_hash, word_runs_hash
 
-LIMIT, FAN, SMALL, BITS = 4096, 16, 48, 3
-
-
-def joined_words(data: np.ndarray, offsets: np.ndarray):
-    """Lower-cased bytes with one space after each word; word starts and ends in them, and the text of each word."""
-    data = LOWER[data]
-    starts, ends = runs(~SPACE[data], offsets)
-    whose = owner(starts, offsets)
-    lengths = ends - starts
-    new_start = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if len(starts) else starts
-    keep = np.zeros(int(lengths.sum()) + len(starts), np.uint8)
-    keep[:] = 32
-    inside = ~SPACE[data]
-    target = np.ones(len(keep), bool)
-    target[new_start + lengths] = False
-    keep[target] = data[inside]
-    return keep, new_start, new_start + lengths, whose
+LIMIT, FAN, RANGE, BATCH, BITS = 4096, 16, 100_000, 2048, 3
+COPY_BANDS, COPY_ROWS = 10, 3  # recall 0.999 at a similarity of 0.8
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -88,114 +80,103 @@ class GrayIndex:
     def __init__(self, prints: np.ndarray):
         self.leaves = prints
         value, mask = prints, np.full(len(prints), ~np.uint64(0))
-        levels = []
-        while True:
-            live = np.full(len(value), 1, np.int64) if not levels else np.add.reduceat(levels[-1][3], cut_at)
-            levels.append([value, mask, None, live])
-            if len(value) <= FAN:
-                break
+        live = np.ones(len(prints), np.int64)
+        levels = [[value, mask, live]]
+        while len(value) > FAN:
             cut_at = np.arange(0, len(value), FAN)
-            both, some = np.bitwise_and.reduceat(value & mask, cut_at), np.bitwise_or.reduceat(value & mask, cut_at)
-            shared = ~(both ^ some) & np.bitwise_and.reduceat(mask, cut_at)
-            levels[-1][2] = mask & ~np.repeat(shared, FAN)[: len(value)]
-            value, mask = both & shared, shared
-        levels[-1][2] = levels[-1][1]
+            every = np.bitwise_and.reduceat(mask, cut_at)
+            both, some = np.bitwise_and.reduceat(value, cut_at), np.bitwise_or.reduceat(value, cut_at)
+            shared = ~(both ^ some) & every
+            levels[-1][1] = mask & ~np.repeat(shared, FAN)[: len(value)]  # what the node above keeps already goes
+            value, mask, live = both & shared, shared, np.add.reduceat(live, cut_at)
+            levels.append([value, mask, live])
         self.levels = levels
 
-    def near(self, query: np.uint64, bits: int = BITS) -> np.ndarray:
-        """Live leaves at ``bits`` or fewer differences."""
-        nodes, total = np.arange(len(self.levels[-1][0])), None
+    def near(self, queries: np.ndarray, exact: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+        """(query, live leaf) at ``bits`` or fewer differences, none of them in the query's ``exact`` bits."""
+        top = len(self.levels[-1][0])
+        q, node = np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries))
+        total = np.zeros(len(q), np.uint8)
         for depth in range(len(self.levels) - 1, -1, -1):
-            value, _, residual, live = self.levels[depth]
-            if total is not None:
-                nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
-                total = np.repeat(total, FAN)[nodes < len(value)]
-                nodes = nodes[nodes < len(value)]
-            here = np.bitwise_count((value[nodes] ^ query) & residual[nodes]).astype(np.int64)
-            total = here if total is None else total + here
-            keep = (total <= bits) & (live[nodes] > 0)
-            nodes, total = nodes[keep], total[keep]
-            if not len(nodes):
-                break
-        return nodes
+            value, residual, live = self.levels[depth]
+            unlike = (value[node] ^ queries[q]) & residual[node]
+            total = total + np.bitwise_count(unlike)
+            keep = np.flatnonzero((total <= bits) & (unlike & exact[q] == 0) & (live[node] > 0))
+            q, node, total = q[keep], node[keep], total[keep]
+            if depth:
+                below = len(self.levels[depth - 1][0])
+                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                q, total = np.repeat(q, FAN), np.repeat(total, FAN)
+                inside = node < below
+                if not inside.all():
+                    q, node, total = q[inside], node[inside], total[inside]
+        return q, node
 
     def drop(self, leaves: np.ndarray) -> None:
-        for _, _, _, live in self.levels:
+        for _, _, live in self.levels:
             np.subtract.at(live, leaves, 1)
             leaves = leaves // FAN
 
 
-def forest(prints: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the components of one bucket: (leaf, the leaf it was reached from)."""
-    index, edges = GrayIndex(prints), []
-    done = np.zeros(len(prints), bool)
-    for seed in range(len(prints)):
-        if done[seed]:
-            continue
-        done[seed] = True
-        index.drop(np.array([seed]))
-        front = [seed]
-        while front:
-            at = front.pop()
-            new = index.near(prints[at])
-            if len(new):
-                done[new] = True
-                index.drop(new)
-                edges += [(int(x), at) for x in new]
-                front += new.tolist()
-    return edges
-
-
-def bucket_edges(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of all buckets; small ones are leaves, compared entry by entry in Gray order."""
-    order = np.lexsort((gray_rank(prints), keys))
-    keys, prints = keys[order], prints[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(first, len(keys)))
+def forest(prints: np.ndarray, exact: np.ndarray, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (leaf, leaf) that span the links of a range: breadth first, in batches of queries in order of the entries."""
+    index, waiting = GrayIndex(prints), np.zeros(0, np.int64)
+    fresh, seed = np.ones(len(prints), bool), 0
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, n in zip(first[sizes > SMALL], sizes[sizes > SMALL]):
-        pairs = np.array(forest(prints[a : a + n]), np.int64).reshape(-1, 2) + a
-        left.append(pairs[:, 0])
-        right.append(pairs[:, 1])
-    small = np.repeat(sizes <= SMALL, sizes)
-    prints_s, keys_s = prints[small], keys[small]
-    place = np.flatnonzero(small)
-    parent = np.arange(len(prints))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    joined: list[tuple[int, int]] = []
-    for step in range(1, int(sizes[sizes <= SMALL].max(initial=0))):
-        same = keys_s[step:] == keys_s[:-step]
-        close = np.flatnonzero(same & (np.bitwise_count(prints_s[step:] ^ prints_s[:-step]) <= BITS))
-        for i, j in zip(place[close].tolist(), place[close + step].tolist()):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[b] = a
-                joined.append((i, j))
-    pairs = np.array(joined, np.int64).reshape(-1, 2)
-    left.append(pairs[:, 0])
-    right.append(pairs[:, 1])
-    a, b = np.concatenate(left), np.concatenate(right)
+    while True:
+        ask, waiting = waiting[:batch], waiting[batch:]
+        if not len(ask):
+            while seed < len(prints) and not len(ask):
+                part = np.arange(seed, min(seed + batch, len(prints)))
+                ask, seed = part[fresh[part]], seed + batch
+            if not len(ask):
+                break
+            fresh[ask] = False
+        q, leaf = index.near(prints[ask], exact[ask])
+        other = ask[q] != leaf
+        q, leaf = ask[q[other]], leaf[other]
+        # the queries are answered now, the entries they reached wait for their turn; neither is reached again
+        reached = np.unique(leaf[fresh[leaf]])
+        fresh[reached] = False
+        gone = np.union1d(reached, ask)
+        index.drop(gone[index.levels[0][2][gone] > 0])
+        waiting = np.concatenate([waiting, reached])
+        # of all (query, leaf) one edge a leaf, and one edge for each two queries that reached the same leaf
+        order = np.lexsort((q, leaf))
+        q, leaf = q[order], leaf[order]
+        first = np.ones(len(leaf), bool)
+        first[1:] = leaf[1:] != leaf[:-1]
+        head = q[np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))] if len(q) else q
+        pairs = np.unique(np.stack([head[~first], q[~first]], 1), axis=0) if len(q) else np.zeros((0, 2), np.int64)
+        left += [leaf[first], pairs[:, 0]]
+        right += [q[first], pairs[:, 1]]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def range_edges(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges among entries (key, fingerprint) of whole keys; a key's field is the bits its links must agree in."""
+    field = (keys >> 15) // 65536
+    # rotate the field to the front, so that Gray order keeps its values together
+    turn = ((field + 1) * 16 % 64).astype(np.uint64)
+    turned = np.where(turn == 0, prints, (prints >> turn) | (prints << (np.uint64(64) - turn) % np.uint64(64)))
+    order = np.lexsort((gray_rank(turned), field))
+    prints, field = prints[order], field[order]
+    a, b = forest(prints, np.uint64(0xFFFF) << (field * 16).astype(np.uint64))
     return prints[a].view(np.int64), prints[b].view(np.int64)
 
 
 def _edges(batches):
-    """Partitions sorted by key: whole buckets go on as soon as 50,000 rows are there."""
+    """Partitions sorted by key: whole keys go on as soon as ``RANGE`` rows are there."""
     keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def give(k, p):
-        a, b = bucket_edges(k, p)
+        a, b = range_edges(k, p)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
         keys = np.concatenate([keys, batch.column(0).to_numpy()])
         prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.uint64)])
-        if len(keys) >= 50_000 and keys[0] != keys[-1]:
+        if len(keys) >= RANGE and keys[0] != keys[-1]:
             n = int(np.searchsorted(keys, keys[-1]))
             yield give(keys[:n], prints[:n])
             keys, prints = keys[n:], prints[n:]
@@ -203,7 +184,7 @@ def _edges(batches):
         yield give(keys, prints)
 
 
-def near_edges(prints: DataFrame) -> DataFrame:
+def print_edges(prints: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to edges (a, b) whose components are those of all links at 3 or fewer bits."""
     fields = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
     rows = prints.select("fp", F.posexplode(F.array(*fields)).alias("field", "value")).select("fp", "field", "value", (F.col("field") * 65536 + F.col("value")).alias("bucket"))
@@ -226,12 +207,76 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = cut(rows.mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint"))
     known = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_edges(known.select("fp")))
+    roots = components(print_edges(known.select("fp")))
     placed = known.join(roots, known["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(placed.join(least, "root").select(F.col("fp").alias("f"), "component_id"))
     return made.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+_COPY_BANDS = [f"b{k}" for k in range(COPY_BANDS)]
+
+
+def text_sets(data: np.ndarray, offsets: np.ndarray):
+    """(content hash of each text, joined bytes, byte borders, shingle hashes, where each text's shingles begin)."""
+    n = len(offsets) - 1
+    text, starts, ends, whose = joined_words(data, offsets)
+    words = span_hash(prefix_hash(text), starts, ends)
+    border = np.searchsorted(whose, np.arange(n + 1))
+    made, at = shingles(words, whose, WORDS)
+    return word_runs_hash(words, border[:-1], border[1:]).view(np.int64), text, np.append(starts, len(text))[border], made, np.searchsorted(whose[at], np.arange(n + 1))
+
+
+def _copy_rows(batches):
+    for batch in batches:
+        for part, data, offsets in blocks(batch, "text", 1 << 20):
+            h, _, _, made, border = text_sets(data, offsets)
+            some = np.flatnonzero(border[1:] > border[:-1])
+            prints, keys = np.zeros(len(h), np.uint64), np.zeros((len(h), COPY_BANDS), np.uint64)
+            if len(some):
+                first = border[some]
+                ones = np.add.reduceat(np.unpackbits(made.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), first, axis=0, dtype=np.int32)
+                prints[some] = np.packbits(ones * 2 > (border[some + 1] - first)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
+                keys[some] = band_keys(made, first, COPY_BANDS, COPY_ROWS)
+            none = border[1:] == border[:-1]
+            columns = [pa.array(x.view(np.int64), mask=none) for x in (prints, *np.ascontiguousarray(keys.T))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h), *columns], names=["doc_id", "h", "fp", *_COPY_BANDS])
+
+
+def _copy_bodies(wanted: np.ndarray | None):
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in blocks(batch, "text", 1 << 20):
+                h, text, border, *_ = text_sets(data, offsets)
+                at = np.unique(h, return_index=True)[1]
+                if wanted is not None:
+                    at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array([text[border[t] : border[t + 1]].tobytes() for t in at.tolist()], pa.binary())], names=["h", "body"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): a row for each input row; texts equal in words, or near by exact Jaccard similarity of their
+    5-word shingles, share a component, named by its smallest id. Texts under five words have equal copies only."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    made = cut(rows.mapInArrow(_copy_rows, "doc_id bigint, h bigint, fp bigint, " + ", ".join(f"{b} bigint" for b in _COPY_BANDS)))
+    known = cut(made.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("fp", *_COPY_BANDS)]))
+    some = known.filter("fp is not null")
+    # the most frequent text of a fingerprint stands for it
+    heads = cut(some.groupBy("fp").agg(F.max(F.struct("n", "h")).alias("x")).select("fp", F.col("x.h").alias("lead")))
+    links = print_edges(heads.select("fp"))
+    head = lambda c: heads.select(F.col("fp").alias(f"{c}_fp"), F.col("lead").alias(c))
+    linked = links.join(head("h"), F.col("a") == F.col("h_fp")).join(head("lead"), F.col("b") == F.col("lead_fp")).select("h", "lead")
+    same = some.select("h", "fp").join(heads, "fp").filter("h <> lead").select("h", "lead")
+    members = some.select(F.explode(F.array(*_COPY_BANDS)).alias("key"), "h", "n")
+    body_rows = lambda wanted: rows.mapInArrow(_copy_bodies(wanted), "h bigint, body binary")
+    roots = components(near_edges(members, body_rows, similarity, linked.union(same)))
+    placed = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(placed.join(least, "root").select(F.col("h").alias("g"), "component_id"))
+    return made.join(named, F.col("h") == F.col("g")).select("doc_id", "component_id")
+
+
 def op7_simhash_components(docs: DataFrame) -> DataFrame:
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -33,12 +33,17 @@ _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``. Where the session names none, a temporary one in local mode; on a
+    cluster, whose executors could not read it, an error."""
     sc = spark.sparkContext
     here = sc._jsc.sc().getCheckpointDir()
     if here.isDefined():
         return here.get()
-    root = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-")
+    root = sc.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="wayfold-")
     sc.setCheckpointDir(root)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -93,6 +98,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def few(df: DataFrame, rows: int, per: int = 50_000) -> DataFrame:
+    """What a shuffle deals out, in tasks of ``per`` rows at least: small tables do not pay for each shuffle partition."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 def checked(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
     """A narrow table, written and counted: marked for broadcast up to ``bound`` rows, joined by shuffle beyond."""
     df = cut(df)
@@ -203,6 +213,30 @@ def shingles(tokens: np.ndarray, owners: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(h[at]), at
 
 
+def joined_words(data: np.ndarray, offsets: np.ndarray):
+    """Lower-cased bytes with one space after each word; word starts and ends in them, and the text of each word."""
+    data = LOWER[data]
+    starts, ends = runs(~SPACE[data], offsets)
+    whose = owner(starts, offsets)
+    lengths = ends - starts
+    new_start = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if len(starts) else starts
+    keep = np.zeros(int(lengths.sum()) + len(starts), np.uint8)
+    keep[:] = 32
+    inside = ~SPACE[data]
+    target = np.ones(len(keep), bool)
+    target[new_start + lengths] = False
+    keep[target] = data[inside]
+    return keep, new_start, new_start + lengths, whose
+
+
+def word_runs_hash(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words begin..end of each paragraph."""
+    up, down = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """For each byte position (and the end) how many code points begin before it."""
     out = np.zeros(len(data) + 1, np.int64)
