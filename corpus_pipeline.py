@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import near_texts, op1_pii, op2_decontaminate, op6_mixture, op10_quality
+from wayfold.llm import op1_pii, op2_decontaminate, op6_mixture, op7_simhash, op10_quality
 from wayfold.llm.shared import Scratch, checked
 
 #: The stages learn, hash and sample; no SQL says their rows.
@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a Jaccard similarity of 0.8 over 5-word shingles the smallest id stays; rows without an id stay."""
-    groups = near_texts.near_groups(docs)
+    groups = op7_simhash.near_copies(docs)
     extra = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     extra = checked(extra)
     return docs.join(extra, docs["doc_id"] == extra["_gone"], "left_anti")
