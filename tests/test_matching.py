@@ -9,11 +9,26 @@ from wayfold.operators import matching as M
 
 
 def test_greedy_takes_the_nearest_pair(spark):
-    rows = [("a", 4, 1, 1), ("a", 6, 2, 1), ("b", 0, 1, 1), ("b", 0, 1, 2)]
-    out = M.greedy_match(spark.createDataFrame(rows, "k string, delta long, pi long, gi long"), ["k"]).collect()
+    rows = [("a", 4, 1, 1, 0), ("a", 6, 2, 1, 10), ("b", 0, 1, 1, 0), ("b", 0, 1, 2, 0)]
+    out = M.greedy_match(spark.createDataFrame(rows, "k string, delta long, pi long, gi long, t long"), ["k"], "t", 20).collect()
     assert sorted((x.k, x.pi, x.gi) for x in out) == [("a", 1, 1), ("b", 1, 1)]
 
 
+def test_greedy_equals_the_sorted_pass(spark):
+    """Ties in plenty, clusters of time of all sizes."""
+    rng = np.random.default_rng(11)
+    p, g, tol = np.sort(rng.integers(0, 900, 120)), np.sort(rng.integers(0, 900, 100)), 6
+    pairs = [(int(abs(a - b)), i, j, int(a)) for i, a in enumerate(p) for j, b in enumerate(g) if abs(a - b) <= tol]
+    used_p, used_g, want = set(), set(), set()
+    for _, i, j, _ in sorted(pairs):
+        if i not in used_p and j not in used_g:
+            used_p.add(i)
+            used_g.add(j)
+            want.add((i, j))
+    df = spark.createDataFrame([("k", *x) for x in pairs], "k string, delta long, pi long, gi long, t long")
+    assert {(r.pi, r.gi) for r in M.greedy_match(df, ["k"], "t", 2 * tol).collect()} == want
+
+
 def test_assignment_is_cheapest():
     rng = np.random.default_rng(3)
     for n, m in ((1, 1), (2, 4), (4, 3), (5, 5)):
@@ -46,9 +61,13 @@ def test_band_join_equals_brute_force(spark):
     assert got == sorted((x, y) for x in left for y in right if abs(x - y) <= 7)
 
 
-def test_nearest_site_by_rings_equals_broadcast(spark):
+def test_nearest_site_equals_brute_force(spark):
     rng = np.random.default_rng(7)
-    pts = spark.createDataFrame([(i, *map(int, rng.integers(-100, 100, 2))) for i in range(60)], "id long, x long, y long")
-    sites = spark.createDataFrame([(i, *map(int, rng.integers(-100, 100, 2))) for i in range(20)], "sensor_id long, x long, y long")
-    key = lambda df: sorted((r.id, r.sensor_id, r.d2) for r in df.collect())
-    assert key(M.nearest_site(pts, sites)) == key(M.nearest_site(pts, sites, limit=0))
+    pts = [(i, *map(int, rng.integers(-100, 100, 2))) for i in range(60)] + [(60, 5000, -4000), (61, 5000, -4000)]
+    for n in (1, 20, 300):
+        sites = [(i, *map(int, rng.integers(-100, 100, 2))) for i in range(n)]
+        got = {r.id: (r.sensor_id, r.d2) for r in M.nearest_site(spark.createDataFrame(pts, "id long, x long, y long"), spark.createDataFrame(sites, "sensor_id long, x long, y long")).collect()}
+        want = {i: min(((x - a) ** 2 + (y - b) ** 2, k) for k, a, b in sites) for i, x, y in pts}
+        assert got == {i: (k, float(d)) for i, (d, k) in want.items()}
+    none = spark.createDataFrame([], "sensor_id long, x long, y long")
+    assert {r.sensor_id for r in M.nearest_site(spark.createDataFrame(pts, "id long, x long, y long"), none).collect()} == {None}

@@ -1,8 +1,7 @@
 """Joins by position, time, distance and one-to-one assignment.
 
 As-of joins run as one window over the union of both sides; band and radius joins first meet in buckets of the tolerance,
-so no side is compared with all of the other; greedy matching runs as rounds of mutual minima, which pick the same
-pairs as the sorted greedy pass because the order (distance, prediction, truth) is total.
+so no side is compared with all of the other; greedy matching folds clusters of candidates that share no time with others.
 """
 
 from __future__ import annotations
@@ -48,57 +47,59 @@ def band_join(left: DataFrame, right: DataFrame, keys: Names, lt: str, rt: str,
     return a.join(b, [*keys, "_b"]).filter(F.abs(F.col(lt) - F.col(rt)) <= tolerance).drop("_b")
 
 
-def greedy_pairs(candidates: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one pairs of one group, least delta first."""
-    used_p, used_g, keep = set(), set(), []
-    for i, p, g in candidates.sort_values(["delta", "pi", "gi"])[["pi", "gi"]].itertuples():
-        if p not in used_p and g not in used_g:
-            used_p.add(p)
-            used_g.add(g)
-            keep.append(i)
-    return candidates.loc[keep]
+def greedy_match(candidates: DataFrame, keys: Names, time: str, reach: float) -> DataFrame:
+    """Greedy one-to-one matching of candidate rows (keys, delta, pi, gi, time): least (delta, pi, gi) first.
 
+    Rows whose times differ by more than ``reach`` share neither side, so a sequence falls apart into clusters of time; a
+    cluster is one short sorted array, folded on the JVM. Long sequences are many clusters, not one group."""
+    w = Window.partitionBy(*keys).orderBy(time, "pi", "gi")
+    gap = F.col(time) - F.max(time).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = candidates.withColumn("_new", (F.coalesce(gap, F.lit(0)) > reach).cast("int")).withColumn("_c", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pair = F.struct("delta", "pi", "gi")
+    clusters = marked.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(pair)).alias("_all"))
 
-def greedy_match(candidates: DataFrame, keys: Names) -> DataFrame:
-    """Greedy one-to-one matching of candidate rows (keys, delta, pi, gi); one group is one camera's candidates."""
-    cols = [*keys, "delta", "pi", "gi"]
-    return candidates.select(*cols).groupBy(*keys).applyInPandas(greedy_pairs, candidates.select(*cols).schema)
+    def take(kept, x):
+        free = ~F.exists(kept, lambda k: (k["pi"] == x["pi"]) | (k["gi"] == x["gi"]))
+        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
 
+    kept = F.aggregate("_all", F.slice("_all", 1, 0), take)
+    return clusters.select(*keys, F.inline(kept))
 
-def mutual_minima(candidates: DataFrame, keys: Names) -> DataFrame:
-    """The pairs that are least in both their row and their column: one round of the relational form."""
-    s = F.struct("delta", "pi", "gi")
-    a = F.min(s).over(Window.partitionBy(*keys, "pi"))
-    b = F.min(s).over(Window.partitionBy(*keys, "gi"))
-    return candidates.withColumns({"_a": a, "_b": b}).filter((F.col("_a") == s) & (F.col("_b") == s)).drop("_a", "_b")
 
-
-def nearest_site(points: DataFrame, sites: DataFrame, limit: int = 200_000) -> DataFrame:
+def nearest_site(points: DataFrame, sites: DataFrame, per_cell: float = 4.0) -> DataFrame:
     """Each point with its nearest site (lowest id in ties) and the squared distance.
 
-    Sites up to ``limit`` are broadcast once counted; beyond, both sides meet in grid cells, widening ring by ring until
-    each point has a site within the ring, which is then nearest by construction."""
-    n = sites.count()
-    d2 = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2
-    s = sites.select("sensor_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    if n <= limit:
-        packed = s.agg(F.array_sort(F.collect_list(F.struct("sensor_id", "sx", "sy"))).alias("sites"))
-        best = F.expr("aggregate(sites, named_struct('d', double('infinity'), 'i', bigint(-1)), (a, s) -> CASE WHEN (x - s.sx) * (x - s.sx) + (y - s.sy) * (y - s.sy) < a.d THEN named_struct('d', double((x - s.sx) * (x - s.sx) + (y - s.sy) * (y - s.sy)), 'i', bigint(s.sensor_id)) ELSE a END)")
-        return points.crossJoin(F.broadcast(packed)).withColumn("_m", best).select(*points.columns, F.col("_m.i").alias("sensor_id"), F.col("_m.d").alias("d2"))
-    box = sites.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    cell = max(((box[1] - box[0]) * (box[3] - box[2]) / n) ** 0.5 * 2, 1e-9)
-    at = lambda c: F.floor(F.col(c) / cell)
-    todo, done, ring = points.withColumn("_id", F.monotonically_increasing_id()), None, 1
+    Distinct positions are looked up, once each. Each site goes to the cells of a square grid around its own up to a
+    ring; a position is settled once a site lies within that ring, as no other can be nearer then. Those left look into a
+    grid of four times the cell; the last ring covers the box of everything. Positions, not points, move in these joins,
+    and a cell of the finest grid holds about ``per_cell`` sites."""
+    s = sites.select("sensor_id", F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"))
+    todo = points.select(F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
+    box = s.agg(F.count("*").alias("n"), *[fn(c).alias(f"{k}{c}") for k, fn in (("lo", F.min), ("hi", F.max)) for c in ("sx", "sy")]).first()
+    if not box.n:
+        return points.withColumns({"sensor_id": F.lit(None).cast("bigint"), "d2": F.lit(None).cast("double")})
+    span = todo.agg(*[fn(c).alias(f"{k}{c}") for k, fn in (("lo", F.min), ("hi", F.max)) for c in ("_x", "_y")]).first()
+    if span[0] is None:
+        return points.withColumns({"sensor_id": F.lit(None).cast("bigint"), "d2": F.lit(None).cast("double")})
+    width = max(box.hisx - box.losx, box.hisy - box.losy, 1.0)
+    cell = max((width * width / box.n * per_cell) ** 0.5, 1e-6)
+    far = max(abs(a - b) for a in (span.lo_x, span.hi_x) for b in (box.losx, box.hisx)) + max(abs(a - b) for a in (span.lo_y, span.hi_y) for b in (box.losy, box.hisy)) + 1.0
+    d2 = (F.col("_x") - F.col("sx")) * (F.col("_x") - F.col("sx")) + (F.col("_y") - F.col("sy")) * (F.col("_y") - F.col("sy"))
+    done = None
     while True:
-        spread = todo.withColumn("_cx", F.explode(F.sequence(at("x") - ring, at("x") + ring))).withColumn("_cy", F.explode(F.sequence(at("y") - ring, at("y") + ring)))
-        near = spread.join(s.withColumns({"_cx": at("sx"), "_cy": at("sy")}), ["_cx", "_cy"]).withColumn("d2", d2)
-        best = near.groupBy("_id").agg(F.min(F.struct("d2", "sensor_id")).alias("_m")).filter(F.col("_m.d2") <= (ring * cell) ** 2)
-        got = todo.join(best, "_id").select(*points.columns, F.col("_m.sensor_id").alias("sensor_id"), F.col("_m.d2").alias("d2"))
+        last = cell >= far
+        around = lambda c: F.explode(F.array(*[F.floor(F.col(c) / cell) + k for k in (-1, 0, 1)]))  # noqa: B023, E731
+        spread = s.withColumn("_cx", around("sx")).withColumn("_cy", around("sy"))
+        placed = todo.withColumns({"_cx": F.floor(F.col("_x") / cell), "_cy": F.floor(F.col("_y") / cell)})
+        best = placed.join(spread, ["_cx", "_cy"], "left").groupBy("_x", "_y").agg(F.min(F.struct(d2.alias("d2"), F.col("sensor_id").alias("id"))).alias("_m"))
+        near = F.coalesce(F.col("_m.d2") <= cell * cell, F.lit(False))
+        got = best if last else best.filter(near)
         done = got if done is None else done.unionByName(got)
-        todo = todo.join(best, "_id", "left_anti")
-        if todo.isEmpty():
-            return done
-        ring *= 2
+        if last:
+            break
+        todo, cell = best.filter(~near).select("_x", "_y"), cell * 4
+    found = done.select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_m.id").alias("sensor_id"), F.col("_m.d2").alias("d2"))
+    return points.join(found, ["x", "y"]).select(*points.columns, "sensor_id", "d2")
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import experiments, geometry, matching, sequences  # noqa: F401  registers their queries
+from . import evaluation, experiments, geometry, matching, sequences, visibility  # noqa: F401  registers their queries
 from .base import ORACLE, SPARK
 
 

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Views whose SQL refers to itself.
+RECURSIVE: set[str] = set()
 
 
 def query(name: str, oracle: str | None = None, views: str = ""):
@@ -20,11 +22,11 @@ def query(name: str, oracle: str | None = None, views: str = ""):
         if oracle:
             parts = [VIEWS[v] for v in views.split()]
             body = oracle.strip()
-            if parts and body[:5].upper() == "WITH ":
-                body = body[5:]
-                ORACLE[name] = "WITH " + ",\n".join(parts) + ",\n" + body
-            else:
-                ORACLE[name] = ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+            word = "WITH RECURSIVE " if any(v in RECURSIVE for v in views.split()) or body.startswith("WITH RECURSIVE ") else "WITH "
+            body = body.replace("WITH RECURSIVE ", "WITH ", 1)
+            if body.startswith("WITH "):
+                parts, body = [*parts, ""], body[5:]
+            ORACLE[name] = (word + ",\n".join(parts).removesuffix("\n") + "\n" if parts else "") + body
         return fn
 
     return put

@@ -23,10 +23,6 @@ def _(s, d):
     return points(s, d).filter("x BETWEEN -130 AND 130 AND y BETWEEN -130 AND 130").select("traj_id", "step", "x", "y")
 
 
-@query("exclusion_filter", "SELECT traj_id, step FROM points WHERE NOT (x BETWEEN -60 AND 60 AND y BETWEEN -60 AND 60)", "packets points")
-def _(s, d):
-    return points(s, d).filter("NOT (x BETWEEN -60 AND 60 AND y BETWEEN -60 AND 60)").select("traj_id", "step")
-
 
 def near(s, d):
     """Each point sees its nearest interior sensor only, even inside the radius of another."""

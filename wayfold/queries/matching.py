@@ -66,16 +66,6 @@ def _(s, d):
     return nearest(s, d).select("seq_id", "t_us", "near_t_us", (F.col("t_us") - F.col("near_t_us")).alias("delta_us"))
 
 
-@query("timing_summary", f"WITH {NEAR} SELECT seq_id, count(*) AS n, {q('avg((t_us - near_t_us) / 1e6)', 'bias_s')}, {q('stddev_pop((t_us - near_t_us) / 1e6)', 'jitter_s')} FROM near_t GROUP BY 1", "packets")
-def _(s, d):
-    delta = (F.col("t_us") - F.col("near_t_us")) / 1e6
-    return nearest(s, d).groupBy("seq_id").agg(F.count("*").alias("n"), r(F.avg(delta), "bias_s"), r(F.stddev_pop(delta), "jitter_s"))
-
-
-@query("size_error_summary", f"WITH {NEAR} SELECT seq_id, {q('avg(abs(frame_len - near_len))', 'mae')}, {q('sqrt(avg((frame_len - near_len) * (frame_len - near_len)))', 'rmse')}, {q('quantile_cont(abs(frame_len - near_len), 0.5)', 'median')} FROM near_t GROUP BY 1", "packets")
-def _(s, d):
-    e = F.col("frame_len") - F.col("near_frame_len")
-    return nearest(s, d).groupBy("seq_id").agg(r(F.avg(F.abs(e)), "mae"), r(F.sqrt(F.avg(e * e)), "rmse"), r(F.percentile(F.abs(e), 0.5), "median"))
 
 
 def candidates(s, d):
@@ -89,22 +79,7 @@ def _(s, d):
     return candidates(s, d).select("seq_id", "pt", "gt_us")
 
 
-@query("greedy_match")
-def _(s, d):
-    return M.greedy_match(candidates(s, d), K)
-
-
-@query("classify_detections")
-def _(s, d):
-    """Each detection as a hit or a false alarm, by the one-to-one matching."""
-    hits = M.greedy_match(candidates(s, d), K).select("seq_id", F.col("pi").alias("k"), F.lit(True).alias("hit"))
-    return numbered(islands(s, d)).join(hits, ["seq_id", "k"], "left").select("seq_id", "k", "start_us", F.coalesce("hit", F.lit(False)).alias("hit"))
-
 
-@query("unmatched_events")
-def _(s, d):
-    hits = M.greedy_match(candidates(s, d), K).select("seq_id", F.col("gi").alias("k"))
-    return numbered(truths(s, d)).join(hits, ["seq_id", "k"], "left_anti").select("seq_id", "k", "start_us")
 
 
 @query("gated_assignment")
@@ -131,52 +106,12 @@ def _(s, d):
     return scores(counts(packets(s, d), "seq_id"))
 
 
-@query("threshold_sweep", f"WITH c AS (SELECT k, {COUNTS} FROM (SELECT p.gt, t.k, p.prob >= t.k / 10.0::DOUBLE AS on_ FROM packets p, range(1, 8) t(k)) GROUP BY 1) SELECT *, {SCORES} FROM c", "packets")
-def _(s, d):
-    """Thresholds are seven columns of one pass, not seven copies of the rows."""
-    p, gt = packets(s, d), F.col("gt")
-    marks = [F.struct(F.lit(k).cast("bigint").alias("k"), *[F.count_if(e).alias(n) for n, e in (("tp", on & gt), ("fp", on & ~gt), ("fn", ~on & gt), ("tn", ~on & ~gt))]) for k in range(1, 8) for on in [F.col("prob") >= k / 10]]
-    return scores(p.agg(F.array(*marks).alias("a")).select(F.inline("a")))
 
 
-@query("per_camera_stats", f"WITH c AS (SELECT seq_id % 11 AS camera, {COUNTS} FROM (SELECT *, prob >= 0.5 AS on_ FROM packets) GROUP BY 1) SELECT *, {SCORES} FROM c", "packets")
-def _(s, d):
-    return scores(counts(packets(s, d), (F.col("seq_id") % 11).alias("camera")))
 
 
-@query("macro_micro", f"WITH c AS (SELECT seq_id, {COUNTS} FROM (SELECT *, prob >= 0.5 AS on_ FROM packets) GROUP BY 1) SELECT {q('avg(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END)', 'macro')}, {q('sum(tp) / sum(tp + fp)', 'micro')} FROM c", "packets")
-def _(s, d):
-    c = counts(packets(s, d), "seq_id")
-    return c.agg(r(F.avg(S.safe_ratio(F.col("tp"), F.col("tp") + F.col("fp"))), "macro"), r(F.sum("tp") / F.sum(F.col("tp") + F.col("fp")), "micro"))
 
 
-@query("fp_rate", f"WITH c AS (SELECT seq_id, {COUNTS} FROM (SELECT *, prob >= 0.5 AS on_ FROM packets) GROUP BY 1) SELECT seq_id, round(fp / nullif(tp + fn, 0) + 1e-9, 6) AS ghosts FROM c", "packets")
-def _(s, d):
-    return counts(packets(s, d), "seq_id").select("seq_id", r(F.col("fp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)), "ghosts"))
-
-
-@query("marker_accuracy", f"SELECT seq_id, {q('avg((marker = (prob >= 0.5))::INT)', 'accuracy')} FROM packets GROUP BY 1", "packets")
-def _(s, d):
-    return packets(s, d).groupBy("seq_id").agg(r(F.avg((F.col("marker") == (F.col("prob") >= 0.5)).cast("double")), "accuracy"))
-
-
-@query("pr_auc", f"""WITH k AS (SELECT seq_id, gt, row_number() OVER w AS i, sum(gt::INT) OVER w AS hits FROM packets WINDOW w AS (PARTITION BY seq_id ORDER BY prob DESC, event_id ROWS UNBOUNDED PRECEDING))
-SELECT seq_id, {q('sum(CASE WHEN gt THEN hits / i ELSE 0 END) / greatest(sum(gt::INT), 1)', 'ap')} FROM k GROUP BY 1""", "packets")
-def _(s, d):
-    w = Window.partitionBy("seq_id").orderBy(F.desc("prob"), "event_id")
-    k = packets(s, d).withColumns({"i": F.row_number().over(w), "hits": F.sum(F.col("gt").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    return k.groupBy("seq_id").agg(r(F.sum(F.when(F.col("gt"), F.col("hits") / F.col("i")).otherwise(0.0)) / F.greatest(F.count_if("gt"), F.lit(1)), "ap"))
-
-
-@query("best_median_worst", """WITH e AS (SELECT seq_id, avg(frame_len) AS m FROM packets GROUP BY 1), k AS (SELECT seq_id, seq_id % 11 AS camera, row_number() OVER (PARTITION BY seq_id % 11 ORDER BY m, seq_id) AS i, count(*) OVER (PARTITION BY seq_id % 11) AS n FROM e)
-SELECT camera, max(CASE WHEN i = 1 THEN seq_id END) AS best, max(CASE WHEN i = (n + 1) // 2 THEN seq_id END) AS mid, max(CASE WHEN i = n THEN seq_id END) AS worst FROM k GROUP BY 1""", "packets")
-def _(s, d):
-    e = packets(s, d).groupBy("seq_id").agg(F.avg("frame_len").alias("m")).withColumn("camera", F.col("seq_id") % 11)
-    w = Window.partitionBy("camera")
-    e = e.withColumns({"i": F.row_number().over(w.orderBy("m", "seq_id")), "n": F.count("*").over(w)})
-    at = lambda cond, name: F.max(F.when(F.expr(cond), F.col("seq_id"))).alias(name)
-    return e.groupBy("camera").agg(at("i = 1", "best"), at("i = (n + 1) div 2", "mid"), at("i = n", "worst"))
-
 
 @query("stride_sample", "SELECT seq_id, row_idx, frame_len FROM packets WHERE (row_idx - 1) % 5 = 0", "packets")
 def _(s, d):
@@ -195,12 +130,6 @@ def _(s, d):
     return packets(s, d).select("seq_id", "row_idx", ((m + F.lag(m, 1, 0).over(w) + F.lag(m, 2, 0).over(w)) >= 2).alias("vote"))
 
 
-@query("hyperparam_grid", "SELECT a.k / 10.0::DOUBLE AS on_at, b.k / 10.0::DOUBLE AS off_at, CAST(c.k AS BIGINT) AS gap_h FROM range(4, 8) a(k), range(1, 4) b(k), range(0, 72, 24) c(k)")
-def _(s, d):
-    """Sizes are those of the lists, never of the data."""
-    grid = [(a / 10, b / 10, c) for a in range(4, 8) for b in range(1, 4) for c in (0, 24, 48)]
-    return s.createDataFrame(grid, "on_at double, off_at double, gap_h bigint")
-
 
 @query("camera_filter", "SELECT DISTINCT concat('2026_01_01_00_00_00_', seq_id, '_camera_', seq_id % 11, '_x') AS stem FROM packets WHERE seq_id % 11 IN (2, 5)", "packets")
 def _(s, d):

@@ -185,10 +185,6 @@ def _(s, d):
     return passages(s, d).join(at, ["seq_id", "peak_us"]).select("seq_id", "event_idx", "start_us", "end_us", F.col("peak_us").alias("rep_us"), ((F.col("start_us") + F.col("end_us")) / 2).alias("mid_us"), "rep_idx", "peak")
 
 
-@query("export_index", "SELECT m.seq_id, count(*) AS n_passages, min(m.start_us) AS first_us, max(m.end_us) AS last_us, round(max(m.peak), 6) AS best FROM merged m WHERE m.end_us - m.start_us >= 10800000000 GROUP BY 1", MERGE_VIEWS)
-def _(s, d):
-    return passages(s, d).groupBy("seq_id").agg(F.count("*").alias("n_passages"), F.min("start_us").alias("first_us"), F.max("end_us").alias("last_us"), F.round(F.max("peak"), 6).alias("best"))
-
 
 @query("rolling_quantile", "SELECT seq_id, row_idx, round(quantile_cont(frame_len, 0.2) OVER (PARTITION BY seq_id ORDER BY row_idx ROWS BETWEEN 150 PRECEDING AND 150 FOLLOWING), 6) AS q FROM packets", "packets")
 def _(s, d):
