@@ -91,66 +91,140 @@ def verified(similarity: float):
     return run
 
 
-def _resolve(h: np.ndarray, root: np.ndarray, ask: np.ndarray, bodies: pa.Array, similarity: float) -> list[tuple[int, int]]:
-    """Edges of one block that join components: rows that ask against the rows that do not."""
-    if not ask.any() or ask.all():
-        return []
-    keys, sizes = set_keys(bodies)
-    row, low = (keys >> np.uint64(48)).astype(np.int64), np.uint64((1 << 48) - 1)
-    values, index = np.unique(keys & low, return_inverse=True)
-    member = np.flatnonzero(~ask & (sizes > 0))
-    if not len(member):
-        return []
-    border = np.searchsorted(row, np.arange(len(h) + 1))
-    flat = index[~ask[row]]  # the members' shingles, in order of rows
-    first = np.concatenate([[0], np.cumsum(sizes[member])[:-1]])
-    roots, place = np.unique(root, return_inverse=True)
-    parent = np.arange(len(roots))
-
-    def find(x: int) -> int:
+class _Forest:
+    """Components by smallest steps: which pairs still join two of them."""
+
+    def __init__(self, roots: np.ndarray):
+        self.names, self.place = np.unique(roots, return_inverse=True)
+        self.parent = list(range(len(self.names)))
+
+    def _find(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    mask, edges = np.zeros(len(values), bool), []
-    for q in np.flatnonzero(ask & (sizes > 0)).tolist():
-        own = index[border[q] : border[q + 1]]
-        mask[own] = True
+    def joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Mask of the row pairs that join components, each in its turn."""
+        out = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(self.place[a].tolist(), self.place[b].tolist())):
+            p, q = self._find(x), self._find(y)
+            if p != q:
+                self.parent[p] = q
+                out[k] = True
+        return out
+
+
+def _wide(keys: np.ndarray, sizes: np.ndarray, border: np.ndarray, sets: np.ndarray, asks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Near (ask, set) of one large block: each ask marks its shingles, which are summed over the sets."""
+    low = np.uint64((1 << 48) - 1)
+    rows = np.arange(sets[0], sets[-1] + 1)
+    some = keys[border[rows[0]] : border[rows[-1] + 1]] & low
+    values, flat = np.unique(some, return_inverse=True)
+    rows = rows[sizes[rows] > 0]
+    first = np.cumsum(sizes[rows]) - sizes[rows]
+    mask, left, right = np.zeros(len(values) + 1, bool), [], []
+    for q in asks.tolist():
+        own = keys[border[q] : border[q + 1]] & low
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        at = at[values[at] == own]
+        mask[at] = True
         same = np.add.reduceat(mask[flat], first, dtype=np.int64)
-        mask[own] = False
-        for m in member[same >= similarity * (sizes[q] + sizes[member] - same) - 1e-9].tolist():
-            a, b = find(place[q]), find(place[m])
-            if a != b:
-                parent[a] = b
-                edges.append((int(h[q]), int(h[m])))
-    return edges
+        mask[at] = False
+        near = rows[same >= similarity * (sizes[q] + sizes[rows] - same) - 1e-9]
+        left.append(np.full(len(near), q))
+        right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _slices(border: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    n = sizes[rows]
+    return np.repeat(border[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _narrow(keys: np.ndarray, sizes: np.ndarray, border: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Mask of the row pairs that are near: shingles of both sides, numbered by pair, sorted together."""
+    low, out, at = np.uint64((1 << 48) - 1), np.zeros(len(a), bool), 0
+    ends = np.cumsum(sizes[a] + sizes[b])
+    while at < len(a):
+        before = ends[at - 1] if at else 0
+        end = min(at + 60_000, max(at + 1, int(np.searchsorted(ends, before + 1_000_000, side="right"))))
+        x, y = a[at:end], b[at:end]
+        number = np.arange(len(x), dtype=np.uint64) << np.uint64(48)
+        both = np.concatenate([np.repeat(number, sizes[r]) | keys[_slices(border, sizes, r)] & low for r in (x, y)])
+        both.sort()
+        same = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(x))
+        out[at:end] = same >= similarity * (sizes[x] + sizes[y] - same) - 1e-9
+        at = end
+    return out
+
+
+def resolve(block: np.ndarray, ask: np.ndarray, h: np.ndarray, root: np.ndarray, bodies: pa.Array, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join components in whole blocks, rows sorted by block with the sets before those that ask."""
+    keys, sizes = set_keys(bodies)
+    border = np.searchsorted((keys >> np.uint64(48)).astype(np.int64), np.arange(len(h) + 1))
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    n = np.diff(np.append(first, len(block)))
+    asks = np.add.reduceat(ask.astype(np.int64), first)
+    sets = n - asks
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    wide = (asks * sets > 20_000) & (sets > 1)
+    for s, m, k in zip(first[wide].tolist(), sets[wide].tolist(), asks[wide].tolist()):
+        rows, q = np.arange(s, s + m), np.arange(s + m, s + m + k)
+        q = q[sizes[q] > 0]
+        if len(q) and sizes[rows].any():
+            a, b = _wide(keys, sizes, border, rows, q, similarity)
+            left.append(a)
+            right.append(b)
+    s, m, k = first[~wide], sets[~wide], asks[~wide]
+    count = m * k
+    number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    s, m = np.repeat(s, count), np.repeat(m, count)
+    a, b = s + m + number // np.maximum(m, 1), s + number % np.maximum(m, 1)
+    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    keep = (small > 0) & (small >= similarity * large - 1e-9) & (root[a] != root[b])
+    a, b = a[keep], b[keep]
+    near = _narrow(keys, sizes, border, a, b, similarity)
+    a, b = np.concatenate([*left, a[near]]), np.concatenate([*right, b[near]])
+    joins = _Forest(root).joins(a, b)
+    return h[a[joins]], h[b[joins]]
 
 
 def _blocks(similarity: float):
-    """Rows (key, i, j, ask, h, root, body) sorted by block to the edges each block adds."""
+    """Rows (key, i, j, ask, h, root, body) sorted by block to the edges that blocks add, several whole blocks at a time."""
 
     def run(batches):
-        held, last = [], None
+        held, size, last = [], 0, None
 
         def give(rows):
             table = pa.Table.from_batches(rows).combine_chunks()
-            h, root, ask = (table.column(c).to_numpy() for c in ("h", "root", "ask"))
-            edges = np.array(_resolve(h, root, ask, table.column("body").combine_chunks(), similarity), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+            column = lambda c: table.column(c).to_numpy()
+            new = np.ones(table.num_rows, bool)
+            new[1:] = False
+            for c in ("key", "i", "j"):
+                x = column(c)
+                new[1:] |= x[1:] != x[:-1]
+            a, b = resolve(np.cumsum(new), column("ask"), column("h"), column("root"), table.column("body").combine_chunks(), similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             blocks = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
             start = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]).any(axis=1)]))
-            for a, b in zip(start, np.append(start[1:], batch.num_rows)):
-                now = tuple(blocks[a])
-                if held and now != last:
+            length = np.concatenate([[0], np.cumsum(pa.compute.binary_length(batch.column(6)).to_numpy())])
+            at = 0
+            for a in start.tolist():
+                # a border between blocks, unless the batch begins within the last one
+                if (a or last is not None and tuple(blocks[0]) != last) and size + length[a] - length[at] >= 2 << 20:
+                    if a > at:
+                        held.append(batch.slice(at, a - at))
                     yield give(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = now
+                    held, size, at = [], 0, a
+            held.append(batch.slice(at))
+            size += length[-1] - length[at]
+            last = tuple(blocks[-1])
         if held:
             yield give(held)
 
@@ -199,5 +273,5 @@ def near_edges(members: DataFrame, body_rows: Callable[[np.ndarray | None], Data
     sets = placed.select("key", slot(F.col("mi"), 1).alias("i"), spread(F.col("qj")).alias("j"), F.lit(False).alias("ask"), "h", "root")
     asks = placed.filter("root <> largest").select("key", spread(F.col("mi")).alias("i"), slot(F.col("qj"), 2).alias("j"), F.lit(True).alias("ask"), "h", "root")
     met = sets.union(asks).join(bodies.withColumnRenamed("h", "g"), F.col("h") == F.col("g")).select("key", "i", "j", "ask", "h", "root", "body")
-    more = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(similarity), "a bigint, b bigint")
+    more = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "ask").mapInArrow(_blocks(similarity), "a bigint, b bigint")
     return good.union(cut(more))
