@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import SPACE, cut, few, mix, owner, prefix_hash, runs, shingles, span_hash, texts_of
 
-WORDS, SIMILARITY, CHUNK, ID_BOUND = 5, 0.8, 1000, 1_000_000
+WORDS, SIMILARITY, CHUNK, ID_BOUND = 5, 0.8, 1000, 4_000_000
 _HASH = np.uint64(16)  # bits given up for the row number in a block's keys
 _RNG = np.random.default_rng(404)
 _A = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -91,51 +91,46 @@ def verified(similarity: float):
     return run
 
 
-class _Forest:
-    """Components by smallest steps: which pairs still join two of them."""
+def _joining(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mask of the row pairs that join components, each in its turn."""
+    parent, out = list(range(int(label.max(initial=0)) + 1)), np.zeros(len(a), bool)
 
-    def __init__(self, roots: np.ndarray):
-        self.names, self.place = np.unique(roots, return_inverse=True)
-        self.parent = list(range(len(self.names)))
-
-    def _find(self, x: int) -> int:
-        parent = self.parent
+    def find(x: int) -> int:
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    def joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Mask of the row pairs that join components, each in its turn."""
-        out = np.zeros(len(a), bool)
-        for k, (x, y) in enumerate(zip(self.place[a].tolist(), self.place[b].tolist())):
-            p, q = self._find(x), self._find(y)
-            if p != q:
-                self.parent[p] = q
-                out[k] = True
-        return out
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist())):
+        p, q = find(x), find(y)
+        if p != q:
+            parent[p] = q
+            out[k] = True
+    return out
 
 
-def _wide(keys: np.ndarray, sizes: np.ndarray, border: np.ndarray, sets: np.ndarray, asks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Near (ask, set) of one large block: each ask marks its shingles, which are summed over the sets."""
+def _wide(keys: np.ndarray, sizes: np.ndarray, border: np.ndarray, sets: np.ndarray, asks: np.ndarray, label: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Edges of one large block: each ask marks its shingles, which are summed over the sets; of the near sets in each
+    other component one makes an edge, and ``label`` follows."""
     low = np.uint64((1 << 48) - 1)
-    rows = np.arange(sets[0], sets[-1] + 1)
-    some = keys[border[rows[0]] : border[rows[-1] + 1]] & low
-    values, flat = np.unique(some, return_inverse=True)
-    rows = rows[sizes[rows] > 0]
+    values, flat = np.unique(keys[border[sets[0]] : border[sets[-1] + 1]] & low, return_inverse=True)
+    rows = sets[sizes[sets] > 0]
     first = np.cumsum(sizes[rows]) - sizes[rows]
-    mask, left, right = np.zeros(len(values) + 1, bool), [], []
+    mask, left, right = np.zeros(len(values), bool), [], []
     for q in asks.tolist():
         own = keys[border[q] : border[q + 1]] & low
         at = np.minimum(np.searchsorted(values, own), len(values) - 1)
         at = at[values[at] == own]
         mask[at] = True
-        same = np.add.reduceat(mask[flat], first, dtype=np.int64)
+        same = np.add.reduceat(mask[flat], first, dtype=np.int32)
         mask[at] = False
-        near = rows[same >= similarity * (sizes[q] + sizes[rows] - same) - 1e-9]
-        left.append(np.full(len(near), q))
-        right.append(near)
-    return np.concatenate(left), np.concatenate(right)
+        near = rows[(same >= similarity * (sizes[q] + sizes[rows] - same) - 1e-9) & (label[rows] != label[q])]
+        if len(near):
+            other, one = np.unique(label[near], return_index=True)
+            left += [q] * len(other)
+            right += near[one].tolist()
+            label[np.isin(label, other)] = label[q]
+    return left, right
 
 
 def _slices(border: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -168,27 +163,35 @@ def resolve(block: np.ndarray, ask: np.ndarray, h: np.ndarray, root: np.ndarray,
     n = np.diff(np.append(first, len(block)))
     asks = np.add.reduceat(ask.astype(np.int64), first)
     sets = n - asks
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    label = np.unique(root, return_inverse=True)[1]
+    left, right = [], []
     wide = (asks * sets > 20_000) & (sets > 1)
     for s, m, k in zip(first[wide].tolist(), sets[wide].tolist(), asks[wide].tolist()):
         rows, q = np.arange(s, s + m), np.arange(s + m, s + m + k)
         q = q[sizes[q] > 0]
         if len(q) and sizes[rows].any():
-            a, b = _wide(keys, sizes, border, rows, q, similarity)
-            left.append(a)
-            right.append(b)
+            a, b = _wide(keys, sizes, border, rows, q, label, similarity)
+            left += a
+            right += b
     s, m, k = first[~wide], sets[~wide], asks[~wide]
     count = m * k
-    number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    s, m = np.repeat(s, count), np.repeat(m, count)
-    a, b = s + m + number // np.maximum(m, 1), s + number % np.maximum(m, 1)
-    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-    keep = (small > 0) & (small >= similarity * large - 1e-9) & (root[a] != root[b])
-    a, b = a[keep], b[keep]
-    near = _narrow(keys, sizes, border, a, b, similarity)
-    a, b = np.concatenate([*left, a[near]]), np.concatenate([*right, b[near]])
-    joins = _Forest(root).joins(a, b)
-    return h[a[joins]], h[b[joins]]
+    ends, at = np.cumsum(count), 0
+    while at < len(count):  # some 100,000 pairs at a time
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000, side="right")))
+        n = count[at:end]
+        number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        start, wides = np.repeat(s[at:end], n), np.repeat(m[at:end], n)
+        at = end
+        a, b = start + wides + number // np.maximum(wides, 1), start + number % np.maximum(wides, 1)
+        small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        keep = (small > 0) & (small >= similarity * large - 1e-9) & (label[a] != label[b])
+        a, b = a[keep], b[keep]
+        near = _narrow(keys, sizes, border, a, b, similarity)
+        a, b = a[near], b[near]
+        joins = _joining(label, a, b)
+        left += a[joins].tolist()
+        right += b[joins].tolist()
+    return h[np.array(left, np.int64)], h[np.array(right, np.int64)]
 
 
 def _blocks(similarity: float):
@@ -217,7 +220,7 @@ def _blocks(similarity: float):
             at = 0
             for a in start.tolist():
                 # a border between blocks, unless the batch begins within the last one
-                if (a or last is not None and tuple(blocks[0]) != last) and size + length[a] - length[at] >= 2 << 20:
+                if (a or last is not None and tuple(blocks[0]) != last) and size + length[a] - length[at] >= 1 << 20:
                     if a > at:
                         held.append(batch.slice(at, a - at))
                     yield give(held)
@@ -231,21 +234,25 @@ def _blocks(similarity: float):
     return run
 
 
-def near_edges(members: DataFrame, body_rows: Callable[[np.ndarray | None], DataFrame], similarity: float = SIMILARITY, extra: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+def near_edges(members: DataFrame, body_rows: Callable[[np.ndarray | None], DataFrame], similarity: float = SIMILARITY, extra: DataFrame | None = None, known: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """(key, h, n) to verified edges (a, b) whose components are those of all near pairs that share a key.
 
     ``body_rows(wanted)`` reads (h, body) of the hashes in a sorted array, or of all for None: words parted by white
-    space. ``extra`` are further candidate pairs (h, lead). The ids of candidates go to the readers up to ``ID_BOUND`` of
-    them (8 MB) and are joined by shuffle beyond."""
+    space. ``extra`` are further candidate pairs (h, lead), ``known`` edges (a, b) that need no verification. The ids of candidates go to the readers up to ``ID_BOUND`` of
+    them (32 MB) and are joined by shuffle beyond."""
     todo = cut(members.repartition("key").sortWithinPartitions("key", F.desc("n"), "h").select("key", "h").mapInArrow(leaders, "key bigint, h bigint, lead bigint"))
     pairs = todo.select("h", "lead")
     if extra is not None:
         pairs = pairs.union(extra.select("h", "lead"))
+    if known is not None:
+        both = [F.least("a", "b").alias("k0"), F.greatest("a", "b").alias("k1")]
+        pairs = pairs.join(known.select(*both), (F.least("h", "lead") == F.col("k0")) & (F.greatest("h", "lead") == F.col("k1")), "left_anti")
     pairs = cut(pairs.distinct())
     ids = cut(pairs.select(F.col("h").alias("i")).union(pairs.select("lead")).distinct())
     n_ids = ids.count()
     if not n_ids:
-        return pairs.select(F.col("h").alias("a"), F.col("lead").alias("b"))
+        none = pairs.select(F.col("h").alias("a"), F.col("lead").alias("b"))
+        return none if known is None else none.union(known)
     if n_ids <= ID_BOUND:
         bodies = body_rows(np.sort(ids.toPandas()["i"].to_numpy(np.int64)))
     else:
@@ -253,7 +260,8 @@ def near_edges(members: DataFrame, body_rows: Callable[[np.ndarray | None], Data
     bodies = cut(bodies.dropDuplicates(["h"]))
     left, right = bodies.select(F.col("h").alias("l"), F.col("body").alias("x")), bodies.select(F.col("h").alias("r"), F.col("body").alias("y"))
     full = pairs.join(left, F.col("h") == F.col("l")).join(right, F.col("lead") == F.col("r")).select("h", "lead", "x", "y")
-    good = cut(full.mapInArrow(verified(similarity), "a bigint, b bigint"))
+    good = full.mapInArrow(verified(similarity), "a bigint, b bigint")
+    good = cut(good if known is None else good.union(known))
     roots = components(good)
     of = lambda c: roots.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root"))
     rooted = todo.join(of("h"), F.col("h") == F.col("h_node"), "left").join(of("lead"), F.col("lead") == F.col("lead_node"), "left")

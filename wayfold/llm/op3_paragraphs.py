@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .near_sets import SIMILARITY, WORDS, band_keys, near_edges
-from .shared import LOWER, SPACE, Scratch, blocks, checked, code_points, mix, owner, prefix_hash, runs, shingles, span_hash, word_runs_hash
+from .shared import LOWER, SPACE, Scratch, blocks, checked, code_points, cut, mix, owner, prefix_hash, runs, shingles, span_hash, word_runs_hash
 
 BANDS, ROWS, RUN = 8, 4, 20
 TRIMMED, BANDED = 4, 8  # shingles from which on a paragraph sends trimmed hashes, and bands
@@ -38,8 +38,9 @@ PLACES = "doc_id bigint, line boolean, w0 int, w1 int, c0 int, c1 int, h bigint"
 
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray, with_bands: bool = True):
-    """(text, is a line, first word, end word, hash, bands, has band, byte start, byte end, first word of its text) of all
-    paragraphs of a block; bands and the mask of those sent have ``BANDS`` columns."""
+    """(text, is a line, first word, end word, hash, bands, has band, byte start, byte end, first word of its text, own line) of
+    all paragraphs of a block; bands and the mask of those sent have ``BANDS`` columns. ``own`` is the row of the line that
+    a sentence is near to as its greatest part, else -1."""
     low = LOWER[data]
     starts, ends = runs(~SPACE[data], offsets)
     whose = owner(starts, offsets)
@@ -63,7 +64,7 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, with_bands: bool = True):
     order = np.argsort(b, kind="stable")
     b, e, is_line = b[order], e[order], is_line[order]
     h = word_runs_hash(words, b, e)
-    bands, sent = np.zeros((len(b), BANDS), np.uint64), np.zeros((len(b), BANDS), bool)
+    bands, sent, own = np.zeros((len(b), BANDS), np.uint64), np.zeros((len(b), BANDS), bool), np.full(len(b), -1)
     if with_bands:
         width = e - b - WORDS + 1
         # windows of all positions; those that leave a paragraph fall between its end and the next start
@@ -83,7 +84,22 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, with_bands: bool = True):
             for k, (p, q) in enumerate(((x, y), (x + 1, y), (x, y - 1))):
                 bands[short, k] = mix(word_runs_hash(words, p, q) ^ np.uint64(0x7A11))
                 sent[short, k] = True
-    return whose[b], is_line, b, e, h, bands, sent, starts[b], ends[e - 1], np.searchsorted(whose, whose[b])
+        rows = np.flatnonzero(is_line)
+        line = rows[np.maximum(np.searchsorted(b[rows], b, side="right") - 1, 0)] if len(rows) else np.zeros(len(b), np.int64)
+        part = np.flatnonzero(~is_line & (b >= b[line]) & (e <= e[line]) & is_line[line] & (width >= SIMILARITY * width[line]) & (width >= TRIMMED))
+        if len(part):
+            a, wide_line = _distinct(grams, b[part], width[part]), _distinct(grams, b[line[part]], width[line[part]])
+            part = part[a >= SIMILARITY * wide_line]
+            own[part] = line[part]
+    return whose[b], is_line, b, e, h, bands, sent, starts[b], ends[e - 1], np.searchsorted(whose, whose[b]), own
+
+
+def _distinct(grams: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Distinct shingles of each paragraph."""
+    row = np.repeat(np.arange(len(begin)), width)
+    index = np.repeat(begin - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+    both = np.unique(row.astype(np.uint64) << np.uint64(44) | grams[index] >> np.uint64(20))
+    return np.bincount((both >> np.uint64(44)).astype(np.int64), minlength=len(begin))
 
 
 def _place_rows(batches):
@@ -93,7 +109,7 @@ def _place_rows(batches):
             got = paragraphs(data, offsets, False)
             if got is None:
                 continue
-            text, is_line, b, e, h, _, _, s, t, first = got
+            text, is_line, b, e, h, _, _, s, t, first, _ = got
             points = code_points(data)
             base = points[offsets[:-1]][text]
             whole = lambda x: pa.array(x.astype(np.int32))
@@ -105,18 +121,20 @@ _BAND_NAMES = [f"b{k}" for k in range(BANDS)]
 
 
 def _band_rows(batches):
-    """(h, n, bands) of the paragraphs that may have near partners, each once a block with its number of places."""
+    """(h, n, own, bands) of the paragraphs that may have near partners, each once a block with its number of places; own
+    is the hash of a line that a sentence is near to as a part of it."""
     for batch in batches:
         for _, data, offsets in blocks(batch, "text", 4 << 20):
             got = paragraphs(data, offsets)
             if got is None:
                 continue
-            _, _, _, _, h, bands, sent, *_ = got
+            _, _, _, _, h, bands, sent, *_, line = got
             at = np.flatnonzero(sent[:, 0])
-            own, first, n = np.unique(h[at], return_index=True, return_counts=True)
+            each, first, n = np.unique(h[at], return_index=True, return_counts=True)
             at = at[first]
             columns = [pa.array(bands[at, k].view(np.int64), mask=~sent[at, k]) for k in range(BANDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n), *columns], names=["h", "n", *_BAND_NAMES])
+            own = pa.array(h[line[at]].view(np.int64), mask=line[at] < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n), own, *columns], names=["h", "n", "own", *_BAND_NAMES])
 
 
 def _body_rows(wanted: np.ndarray | None):
@@ -128,7 +146,7 @@ def _body_rows(wanted: np.ndarray | None):
                 got = paragraphs(data, offsets, False)
                 if got is None:
                     continue
-                _, _, b, e, h, _, _, s, t, _ = got
+                _, _, b, e, h, _, _, s, t, *_ = got
                 h, keep = h.view(np.int64), e - b >= WORDS + TRIMMED - 1
                 if wanted is not None:
                     keep &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
@@ -142,10 +160,12 @@ def _body_rows(wanted: np.ndarray | None):
 
 def near_pairs(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text) to verified pairs (a, b) of content hashes, whose components hold all near paragraphs that met."""
-    made = rows.mapInArrow(_band_rows, "h bigint, n bigint, " + ", ".join(f"{b} bigint" for b in _BAND_NAMES))
-    known = made.groupBy("h").agg(F.sum("n").alias("n"), *[F.max(b).alias(b) for b in _BAND_NAMES])
+    made = rows.mapInArrow(_band_rows, "h bigint, n bigint, own bigint, " + ", ".join(f"{b} bigint" for b in _BAND_NAMES))
+    known = made.groupBy("h").agg(F.sum("n").alias("n"), F.max("own").alias("own"), *[F.max(b).alias(b) for b in _BAND_NAMES])
+    known = cut(known)
+    parts = known.filter("own is not null").select(F.col("h").alias("a"), F.col("own").alias("b"))
     members = known.select(F.explode(F.array(*_BAND_NAMES)).alias("key"), "h", "n").filter("key is not null")
-    return near_edges(members, lambda wanted: rows.mapInArrow(_body_rows(wanted), "h bigint, body binary"), similarity)
+    return near_edges(members, lambda wanted: rows.mapInArrow(_body_rows(wanted), "h bigint, body binary"), similarity, known=parts)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN, similarity: float = SIMILARITY) -> DataFrame:
