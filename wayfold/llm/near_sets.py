@@ -78,7 +78,7 @@ def verified(similarity: float):
             ends, row = np.cumsum(sizes), 0
             while row < batch.num_rows:
                 before = ends[row - 1] if row else 0
-                end = min(row + 60_000, max(row + 1, int(np.searchsorted(ends, before + (2 << 20), side="right"))))
+                end = min(row + 60_000, max(row + 1, int(np.searchsorted(ends, before + (1 << 20), side="right"))))
                 part = batch.slice(row, end - row)
                 row = end
                 (a, na), (b, nb) = set_keys(part.column(2)), set_keys(part.column(3))
