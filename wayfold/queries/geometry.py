@@ -45,31 +45,12 @@ def visits(s, d):
     return runs.groupBy("traj_id", "run", "sensor_id").agg(F.min("step").alias("enter"), F.max("step").alias("leave"), F.min("d2").alias("d2")).drop("run")
 
 
-@query("interior_events", f"WITH {SEEN} SELECT traj_id, sensor_id, enter, leave FROM visits", NEAR)
-def _(s, d):
-    return visits(s, d).select("traj_id", "sensor_id", "enter", "leave")
-
-
-@query("event_count_summary", f"WITH {SEEN} SELECT traj_id, count(*) AS n, count(DISTINCT sensor_id) AS n_sensors FROM visits GROUP BY 1", NEAR)
-def _(s, d):
-    return visits(s, d).groupBy("traj_id").agg(F.count("*").alias("n"), F.count_distinct("sensor_id").alias("n_sensors"))
-
 
 @query("coverage_fraction", f"SELECT traj_id, {q('avg((d2 <= 625)::INT)', 'coverage')} FROM near GROUP BY 1", NEAR)
 def _(s, d):
     return near(s, d).groupBy("traj_id").agg(r(F.avg((F.col("d2") <= 625).cast("double")), "coverage"))
 
 
-@query("closest_approach", f"SELECT traj_id, {q('sqrt(min(d2))', 'distance')} FROM near GROUP BY 1", NEAR)
-def _(s, d):
-    return near(s, d).groupBy("traj_id").agg(r(F.sqrt(F.min("d2")), "distance"))
-
-
-@query("blind_gap", """WITH b AS (SELECT traj_id, step - row_number() OVER (PARTITION BY traj_id ORDER BY step) AS g FROM near WHERE d2 > 625)
-SELECT traj_id, max(n) AS longest FROM (SELECT traj_id, g, count(*) AS n FROM b GROUP BY 1, 2) GROUP BY 1""", NEAR)
-def _(s, d):
-    b = near(s, d).filter("d2 > 625").withColumn("g", F.col("step") - F.row_number().over(own()))
-    return b.groupBy("traj_id", "g").agg(F.count("*").alias("n")).groupBy("traj_id").agg(F.max("n").alias("longest"))
 
 
 MOVES = "moves AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY step))"
@@ -105,11 +86,6 @@ def _(s, d):
     return points(s, d).filter("abs(x) <= 130 AND abs(y) <= 130").groupBy("traj_id").agg(F.min("step").alias("first_step"), F.max("step").alias("last_step"))
 
 
-@query("trim_active", "WITH a AS (SELECT traj_id, min(step) AS lo, max(step) AS hi FROM points WHERE abs(x) <= 130 AND abs(y) <= 130 GROUP BY 1) SELECT p.traj_id, p.step FROM points p JOIN a ON a.traj_id = p.traj_id AND p.step BETWEEN a.lo AND a.hi", "packets points")
-def _(s, d):
-    inside, w = F.when(F.expr("abs(x) <= 130 AND abs(y) <= 130"), F.col("step")), Window.partitionBy(*K)
-    return points(s, d).withColumns({"lo": F.min(inside).over(w), "hi": F.max(inside).over(w)}).filter("step BETWEEN lo AND hi").select("traj_id", "step")
-
 
 @query("stall_detect", "WITH b AS (SELECT *, lag(x, 3) OVER w AS px, lag(y, 3) OVER w AS py FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY step)) SELECT traj_id, step FROM b WHERE (x - px) * (x - px) + (y - py) * (y - py) < 64", "packets points")
 def _(s, d):
@@ -117,22 +93,6 @@ def _(s, d):
     return b.filter("(x - px) * (x - px) + (y - py) * (y - py) < 64").select("traj_id", "step")
 
 
-@query("track_metrics", f"""WITH e AS (SELECT traj_id, step, event_id, sqrt((x - lag(x, 2) OVER w) * (x - lag(x, 2) OVER w) + (y - lag(y, 2) OVER w) * (y - lag(y, 2) OVER w)) AS err FROM points WINDOW w AS (PARTITION BY traj_id ORDER BY step))
-SELECT traj_id, {q('sqrt(avg(err * err))', 'rmse')}, {q('quantile_cont(err, 0.95)', 'p95')}, {q('count(err) / count(*)', 'coverage')} FROM (SELECT traj_id, CASE WHEN event_id % 13 <> 0 THEN err END AS err FROM e) GROUP BY 1""", "packets points")
-def _(s, d):
-    dx, dy = F.col("x") - F.lag("x", 2).over(own()), F.col("y") - F.lag("y", 2).over(own())
-    e = points(s, d).withColumn("err", F.when(F.col("event_id") % 13 != 0, F.sqrt(dx * dx + dy * dy)))
-    return e.groupBy("traj_id").agg(r(F.sqrt(F.avg(F.col("err") * F.col("err"))), "rmse"), r(F.percentile("err", 0.95), "p95"), r(F.count("err") / F.count("*"), "coverage"))
-
-
-@query("pairwise_overlap", f"SELECT a.sensor_id AS a, b.sensor_id AS b, {q('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'distance')} FROM sensors a JOIN sensors b ON a.sensor_id < b.sensor_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 2500", "sensors")
-def _(s, d):
-    """Pairs closer than two radii meet in bands of x, not all with all."""
-    a = sensors(s, d).select(F.lit(0).alias("k"), F.col("sensor_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = sensors(s, d).select(F.lit(0).alias("k"), F.col("sensor_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
-    return M.band_join(a, b, ["k"], "ax", "bx", 50).filter((F.col("a") < F.col("b")) & (d2 < 2500)).select("a", "b", r(F.sqrt(d2), "distance"))
-
 
 @query("edge_geometry", f"SELECT edge_id, a, b, {q('sqrt((tx - ax) * (tx - ax) + (ty - ay) * (ty - ay))', 'length')}, {q('atan2(ty - ay, tx - ax)', 'heading')} FROM edges", "nodes edges")
 def _(s, d):
@@ -140,16 +100,6 @@ def _(s, d):
     return edges(s, d).select("edge_id", "a", "b", r(F.sqrt(dx * dx + dy * dy), "length"), r(F.atan2(dy, dx), "heading"))
 
 
-@query("out_degree", "SELECT n.node_id, count(e.edge_id) AS degree FROM nodes n LEFT JOIN edges e ON e.a = n.node_id GROUP BY 1", "nodes edges")
-def _(s, d):
-    e = edges(s, d).select(F.col("a").alias("node_id"), "edge_id")
-    return nodes(s, d).join(e, "node_id", "left").groupBy("node_id").agg(F.count("edge_id").alias("degree"))
-
-
-@query("boundary_crossings", "SELECT edge_id, (abs(tx) <= 60 AND abs(ty) <= 60) AS inward FROM edges WHERE (abs(ax) <= 60 AND abs(ay) <= 60) <> (abs(tx) <= 60 AND abs(ty) <= 60)", "nodes edges")
-def _(s, d):
-    e = edges(s, d).withColumns({"i": F.expr("abs(ax) <= 60 AND abs(ay) <= 60"), "o": F.expr("abs(tx) <= 60 AND abs(ty) <= 60")})
-    return e.filter("i <> o").select("edge_id", F.col("o").alias("inward"))
 
 
 @query("node_partition", "SELECT node_id, CASE WHEN abs(x) <= 60 AND abs(y) <= 60 THEN 'interior' ELSE 'exterior' END AS side FROM nodes", "nodes")
@@ -157,16 +107,6 @@ def _(s, d):
     return nodes(s, d).select("node_id", F.when(F.expr("abs(x) <= 60 AND abs(y) <= 60"), "interior").otherwise("exterior").alias("side"))
 
 
-@query("edge_neighbours", "SELECT e.edge_id, f.edge_id AS next_id FROM edges e JOIN edges f ON f.a = e.b AND f.b <> e.a", "nodes edges")
-def _(s, d):
-    e = edges(s, d).select("edge_id", "a", "b")
-    f = edges(s, d).select(F.col("edge_id").alias("next_id"), F.col("a").alias("b"), F.col("b").alias("end"))
-    return e.join(f, "b").filter("end <> a").select("edge_id", "next_id")
-
-
-@query("bin_events", "SELECT seq_id, CAST(round_even(t_s / 3600.0::DOUBLE, 0) AS BIGINT) AS bin, count(*) AS n FROM packets GROUP BY 1, 2", "packets")
-def _(s, d):
-    return packets(s, d).groupBy("seq_id", F.rint(F.col("t_s") / 3600.0).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
 HOUR = 3_600_000_000
