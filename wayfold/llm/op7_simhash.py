@@ -4,8 +4,8 @@ Texts become 64-bit fingerprints of their 3-word shingles; equal fingerprints me
 cost nothing later. Two fingerprints at 3 or fewer differing bits agree in one of four 16-bit fields, so each goes to
 the index four times, rotated so that the field leads; a field's value over ``LIMIT`` rows is dealt again by the same
 argument over four parts of the other 48 bits (the table of such values has at most 4 * 65536 rows, which bounds its
-broadcast). A task holds a share of these values, each whole, and builds one index over all its entries, in ranges of
-about ``RANGE``: entries are sorted by field and Gray rank, so that neighbours share long bit patterns; a node keeps the
+broadcast). A task holds a share of these values, each whole, and builds an index over all its entries of a field, in ranges
+of about ``RANGE``: entries are sorted by Gray rank, so that neighbours share long bit patterns; a node keeps the
 bits all its entries share, less those already kept above it. A batch of queries goes down the hierarchy together,
 adding up differences, and leaves a group once its field differs or the differences exceed 3. Entries reached are taken
 out of the index and asked in their turn, so that a dense group costs edges in proportion to its size, never all pairs.
@@ -32,7 +32,7 @@ from .components import components
 from .near_sets import SIMILARITY, WORDS, band_keys, near_edges
 from .shared import blocks, cut, few, joined_words, prefix_hash, shingles, span_hash, word_runs_hash
 
-LIMIT, FAN, RANGE, BATCH, BITS = 4096, 16, 100_000, 2048, 3
+LIMIT, FAN, RANGE, BATCH, BITS = 4096, 16, 100_000, 1024, 3
 COPY_BANDS, COPY_ROWS = 10, 3  # recall 0.999 at a similarity of 0.8
 
 
@@ -153,16 +153,34 @@ def forest(prints: np.ndarray, exact: np.ndarray, batch: int = BATCH) -> tuple[n
     return np.concatenate(left), np.concatenate(right)
 
 
+def _without(x: np.ndarray, at: int, width: int) -> np.ndarray:
+    """The bits of x but for ``width`` of them from ``at`` on, closed up."""
+    low = x & np.uint64((1 << at) - 1)
+    return low | x >> np.uint64(at + width) << np.uint64(at) if at + width < 64 else low
+
+
 def range_edges(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among entries (key, fingerprint) of whole keys; a key's field is the bits its links must agree in."""
-    field = (keys >> 15) // 65536
-    # rotate the field to the front, so that Gray order keeps its values together
-    turn = ((field + 1) * 16 % 64).astype(np.uint64)
-    turned = np.where(turn == 0, prints, (prints >> turn) | (prints << (np.uint64(64) - turn) % np.uint64(64)))
-    order = np.lexsort((gray_rank(turned), field))
-    prints, field = prints[order], field[order]
-    a, b = forest(prints, np.uint64(0xFFFF) << (field * 16).astype(np.uint64))
-    return prints[a].view(np.int64), prints[b].view(np.int64)
+    """Edges among entries (key, fingerprint) of whole keys. A key names the field, and for a heavy value the part of the
+    other bits, that its links must agree in; each such choice has an index of its own, as entries of another choice would
+    not be pruned, with those bits in front, so that Gray order keeps equal ones together."""
+    choice = (keys >> 15) // 65536 * 8 + ((keys & 32767) >> 12)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in np.unique(choice).tolist():
+        field, part = c // 8, c % 8 - 1
+        some = prints[choice == c]
+        exact, rest = 0xFFFF << 16 * field, _without(some, 16 * field, 16)
+        front = some >> np.uint64(16 * field) & np.uint64(0xFFFF)
+        if part >= 0:
+            span = range(12 * part, 12 * part + 12)
+            exact |= sum(1 << (b if b < 16 * field else b + 16) for b in span)
+            front = front << np.uint64(12) | rest >> np.uint64(12 * part) & np.uint64(4095)
+            rest = _without(rest, 12 * part, 12)
+        some = some[np.argsort(gray_rank(front << np.uint64(36 if part >= 0 else 48) | rest), kind="stable")]
+        if len(some) > 1:
+            a, b = forest(some, np.full(len(some), np.uint64(exact)))
+            left.append(some[a].view(np.int64))
+            right.append(some[b].view(np.int64))
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _edges(batches):
@@ -271,7 +289,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = some.select("h", "fp").join(heads, "fp").filter("h <> lead").select("h", "lead")
     members = some.select(F.explode(F.array(*_COPY_BANDS)).alias("key"), "h", "n")
     body_rows = lambda wanted: rows.mapInArrow(_copy_bodies(wanted), "h bigint, body binary")
-    roots = components(near_edges(members, body_rows, similarity, linked.union(same)))
+    roots = components(near_edges(members, body_rows, similarity, linked.union(same), chunk=300))
     placed = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(placed.join(least, "root").select(F.col("h").alias("g"), "component_id"))
