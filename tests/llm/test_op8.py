@@ -67,3 +67,42 @@ def test_induced_order_with_spills():
         for j in range(1, len(cuts)):
             same = next((c for c, (x, y) in enumerate(zip(cuts[j], cuts[j - 1])) if x != y), min(len(cuts[j]), len(cuts[j - 1])))
             assert same == lcp[j]
+
+
+def slow_rows(rows, length=op.LENGTH):
+    """Rows (id or None, bytes), ids repeated at will: one result a row, sorted."""
+    null = min([i for i, _ in rows if i is not None], default=0) - 1
+    places = sorted({(null if i is None else i, hashlib.sha256(t).hexdigest() if len(t) >= length else "", t) for i, t in rows})
+    first = {}
+    for i, d, t in places:
+        for a in range(len(t) - length + 1):
+            first.setdefault(t[a : a + length], (i, d, a))
+    out = []
+    for i, t in rows:
+        key = (null if i is None else i, hashlib.sha256(t).hexdigest() if len(t) >= length else "")
+        gone = np.zeros(len(t) + 1, bool)
+        for a in range(len(t) - length + 1):
+            if first[t[a : a + length]] < (*key, a):
+                gone[a : a + length] = True
+        keep = bytes(b for b, g in zip(t, gone) if not g)
+        out.append((i if i is not None else -1, len(t), len(t) - len(keep), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(keep).hexdigest()))
+    return sorted(out)
+
+
+def test_shared_and_null_ids_hot_passages(spark):
+    rng = random.Random(16)
+    long = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    t, w, hot = long(200), long(120), long(260)
+    rows = [(None, t), (None, "zzz" + t + "y"), (None, long(150)), (None, t + w), (None, long(130)), (5, "q" + t), (5, long(110) + w), (5, "short"), (None, "short")]
+    rows += [(100 + k, long(rng.randint(0, 40)) + hot + long(rng.randint(0, 40))) for k in range(60)] + [(7, t), (7, t)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.op8_suffix_dedup(df).collect())
+    assert got == slow_rows([(i, x.encode()) for i, x in rows])
+
+
+def test_a_text_beyond_a_block(spark):
+    rng = np.random.default_rng(2)
+    big = bytes(rng.integers(97, 123, 1_300_000, dtype=np.uint8)).decode()
+    df = spark.createDataFrame([(1, big), (2, "x" * 50 + big[700_000:701_000] + "y" * 60), (3, big[:500])], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op.op8_suffix_dedup(df).collect()}
+    assert got == {1: (1_300_000, 0, 0), 2: (1110, 1000, 1), 3: (500, 500, 1)}

@@ -3,6 +3,7 @@
 1. Each 100-byte window belongs to its least 48-byte gram (a minimizer); windows in a row with one minimizer form a
    segment. Equal windows have equal minimizers at equal offsets, so a repeat can only lie between segments of one key,
    and a key that occurs once holds none. Keys are compared as narrow rows (key, document, start), without text.
+   Of equal segments within a block of the scan only the least place goes on; the others are removable at once.
 2. Segments of keys that occur again fetch their bytes by document and move to their key's partition. Equal segments are
    one entry there with its least place; the other places go whole.
 3. Keys with several different segments are gathered into shards, and each shard is sorted by external induced sorting
@@ -11,12 +12,12 @@
 4. Removed runs are merged per document and cut out of its bytes.
 
 Documents with equal texts are found first by digest, so that a hot group of copies is one document in steps 1 to 3; a
-copy's windows all start earlier elsewhere. A key group is sent to one task in narrow rows and distinct segments only.
+copy's windows all start earlier elsewhere. A passage that very many documents share sends a row a block, not a document.
 
-Order of places: document id (null first), then start. Cases: null and empty texts keep nothing and remove nothing; rows
-equal in id and text are the same place and do not remove each other; rows with one id and several texts count as one
-document whose texts start alike; a text of any length is handled; an empty table gives no rows; other columns are not
-read.
+Order of places: document id (null first), then, among different texts under one id (several null ids included), their
+digest, then start. Cases: null and empty texts keep nothing and remove nothing; rows equal in id and text are the same
+place and do not remove each other; rows with one id and several texts are several documents; a text of any length is
+handled; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced import suffix_order
-from .shared import Scratch, blocks, checked, cut, prefix_hash, release, span_hash
+from .shared import Scratch, blocks, checked, cut, mix, prefix_hash, release, span_hash
 
 LENGTH, GRAM, SHARD, MEMORY = 100, 48, 1 << 20, 32 << 20
 _LOW = np.uint64((1 << 28) - 1)
@@ -64,18 +66,42 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return text[begin], begin - offsets[text[begin]], count, hashes[spot[begin]].view(np.int64)
 
 
+NARROW = "key bigint, id bigint, u bigint, at int, n int, gone boolean"
+_NARROW = [x.split()[0] for x in NARROW.split(", ")]
+
+
 def _segment_rows(batches):
+    """Segments of documents (id, u, text); ``gone`` are those whose bytes stand at an earlier place of the block too, under
+    keys that spread them."""
     for batch in batches:
         for part, data, offsets in blocks(batch, "text", 1 << 20):
             text, begin, count, key = segments(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(text)), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], names=["key", "id", "at", "n"])
+            ids, us = (part.column(k).to_numpy()[text] for k in range(2))
+            start = offsets[text] + begin
+            body = span_hash(prefix_hash(data), start, start + count + LENGTH - 1)
+            order = np.lexsort((begin, us, ids, body))
+            again = np.zeros(len(body), bool)
+            place = np.stack([ids, us, begin], 1)[order] if len(body) else np.zeros((0, 3), np.int64)
+            same = body[order[1:]] == body[order[:-1]]
+            # rows equal in id and text repeat a place, and do not remove each other
+            least = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(body)), 0)) if len(body) else order
+            again[order] = (place != place[least]).any(axis=1)
+            twice = np.zeros(len(body), bool)
+            twice[order[1:]] = same & (place[1:] == place[:-1]).all(axis=1)
+            twice &= ~again
+            key = np.where(again, mix((ids.astype(np.uint64) << np.uint64(20)) ^ start.astype(np.uint64)).view(np.int64), key)
+            columns = [key, ids, us, begin.astype(np.int32), count.astype(np.int32), again]
+            yield pa.RecordBatch.from_arrays([pa.array(x[~twice]) for x in columns], names=_NARROW)
 
 
 def _again(batches):
-    """Rows sorted by key: those whose key the row before or after has too. One row of state."""
+    """Rows sorted by key: those whose key the row before or after has too, and all that are gone. One row of state."""
     held = last = None  # held: the last row, if its key is new so far
-    names = ["key", "id", "at", "n"]
     for batch in batches:
+        gone = batch.column(5)
+        if pc.any(gone).as_py():
+            yield batch.filter(gone)
+            batch = batch.filter(pc.invert(gone))
         key = batch.column(0).to_numpy()
         if not len(key):
             continue
@@ -84,16 +110,16 @@ def _again(batches):
             yield held
         keep = same.copy()
         keep[:-1] |= same[1:]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names=names)
+        yield batch.filter(pa.array(keep))
         last = key[-1]
-        held = None if keep[-1] else pa.RecordBatch.from_arrays(batch.slice(len(key) - 1).columns, names=names)
+        held = None if keep[-1] else pa.RecordBatch.from_arrays(batch.slice(len(key) - 1).columns, names=_NARROW)
 
 
 def _body_rows(batches):
-    """Documents with their segment lists to (key, id, at, body)."""
+    """Documents with their segment lists to (key, id, u, at, body)."""
     for batch in batches:
         for part, data, offsets in blocks(batch, "text", 1 << 20):
-            lists = part.column(2)
+            lists = part.column(3)
             flat = lists.flatten()
             at, count, key = (flat.field(k).to_numpy() for k in range(3))
             owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().fill_null(0).to_numpy())
@@ -102,11 +128,13 @@ def _body_rows(batches):
             for a in range(0, len(at), 20_000):
                 piece = slice(a, a + 20_000)
                 bodies = [raw[x : x + n + LENGTH - 1] for x, n in zip(begin[piece].tolist(), count[piece].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[piece]), part.column(0).take(pa.array(owner[piece])), pa.array(at[piece]), pa.array(bodies, pa.binary())], names=["key", "id", "at", "body"])
+                who = pa.array(owner[piece])
+                yield pa.RecordBatch.from_arrays([pa.array(key[piece]), part.column(0).take(who), part.column(1).take(who), pa.array(at[piece]), pa.array(bodies, pa.binary())], names=["key", "id", "u", "at", "body"])
 
 
 def later_windows(bodies: list[bytes], ids: np.ndarray, starts: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window) of the windows that stand at an earlier place in the shard too, by suffix order."""
+    """(segment, window) of the windows that stand at an earlier place in the shard too, by suffix order; ``ids`` number the
+    documents in their order."""
     sizes = np.array([len(b) for b in bodies])
     raw = np.frombuffer(b"".join(bodies), np.uint8)
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -133,25 +161,34 @@ def later_windows(bodies: list[bytes], ids: np.ndarray, starts: np.ndarray, leng
     return segment[later], window[later]
 
 
+RANGES = "id bigint, u bigint, a bigint, b bigint"
+
+
 def _removed_rows(batches):
-    """Segments sorted by key to removed byte ranges (id, a, b)."""
-    entries: dict[bytes, tuple[int, int]] = {}  # of one key: least place of each distinct segment
-    shard: list[tuple[bytes, int, int]] = []
+    """Segments sorted by key and place to removed byte ranges (id, u, a, b)."""
+    entries: dict[bytes, tuple[int, int, int]] = {}  # of one key: least place of each distinct segment
+    shard: list[tuple[bytes, tuple[int, int, int]]] = []
     size, last = 0, None
-    ids, begins, ends = [], [], []
+    found: list[tuple[int, int, int, int]] = []
+
+    def rows(x):
+        columns = list(zip(*x)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "u", "a", "b"])
 
     def flush_key():
         nonlocal size
         if len(entries) > 1:
-            for body, (i, at) in entries.items():
-                shard.append((body, i, at))
+            for body, place in entries.items():
+                shard.append((body, place))
                 size += len(body)
         entries.clear()
 
     def sort_shard():
         nonlocal size
-        segment, window = later_windows([b for b, _, _ in shard], np.array([i for _, i, _ in shard]), np.array([a for _, _, a in shard], np.int64))
-        who, at = np.array([i for _, i, _ in shard]), np.array([a for _, _, a in shard], np.int64)
+        documents = sorted({p[:2] for _, p in shard})
+        number = {d: k for k, d in enumerate(documents)}
+        who, at = np.array([number[p[:2]] for _, p in shard]), np.array([p[2] for _, p in shard], np.int64)
+        segment, window = later_windows([b for b, _ in shard], who, at)
         order = np.lexsort((window, segment))
         segment, window = segment[order], window[order]
         new = np.ones(len(segment), bool)
@@ -160,25 +197,23 @@ def _removed_rows(batches):
         final = np.append(first[1:], len(segment)) - 1
         shard.clear()
         size = 0
-        if len(first):
-            yield pa.RecordBatch.from_arrays([pa.array(who[segment[first]]), pa.array(at[segment[first]] + window[first]), pa.array(at[segment[first]] + window[final] + LENGTH)], names=["id", "a", "b"])
+        a, b = at[segment[first]] + window[first], at[segment[first]] + window[final] + LENGTH
+        yield rows([(*documents[w], x, y) for w, x, y in zip(who[segment[first]].tolist(), a.tolist(), b.tolist())])
 
     for batch in batches:
-        for key, i, at, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for key, i, u, at, body in zip(*(batch.column(k).to_pylist() for k in range(5))):
             if key != last:
                 flush_key()
                 last = key
                 if size >= SHARD:
                     yield from sort_shard()
             if body not in entries:  # rows of a key come by place: the first is the least
-                entries[body] = (i, at)
-            elif entries[body] != (i, at):
-                ids.append(i)
-                begins.append(at)
-                ends.append(at + len(body))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=["id", "a", "b"])
-            ids, begins, ends = [], [], []
+                entries[body] = (i, u, at)
+            elif entries[body] != (i, u, at):
+                found.append((i, u, at, at + len(body)))
+        if found:
+            yield rows(found)
+            found = []
     flush_key()
     if shard:
         yield from sort_shard()
@@ -226,25 +261,35 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     What one step hands to the next is a table in the shared folder, so the shuffles behind it can go."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL)).alias("id"), text.alias("text"))
+    digest = F.sha2("text", 256)
+    digests = cut(plain.filter(F.octet_length("text") >= LENGTH).select("id", digest.alias("d")).distinct())
+    # different texts under one id are told apart by their digest
+    shared = checked(digests.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("s")), 100_000)
+    number = lambda d: F.conv(F.substring(d, 1, 15), 16, 10).cast("bigint") + 1
+    own = F.when(F.col("s").isNotNull() & (F.octet_length("text") >= LENGTH), number(digest)).otherwise(0)
+    rows = plain.join(shared, F.col("id") == F.col("s"), "left").select("id", own.alias("u"), "text")
     # exact copies: of each digest the least id stays in play
-    digests = cut(rows.select("id", F.sha2("text", 256).alias("d"), (F.octet_length("text") >= LENGTH).alias("long")).filter("long").select("id", "d"))
     least = digests.groupBy("d").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).filter("i0 <> i1").select(F.col("d").alias("e"), "i0")
-    copies = checked(digests.join(least, F.col("d") == F.col("e")).filter("id <> i0").select(F.col("id").alias("c"), "d").distinct(), 100_000)
-    played = rows.join(copies, (F.col("id") == F.col("c")) & (F.sha2("text", 256) == F.col("d")), "left_anti")
-    narrow = played.mapInArrow(_segment_rows, "key bigint, id bigint, at int, n int")
-    again = scratch.table("again", narrow.repartition("key").sortWithinPartitions("key").mapInArrow(_again, "key bigint, id bigint, at int, n int"))
+    copies = checked(digests.join(least, F.col("d") == F.col("e")).filter("id <> i0").select(F.col("id").alias("c"), "d"), 100_000)
+    same = (F.col("id") == F.col("c")) & (digest == F.col("d"))
+    played = rows.join(copies, same, "left_anti")
+    narrow = played.mapInArrow(_segment_rows, NARROW)
+    again = scratch.table("again", narrow.repartition("key").sortWithinPartitions("key").mapInArrow(_again, NARROW))
     del narrow
     release(spark)
-    wanted = again.groupBy("id").agg(F.collect_list(F.struct("at", "n", "key")).alias("parts")).withColumnRenamed("id", "w")
-    with_text = played.join(wanted, F.col("id") == F.col("w")).select("id", "text", "parts")
-    bodies = with_text.mapInArrow(_body_rows, "key bigint, id bigint, at int, body binary")
-    ranges = bodies.repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(_removed_rows, "id bigint, a bigint, b bigint")
-    merged = scratch.table("ranges", ranges.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).withColumnRenamed("id", "r"))
+    wanted = again.filter("not gone").groupBy(F.col("id").alias("w"), F.col("u").alias("v")).agg(F.collect_list(F.struct("at", "n", "key")).alias("parts"))
+    with_text = played.join(wanted, (F.col("id") == F.col("w")) & (F.col("u") == F.col("v"))).select("id", "u", "text", "parts")
+    bodies = with_text.mapInArrow(_body_rows, "key bigint, id bigint, u bigint, at int, body binary")
+    ranges = bodies.repartition("key").sortWithinPartitions("key", "id", "u", "at").mapInArrow(_removed_rows, RANGES)
+    at_once = again.filter("gone").select("id", "u", F.col("at").cast("bigint").alias("a"), (F.col("at") + F.col("n") + LENGTH - 1).cast("bigint").alias("b"))
+    merged = ranges.union(at_once).groupBy(F.col("id").alias("r"), F.col("u").alias("v")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    merged = scratch.table("ranges", merged)
     del wanted, with_text, bodies, ranges
     scratch.drop("again")
     release(spark)
-    all_rows = rows.join(copies, (F.col("id") == F.col("c")) & (F.sha2("text", 256) == F.col("d")), "left").join(merged, F.col("id") == F.col("r"), "left")
+    all_rows = rows.join(copies, same, "left").join(merged, (F.col("id") == F.col("r")) & (F.col("u") == F.col("v")), "left")
     ready = all_rows.select("id", "text", F.col("c").isNotNull().alias("whole"), "ranges")
     made = ready.mapInArrow(_kept_rows(keep_bytes), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return made.select(F.nullif("id", F.lit(_NULL)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
