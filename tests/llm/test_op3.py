@@ -162,3 +162,14 @@ def test_lines_meet_sentences_but_not_their_own(spark):
     df = spark.createDataFrame([(1, whole), (2, split), (3, own), (4, words(rng, 9000)), (5, words(rng, 12))], "doc_id bigint, text string")
     got = op3_repeated_paragraphs(df).collect()
     assert [(r.doc_id, r.start, r.end, r.n_words, r.kept_doc_id) for r in got] == [(2, 0, len(split), 60, 1)]
+
+
+def test_hit_table_finds_all(spark):
+    import numpy as np
+
+    from wayfold.llm.near_sets import hit_table, wanted
+
+    rng = np.random.default_rng(3)
+    ids = np.append(rng.integers(-(1 << 62), 1 << 62, 3000), [0, -1, 1, (1 << 24) - 1, 1 << 24])
+    hits = hit_table(spark.createDataFrame([(int(x),) for x in ids], "i bigint"))
+    assert wanted(hits, ids).all() and wanted(hits, rng.integers(-(1 << 62), 1 << 62, 100_000)).mean() < 0.001

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import SPACE, cut, few, mix, owner, prefix_hash, runs, shingles, span_hash, texts_of
 
-WORDS, SIMILARITY, CHUNK, ID_BOUND = 5, 0.8, 1000, 4_000_000
+WORDS, SIMILARITY, CHUNK = 5, 0.8, 1000
+HIT_BITS = 1 << 24  # of the table that tells readers which bodies are wanted: 2 MB at every size
 _HASH = np.uint64(16)  # bits given up for the row number in a block's keys
 _RNG = np.random.default_rng(404)
 _A = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -234,7 +235,23 @@ def _blocks(similarity: float):
     return run
 
 
-def near_edges(members: DataFrame, body_rows: Callable[[np.ndarray | None], DataFrame], similarity: float = SIMILARITY, extra: DataFrame | None = None, known: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+def hit_table(ids: DataFrame) -> np.ndarray:
+    """A bit for each of HIT_BITS values of the low bits of the ids (i), set where one has it; built by the tasks."""
+    bit = F.col("i").bitwiseAND(HIT_BITS - 1) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros((HIT_BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r.k - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def wanted(hits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Mask of the hashes that may be wanted."""
+    low = h.view(np.int64) & (HIT_BITS - 1)
+    return hits[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
+
+
+def near_edges(members: DataFrame, body_rows: Callable[[np.ndarray], DataFrame], similarity: float = SIMILARITY, extra: DataFrame | None = None, known: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """(key, h, n) to verified edges (a, b) whose components are those of all near pairs that share a key.
 
     ``body_rows(wanted)`` reads (h, body) of the hashes in a sorted array, or of all for None: words parted by white
@@ -253,10 +270,7 @@ def near_edges(members: DataFrame, body_rows: Callable[[np.ndarray | None], Data
     if not n_ids:
         none = pairs.select(F.col("h").alias("a"), F.col("lead").alias("b"))
         return none if known is None else none.union(known)
-    if n_ids <= ID_BOUND:
-        bodies = body_rows(np.sort(ids.toPandas()["i"].to_numpy(np.int64)))
-    else:
-        bodies = body_rows(None).join(ids, F.col("h") == F.col("i"), "left_semi")
+    bodies = body_rows(hit_table(ids)).join(ids, F.col("h") == F.col("i"), "left_semi")
     bodies = cut(bodies.dropDuplicates(["h"]))
     left, right = bodies.select(F.col("h").alias("l"), F.col("body").alias("x")), bodies.select(F.col("h").alias("r"), F.col("body").alias("y"))
     full = pairs.join(left, F.col("h") == F.col("l")).join(right, F.col("lead") == F.col("r")).select("h", "lead", "x", "y")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .near_sets import SIMILARITY, WORDS, band_keys, near_edges
+from .near_sets import SIMILARITY, WORDS, band_keys, near_edges, wanted
 from .shared import LOWER, SPACE, Scratch, blocks, checked, code_points, cut, mix, owner, prefix_hash, runs, shingles, span_hash, word_runs_hash
 
 BANDS, ROWS, RUN = 8, 4, 20
@@ -137,8 +137,8 @@ def _band_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n), own, *columns], names=["h", "n", "own", *_BAND_NAMES])
 
 
-def _body_rows(wanted: np.ndarray | None):
-    """(h, body) of paragraphs, of those in the sorted array ``wanted`` where there is one; each once a block."""
+def _body_rows(hits: np.ndarray):
+    """(h, body) of the paragraphs that may be wanted; each once a block."""
 
     def run(batches):
         for batch in batches:
@@ -148,9 +148,7 @@ def _body_rows(wanted: np.ndarray | None):
                     continue
                 _, _, b, e, h, _, _, s, t, *_ = got
                 h, keep = h.view(np.int64), e - b >= WORDS + TRIMMED - 1
-                if wanted is not None:
-                    keep &= wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                at = np.flatnonzero(keep)
+                at = np.flatnonzero(keep & wanted(hits, h))
                 at = at[np.unique(h[at], return_index=True)[1]]
                 raw = LOWER[data]
                 yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array([raw[x:y].tobytes() for x, y in zip(s[at].tolist(), t[at].tolist())], pa.binary())], names=["h", "body"])
@@ -165,7 +163,7 @@ def near_pairs(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     known = cut(known)
     parts = known.filter("own is not null").select(F.col("h").alias("a"), F.col("own").alias("b"))
     members = known.select(F.explode(F.array(*_BAND_NAMES)).alias("key"), "h", "n").filter("key is not null")
-    return near_edges(members, lambda wanted: rows.mapInArrow(_body_rows(wanted), "h bigint, body binary"), similarity, known=parts)
+    return near_edges(members, lambda hits: rows.mapInArrow(_body_rows(hits), "h bigint, body binary"), similarity, known=parts)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN, similarity: float = SIMILARITY) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .near_sets import SIMILARITY, WORDS, band_keys, near_edges
+from .near_sets import SIMILARITY, WORDS, band_keys, near_edges, wanted
 from .shared import blocks, cut, few, joined_words, prefix_hash, shingles, span_hash, word_runs_hash
 
 LIMIT, FAN, RANGE, BATCH, BITS = 4096, 16, 100_000, 1024, 3
@@ -261,14 +261,13 @@ def _copy_rows(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h), *columns], names=["doc_id", "h", "fp", *_COPY_BANDS])
 
 
-def _copy_bodies(wanted: np.ndarray | None):
+def _copy_bodies(hits: np.ndarray):
     def run(batches):
         for batch in batches:
             for _, data, offsets in blocks(batch, "text", 1 << 20):
                 h, text, border, *_ = text_sets(data, offsets)
                 at = np.unique(h, return_index=True)[1]
-                if wanted is not None:
-                    at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
+                at = at[wanted(hits, h[at])]
                 yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array([text[border[t] : border[t + 1]].tobytes() for t in at.tolist()], pa.binary())], names=["h", "body"])
 
     return run
@@ -288,7 +287,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = links.join(head("h"), F.col("a") == F.col("h_fp")).join(head("lead"), F.col("b") == F.col("lead_fp")).select("h", "lead")
     same = some.select("h", "fp").join(heads, "fp").filter("h <> lead").select("h", "lead")
     members = some.select(F.explode(F.array(*_COPY_BANDS)).alias("key"), "h", "n")
-    body_rows = lambda wanted: rows.mapInArrow(_copy_bodies(wanted), "h bigint, body binary")
+    body_rows = lambda hits: rows.mapInArrow(_copy_bodies(hits), "h bigint, body binary")
     roots = components(near_edges(members, body_rows, similarity, linked.union(same), chunk=300))
     placed = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
