@@ -81,3 +81,36 @@ def test_each_rule_alone_gets_its_label(spark):
         assert any(h[3] == label for h in hits), text
         assert set(r.labels.split(",")) == left | set(filter(None, r.base_labels.split(","))) and r.score > 0, (label, text)
     assert all(got[len(texts) + i].n_base == 1 for i in range(len(BASE)))
+
+
+def slow_hits(text):
+    """All rules over the whole text; intervals held by one of higher priority go."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+    raw = [(m.start(), m.end(), rank, label) for rank, (label, key, p) in enumerate(rules()) if key in norm for m in re.finditer(f"(?<= )(?:{p})(?= )", norm)]
+    return sorted(h for h in raw if not any(g[0] <= h[0] and g[1] >= h[1] and g[2] < h[2] for g in raw))
+
+
+def test_hits_of_long_texts_equal_a_plain_scan(spark):
+    """Matches at, across and between the borders of blocks."""
+    from wayfold.llm.op9_licenses import scan
+
+    lines = ["Released under the MIT License.", "gnu general public license version 3 or any later version", "CC BY-NC-SA 4.0", "copyright 2001 2002 2003", "all rights reserved", "licensed under the apache license version 2 0"]
+    texts = []
+    for shift in (0, 488, 494, 497, 499, 500, 503):
+        texts.append("w " * shift + " w w ".join(lines * 3) + " v" * 700 + " " + lines[shift % 6])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in scan(df).collect():
+        assert sorted((h.s, h.e, h.rank, h.label) for h in r.hits) == slow_hits(texts[r.doc_id]), r.doc_id
+
+
+def test_time_grows_with_the_length(spark):
+    import time
+
+    took = []
+    for n in (200, 1600):
+        df = spark.createDataFrame([(1, "released under the mit license. " * n)], "doc_id bigint, text string")
+        start = time.perf_counter()
+        assert op9_license_scan(df).collect()[0].labels.startswith("licensed,mit")
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0]  # eight times the text; 64 were quadratic

@@ -1,9 +1,10 @@
 """License scan by ordered signature rules, with DataFrame functions alone.
 
 Texts become words (A-Z lower-cased; letters, digits and everything beyond ASCII). A row-level gate looks for the
-first words of all rules' keywords by plain substring search; only rows that have one are normalised (`` w1 w2 … ``),
-and of the rules only those whose keyword the normalised text holds are run. A rule's matches become intervals; an interval inside another one of
-the same or a higher priority goes, so ``cc-by-nc-4.0`` silences ``cc-by`` found by a rule within it. Base phrases are
+first words of all rules' keywords by plain substring search; only rows that have one are normalised (`` w1 w2 … ``).
+They are read in blocks of ``BLOCK`` words with ``MARGIN`` words around, more than any match has, so that time grows in
+proportion to a text's length; a block answers for the matches that begin in it. Of the rules only those whose keyword
+the block holds are run. A rule's matches become intervals; an interval inside another one of a higher priority goes, so ``cc-by-nc-4.0`` silences ``cc-by`` found by a rule within it. Base phrases are
 counted by position in the word array and are never suppressed. No shuffle, no join: each row is decided alone.
 
 Cases: null and empty texts have no words and no labels; equal rows get equal values; a text of any length is handled
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 _NOT_WORD = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
-_ANY = "(?:the |a |an |this |of |under |terms |license |licence |version |v ?)*"
+_ANY = "(?:the |a |an |this |of |under |terms |license |licence |version |v ?){0,8}"
+BLOCK, MARGIN = 500, 60
 
 
 def rules() -> list[tuple[str, str, str]]:
@@ -86,7 +88,7 @@ def rules() -> list[tuple[str, str, str]]:
         ("ruby", "ruby", "ruby license"), ("openssl", "openssl", "openssl license"), ("perl", "perl", "same terms as perl(?: itself)?"), ("vim", "vim", "vim license"), ("curl", "curl", "curl license"),
         ("commons-clause", "clause", "commons clause(?: license condition)?"), ("no-warranty", "warrant", "without warrant(?:y|ies)(?: or conditions)? of any kind"), ("no-warranty", "warrant", "provided as is without warranty"),
         ("confidential", "confidential", "(?:strictly |company )?confidential and proprietary"), ("proprietary", "proprietary", "proprietary (?:license|software|and confidential)"), ("copyleft", "copyleft", "copyleft(?:ed)?"),
-        ("copyright", "copyright", "copyright (?:c )?(?:by )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*"), ("copyright", "copyright", "(?:see|under) copyright"), ("reserved", "reserved", "(?:all|some|no) rights reserved"),
+        ("copyright", "copyright", "copyright (?:c )?(?:by )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2}){0,40}"), ("copyright", "copyright", "(?:see|under) copyright"), ("reserved", "reserved", "(?:all|some|no) rights reserved"),
         ("licensed", "licens", "licensed under(?: the)?(?: terms of)?"), ("licensed", "licens", "released under(?: the)? [^ ]+ license"), ("license-file", "licens", "see (?:the )?license file"), ("license-text", "licens", "you may not use this file except in compliance with the license"),
     ):
         out.append((label, keyword, pattern))
@@ -145,13 +147,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     held = F.filter(F.array(*[F.contains("norm", F.lit(f" {p} ")) for p in BASE]), lambda x: x)
     words = words.select("*", F.when(F.size(held) > 0, F.struct(*spots)).alias("spots"))
     table = F.array(*[F.struct(F.lit(n).alias("rank"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(f"(?<= )(?:{p})(?= )").alias("pattern")) for n, (label, key, p) in enumerate(rules())])
-    wanted = F.filter(table, lambda r: F.contains("norm", r["key"]))
-    hits = F.when(F.col("norm").isNotNull(), F.flatten(F.transform(wanted, lambda r: _matches(F.col("norm"), r))))
-    got = words.select("doc_id", "n_words", "norm", "spots", hits.alias("raw"))
-    beaten = lambda h: F.exists("raw", lambda g: (g["s"] <= h["s"]) & (g["e"] >= h["e"]) & (g["rank"] < h["rank"]))
+    n_blocks = F.greatest(F.ceil(F.size("w") / BLOCK).cast("int"), F.lit(1))
+    numbers = F.sequence(F.lit(0), n_blocks - 1)
+    joined = lambda start, n: F.array_join(F.slice("w", start, n), " ")
+    # where each block begins in the normalised text: one more than the words before it, with a blank after each
+    begins = F.aggregate(numbers, F.array(F.lit(1)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(joined(i * BLOCK + 1, F.lit(BLOCK))) + 1)))
+
+    def block(i: Column) -> Column:
+        before = F.least(i * BLOCK, F.lit(MARGIN))
+        text = F.concat(F.lit(" "), joined(i * BLOCK + 1 - before, before + BLOCK + MARGIN), F.lit(" "))
+        margin = F.when(before > 0, F.length(joined(i * BLOCK + 1 - before, before)) + 1).otherwise(0)
+        return F.struct(text.alias("text"), F.get("begins", i).alias("at"), F.get("begins", i + 1).alias("end"), (F.get("begins", i) - 1 - margin).alias("shift"))
+
+    def found(x: Column) -> Column:
+        """Intervals that begin in the block and no rule of higher priority holds, in characters of the normalised text."""
+        raw = F.flatten(F.transform(F.filter(table, lambda r: F.contains(x["text"], r["key"])), lambda r: _matches(x["text"], r)))
+        kept = F.filter(raw, lambda h: (h["s"] + x["shift"] >= x["at"]) & (h["s"] + x["shift"] < x["end"]) & ~F.exists(raw, lambda g: (g["s"] <= h["s"]) & (g["e"] >= h["e"]) & (g["rank"] < h["rank"])))
+        return F.transform(kept, lambda h: F.struct((h["s"] + x["shift"]).alias("s"), (h["e"] + x["shift"]).alias("e"), h["rank"].alias("rank"), h["label"].alias("label")))
+
+    cut_up = words.select("doc_id", "n_words", "norm", "w", "spots", F.when(F.col("norm").isNotNull(), begins).alias("begins"))
+    cut_up = cut_up.withColumn("blocks", F.when(F.col("norm").isNotNull(), F.transform(numbers, block)))
+    got = cut_up.select("doc_id", "n_words", "norm", "spots", F.flatten(F.transform("blocks", found)).alias("hits"))
     places = F.array_sort(F.concat(*[F.col("spots")[f"b{k}"] for k in range(len(BASE))]))
     base = F.array_compact(F.array(*[F.when(F.size(F.col("spots")[f"b{k}"]) > 0, F.lit(label)) for k, label in enumerate(BASE.values())]))
-    return got.select("doc_id", "n_words", "norm", places.alias("places"), base.alias("base"), F.filter("raw", lambda h: ~beaten(h)).alias("hits"))
+    return got.select("doc_id", "n_words", "norm", places.alias("places"), base.alias("base"), "hits")
 
 
 def op9_license_scan(docs: DataFrame) -> DataFrame:
