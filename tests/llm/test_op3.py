@@ -147,8 +147,8 @@ def test_groups_beyond_a_block_lose_no_links(spark):
     rng.shuffle(bodies)
     true, _ = near_roots(bodies)
     table = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(bodies)], "h bigint, body binary")
-    members = table.select(F.lit(1).cast("bigint").alias("key"), "h", F.lit(1).cast("bigint").alias("n"))
-    roots = {r.node: r.root for r in components(near_edges(members, lambda wanted: table, chunk=7)).collect()}
+    members = table.select(F.lit(1).cast("bigint").alias("key"), "h", F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("own"))
+    roots = {r.node: r.root for r in components(near_edges(lambda: members, lambda hits: table, chunk=7)).collect()}
     of = [roots.get(i, i) for i in range(len(bodies))]
     assert all((true[a] == true[b]) == (of[a] == of[b]) for a in range(len(bodies)) for b in range(a))
 

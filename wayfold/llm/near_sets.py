@@ -1,6 +1,6 @@
 """Near pairs among sets of word shingles that share candidate keys: the part that operators on near copies have in common.
 
-Input are rows (key, h, n): content hash ``h``, which stands for ``n`` rows of the corpus, is a member of candidate group
+Input are rows (key, h, n, own): content hash ``h``, which stands for ``n`` rows of the corpus, is a member of candidate group
 ``key``. Members of a group are first verified against its most frequent member (edited copies are near their original,
 which is the text found most often, while two edited copies need not be near each other). Verified pairs join into
 components. In a group that still spans several components, every member outside the group's largest component is then
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import SPACE, cut, few, mix, owner, prefix_hash, runs, shingles, span_hash, texts_of
+from .shared import SPACE, cut, few, mix, owner, prefix_hash, release, runs, shingles, span_hash, texts_of
 
 WORDS, SIMILARITY, CHUNK = 5, 0.8, 1000
 HIT_BITS = 1 << 24  # of the table that tells readers which bodies are wanted: 2 MB at every size
@@ -42,9 +42,16 @@ def band_keys(values: np.ndarray, first: np.ndarray, bands: int, rows: int) -> n
 
 
 def leaders(batches):
-    """Rows (key, h, …) sorted by key and rank to (key, h, lead) for each further hash of a key; one row of state."""
+    """Rows (key, h, own) sorted by key and rank to (key, h, lead, known): of each further hash of a key, and of edges (h,
+    own) that are known; one row of state."""
     last, lead = None, 0
+    names = ["key", "h", "lead", "known"]
     for batch in batches:
+        edge = batch.column(2).is_valid()
+        if pa.compute.any(edge).as_py():
+            e = batch.filter(edge)
+            yield pa.RecordBatch.from_arrays([e.column(0), e.column(1), e.column(2), pa.array(np.ones(e.num_rows, bool))], names=names)
+            batch = batch.filter(pa.compute.invert(edge))
         keys, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(keys):
             continue
@@ -55,7 +62,7 @@ def leaders(batches):
         leads = np.where(at >= 0, h[np.maximum(at, 0)], lead)
         pick = ~new & (h != leads)
         last, lead = keys[-1], leads[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[pick]), pa.array(h[pick]), pa.array(leads[pick])], names=["key", "h", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[pick]), pa.array(h[pick]), pa.array(leads[pick]), pa.array(np.zeros(int(pick.sum()), bool))], names=names)
 
 
 def set_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -251,31 +258,35 @@ def wanted(hits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hits[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
 
 
-def near_edges(members: DataFrame, body_rows: Callable[[np.ndarray], DataFrame], similarity: float = SIMILARITY, extra: DataFrame | None = None, known: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(key, h, n) to verified edges (a, b) whose components are those of all near pairs that share a key.
+def near_edges(members: Callable[[], DataFrame], body_rows: Callable[[np.ndarray], DataFrame], similarity: float = SIMILARITY, extra: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Rows (key, h, n, own) of ``members()`` to verified edges (a, b) whose components are those of all near pairs that
+    share a key. Rows with ``own`` are no members but edges (h, own) known to be near.
 
-    ``body_rows(wanted)`` reads (h, body) of the hashes in a sorted array, or of all for None: words parted by white
-    space. ``extra`` are further candidate pairs (h, lead), ``known`` edges (a, b) that need no verification. The ids of candidates go to the readers up to ``ID_BOUND`` of
-    them (32 MB) and are joined by shuffle beyond."""
-    todo = cut(members.repartition("key").sortWithinPartitions("key", F.desc("n"), "h").select("key", "h").mapInArrow(leaders, "key bigint, h bigint, lead bigint"))
+    ``body_rows(hits)`` reads (h, body), words parted by white space, of the hashes that ``wanted`` finds in the table
+    ``hits`` (others may come too, and are dropped in a join). ``extra`` are further candidate pairs (h, lead). The rows
+    of ``members`` are made here so that nothing holds their shuffle files once the groups are known."""
+    dealt = members().repartition("key").sortWithinPartitions("key", F.desc("n"), "h").select("key", "h", "own")
+    all_ = cut(dealt.mapInArrow(leaders, "key bigint, h bigint, lead bigint, known boolean"))
+    del dealt
+    release(all_.sparkSession)
+    todo = all_.filter("not known").select("key", "h", "lead")
+    known = all_.filter("known").select(F.col("h").alias("a"), F.col("lead").alias("b"))
     pairs = todo.select("h", "lead")
     if extra is not None:
         pairs = pairs.union(extra.select("h", "lead"))
-    if known is not None:
-        both = [F.least("a", "b").alias("k0"), F.greatest("a", "b").alias("k1")]
-        pairs = pairs.join(known.select(*both), (F.least("h", "lead") == F.col("k0")) & (F.greatest("h", "lead") == F.col("k1")), "left_anti")
+    both = known.select(F.least("a", "b").alias("k0"), F.greatest("a", "b").alias("k1"))
+    pairs = pairs.join(both, (F.least("h", "lead") == F.col("k0")) & (F.greatest("h", "lead") == F.col("k1")), "left_anti")
     pairs = cut(pairs.distinct())
     ids = cut(pairs.select(F.col("h").alias("i")).union(pairs.select("lead")).distinct())
     n_ids = ids.count()
     if not n_ids:
-        none = pairs.select(F.col("h").alias("a"), F.col("lead").alias("b"))
-        return none if known is None else none.union(known)
+        return known
     bodies = body_rows(hit_table(ids)).join(ids, F.col("h") == F.col("i"), "left_semi")
     bodies = cut(bodies.dropDuplicates(["h"]))
     left, right = bodies.select(F.col("h").alias("l"), F.col("body").alias("x")), bodies.select(F.col("h").alias("r"), F.col("body").alias("y"))
     full = pairs.join(left, F.col("h") == F.col("l")).join(right, F.col("lead") == F.col("r")).select("h", "lead", "x", "y")
     good = full.mapInArrow(verified(similarity), "a bigint, b bigint")
-    good = cut(good if known is None else good.union(known))
+    good = cut(good.union(known))
     roots = components(good)
     of = lambda c: roots.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root"))
     rooted = todo.join(of("h"), F.col("h") == F.col("h_node"), "left").join(of("lead"), F.col("lead") == F.col("lead_node"), "left")

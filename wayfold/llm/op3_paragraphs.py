@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .near_sets import SIMILARITY, WORDS, band_keys, near_edges, wanted
-from .shared import LOWER, SPACE, Scratch, blocks, checked, code_points, cut, mix, owner, prefix_hash, runs, shingles, span_hash, word_runs_hash
+from .shared import LOWER, SPACE, Scratch, blocks, checked, code_points, mix, owner, prefix_hash, runs, shingles, span_hash, word_runs_hash
 
 BANDS, ROWS, RUN = 8, 4, 20
 TRIMMED, BANDED = 4, 8  # shingles from which on a paragraph sends trimmed hashes, and bands
@@ -158,12 +158,16 @@ def _body_rows(hits: np.ndarray):
 
 def near_pairs(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text) to verified pairs (a, b) of content hashes, whose components hold all near paragraphs that met."""
-    made = rows.mapInArrow(_band_rows, "h bigint, n bigint, own bigint, " + ", ".join(f"{b} bigint" for b in _BAND_NAMES))
-    known = made.groupBy("h").agg(F.sum("n").alias("n"), F.max("own").alias("own"), *[F.max(b).alias(b) for b in _BAND_NAMES])
-    known = cut(known)
-    parts = known.filter("own is not null").select(F.col("h").alias("a"), F.col("own").alias("b"))
-    members = known.select(F.explode(F.array(*_BAND_NAMES)).alias("key"), "h", "n").filter("key is not null")
-    return near_edges(members, lambda hits: rows.mapInArrow(_body_rows(hits), "h bigint, body binary"), similarity, known=parts)
+    row = "h bigint, n bigint, own bigint, " + ", ".join(f"{b} bigint" for b in _BAND_NAMES)
+
+    def members() -> DataFrame:
+        known = rows.mapInArrow(_band_rows, row).groupBy("h").agg(F.sum("n").alias("n"), F.max("own").alias("own"), *[F.max(b).alias(b) for b in _BAND_NAMES])
+        as_row = lambda key, own: F.struct(key.alias("key"), own.alias("own"))
+        none = F.lit(None).cast("bigint")
+        each = F.array(*[F.when(F.col(b).isNotNull(), as_row(F.col(b), none)) for b in _BAND_NAMES], F.when(F.col("own").isNotNull(), as_row(F.col("h"), F.col("own"))))
+        return known.select("h", "n", F.explode(F.array_compact(each)).alias("x")).select("x.key", "h", "n", "x.own")
+
+    return near_edges(members, lambda hits: rows.mapInArrow(_body_rows(hits), "h bigint, body binary"), similarity)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN, similarity: float = SIMILARITY) -> DataFrame:

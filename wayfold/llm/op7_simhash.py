@@ -286,7 +286,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     head = lambda c: heads.select(F.col("fp").alias(f"{c}_fp"), F.col("lead").alias(c))
     linked = links.join(head("h"), F.col("a") == F.col("h_fp")).join(head("lead"), F.col("b") == F.col("lead_fp")).select("h", "lead")
     same = some.select("h", "fp").join(heads, "fp").filter("h <> lead").select("h", "lead")
-    members = some.select(F.explode(F.array(*_COPY_BANDS)).alias("key"), "h", "n")
+    members = lambda: some.select(F.explode(F.array(*_COPY_BANDS)).alias("key"), "h", "n", F.lit(None).cast("bigint").alias("own"))
     body_rows = lambda hits: rows.mapInArrow(_copy_bodies(hits), "h bigint, body binary")
     roots = components(near_edges(members, body_rows, similarity, linked.union(same), chunk=300))
     placed = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
