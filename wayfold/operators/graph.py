@@ -79,7 +79,7 @@ def project(points: DataFrame, edges: DataFrame, cell: float = 25.0) -> DataFram
         done = got if done is None else done.unionByName(got)
         if last:
             break
-        todo, cell = best.filter(~near).select("_x", "_y"), cell * 4
+        todo, cell = best.filter(~near).select("_x", "_y"), cell * 16
     found = done.select(F.col("_x").alias("x"), F.col("_y").alias("y"), "_m.edge_id", "_m.px", "_m.py", F.sqrt("_m.d2").alias("distance"))
     return points.join(found, ["x", "y"]).select(*points.columns, "edge_id", "px", "py", "distance")
 

@@ -71,7 +71,7 @@ def nearest_site(points: DataFrame, sites: DataFrame, per_cell: float = 4.0) ->
 
     Distinct positions are looked up, once each. Each site goes to the cells of a square grid around its own up to a
     ring; a position is settled once a site lies within that ring, as no other can be nearer then. Those left look into a
-    grid of four times the cell; the last ring covers the box of everything. Positions, not points, move in these joins,
+    grid of sixteen times the cell; the last ring covers the box of everything. Positions, not points, move in these joins,
     and a cell of the finest grid holds about ``per_cell`` sites."""
     s = sites.select("sensor_id", F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"))
     todo = points.select(F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
@@ -97,7 +97,7 @@ def nearest_site(points: DataFrame, sites: DataFrame, per_cell: float = 4.0) ->
         done = got if done is None else done.unionByName(got)
         if last:
             break
-        todo, cell = best.filter(~near).select("_x", "_y"), cell * 4
+        todo, cell = best.filter(~near).select("_x", "_y"), cell * 16
     found = done.select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_m.id").alias("sensor_id"), F.col("_m.d2").alias("d2"))
     return points.join(found, ["x", "y"]).select(*points.columns, "sensor_id", "d2")
 

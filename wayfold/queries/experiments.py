@@ -21,14 +21,17 @@ def q(sql: str, name: str) -> str:
 
 
 def stats(value: str = "rmse") -> list:
+    """Of the finite values: count, mean, sample deviation (0 for one value) and its error, median, 95th percentile, lost share."""
     v = F.col(value)
+    std = F.when(F.count(v) > 1, F.stddev_samp(v)).otherwise(0.0)
     return [
-        F.count("*").alias("n"), r(F.avg(v), "mean"), r(F.stddev_samp(v), "std"), r(F.percentile(v, 0.5), "median"), r(F.percentile(v, 0.95), "p95"),
+        F.count(v).alias("n"), r(F.avg(v), "mean"), r(std, "std"), r(std / F.sqrt(F.count(v)), "sem"), r(F.percentile(v, 0.5), "median"), r(F.percentile(v, 0.95), "p95"),
         r(F.avg((v > 100).cast("double")), "lost"),
     ]
 
 
-STATS = ", ".join(["count(*) AS n", q("avg(rmse)", "mean"), q("stddev_samp(rmse)", "std"), q("quantile_cont(rmse, 0.5)", "median"), q("quantile_cont(rmse, 0.95)", "p95"), q("avg((rmse > 100)::INT)", "lost")])
+STD = "CASE WHEN count(rmse) > 1 THEN stddev_samp(rmse) ELSE 0 END"
+STATS = ", ".join(["count(rmse) AS n", q("avg(rmse)", "mean"), q(STD, "std"), q(f"{STD} / sqrt(count(rmse))", "sem"), q("quantile_cont(rmse, 0.5)", "median"), q("quantile_cont(rmse, 0.95)", "p95"), q("avg((rmse > 100)::INT)", "lost")])
 
 #: Several rows share a trajectory, estimator, condition and seed; they count as their mean.
 CELL = ["trajectory_id", "estimator", "condition"]
@@ -84,14 +87,22 @@ def pairs(s, d):
     return p.filter("a IS NOT NULL AND c IS NOT NULL").withColumn("delta", F.col("a") - F.col("c"))
 
 
-@query("paired_delta", f"WITH {PAIRS} SELECT trajectory_id, estimator, {q('a', 'a')}, {q('c', 'c')}, {q('delta', 'delta')} FROM pairs", "runs")
+@query("paired_delta", f"WITH k AS (SELECT trajectory_id, estimator, condition, seed, avg(rmse) AS rmse FROM runs GROUP BY 1, 2, 3, 4), d AS (SELECT a.trajectory_id, a.estimator, a.rmse - c.rmse AS delta FROM k a JOIN k c USING (trajectory_id, estimator, seed) WHERE a.condition = 'A_perimeter_only' AND c.condition = 'C_sidechannel') SELECT trajectory_id, estimator, count(*) AS n_pairs, {q('avg(delta)', 'delta')}, {q('min(delta)', 'least')}, {q('max(delta)', 'most')} FROM d GROUP BY 1, 2", "runs")
 def _(s, d):
-    return pairs(s, d).select("trajectory_id", "estimator", r("a", "a"), r("c", "c"), r("delta", "delta"))
+    """Both conditions paired on trajectory and seed, then the mean difference of each trajectory: two aggregates, no join."""
+    side = lambda k: F.avg(F.when(F.col("condition") == k, F.col("rmse")))
+    p = runs(s, d).groupBy("trajectory_id", "estimator", "seed").agg(side("A_perimeter_only").alias("a"), side("C_sidechannel").alias("c")).filter("a IS NOT NULL AND c IS NOT NULL")
+    x = F.col("a") - F.col("c")
+    return p.groupBy("trajectory_id", "estimator").agg(F.count("*").alias("n_pairs"), r(F.avg(x), "delta"), r(F.min(x), "least"), r(F.max(x), "most"))
 
 
-@query("sweep_summary", f"WITH {PAIRS} SELECT estimator, count(*) AS n, {q('avg(delta)', 'mean')}, {q('avg((delta > 0)::INT)', 'won')} FROM pairs GROUP BY 1", "runs")
+@query("sweep_summary", f"WITH g AS (SELECT estimator, nullif(level, 0.05) AS level, count(*) AS n, avg(rmse) AS m FROM runs GROUP BY 1, 2), e AS (SELECT estimator, nullif(level, 0.05) AS level, avg(gap) AS gap FROM runs WHERE condition = 'C_sidechannel' AND level < 0.08 GROUP BY 1, 2) SELECT g.estimator, g.level, g.n, {q('g.m', 'mean')}, {q('e.gap', 'gap')} FROM g LEFT JOIN e ON e.estimator = g.estimator AND e.level IS NOT DISTINCT FROM g.level", "runs")
 def _(s, d):
-    return pairs(s, d).groupBy("estimator").agg(F.count("*").alias("n"), r(F.avg("delta"), "mean"), r(F.avg((F.col("delta") > 0).cast("double")), "won"))
+    """Extra means merged onto the aggregate; the level may be null on both sides (here 0.05 is), which joins with itself."""
+    x = runs(s, d).withColumn("level", F.nullif("level", F.lit(0.05)))
+    g = x.groupBy("estimator", "level").agg(F.count("*").alias("n"), F.avg("rmse").alias("m"))
+    e = x.filter("condition = 'C_sidechannel' AND coalesce(level, 0.05) < 0.08").groupBy(F.col("estimator").alias("e"), F.col("level").alias("l")).agg(F.avg("gap").alias("gap"))
+    return g.join(e, (F.col("estimator") == F.col("e")) & F.col("level").eqNullSafe(F.col("l")), "left").select("estimator", "level", "n", r("m", "mean"), r("gap", "gap"))
 
 
 @query("stratify", f"SELECT l_orderkey, seed, gap, {STRATUM} AS stratum FROM runs", "runs")
@@ -133,25 +144,38 @@ def levels(s, d):
     return lv.withColumn("m0", F.max(F.when(F.col("level") == 0, F.col("m"))).over(Window.partitionBy("estimator")))
 
 
-@query("degradation", f"WITH {LEVELS} SELECT estimator, level, {q('m - m0', 'loss')}, {q('m / m0 - 1', 'share')} FROM lv JOIN base USING (estimator)", "runs")
+@query("degradation", f"WITH {LEVELS}, g AS (SELECT estimator, regr_slope(m, level) AS slope, arg_min(m, level) AS a, arg_max(m, level) AS b FROM lv GROUP BY 1), rf AS (SELECT estimator, avg(rmse) AS ref FROM runs WHERE condition = 'A_perimeter_only' GROUP BY 1) SELECT estimator, {q('slope', 'slope')}, {q('b / a - 1', 'increase')}, {q('(ref - b) / (ref - a)', 'gap_kept')} FROM g JOIN rf USING (estimator)", "runs")
 def _(s, d):
-    return levels(s, d).filter("m0 IS NOT NULL").select("estimator", "level", r(F.col("m") - F.col("m0"), "loss"), r(F.col("m") / F.col("m0") - 1, "share"))
+    """Slope over levels, relative increase from the least to the greatest, and how much of the gain over the reference stays."""
+    ref = runs(s, d).filter("condition = 'A_perimeter_only'").groupBy("estimator").agg(F.avg("rmse").alias("ref"))
+    g = levels(s, d).groupBy("estimator").agg(F.regr_slope("m", "level").alias("slope"), F.min_by("m", "level").alias("a"), F.max_by("m", "level").alias("b")).join(ref, "estimator")
+    return g.select("estimator", r("slope", "slope"), r(F.col("b") / F.col("a") - 1, "increase"), r((F.col("ref") - F.col("b")) / (F.col("ref") - F.col("a")), "gap_kept"))
 
 
-@query("crossover", f"""WITH {LEVELS}, y AS (SELECT estimator, level, m - m0 AS y, lag(m - m0) OVER w AS py, lag(level) OVER w AS pl FROM lv JOIN base USING (estimator) WHERE level > 0 WINDOW w AS (PARTITION BY estimator ORDER BY level))
-SELECT estimator, round(min(pl + (level - pl) * (0 - py) / (y - py)) + 1e-9, 6) AS at FROM y WHERE py < 0 AND y >= 0 GROUP BY 1""", "runs")
+@query("crossover", f"""WITH m AS (SELECT estimator, level, avg(rmse) AS m FROM runs WHERE condition = 'C_sidechannel' GROUP BY 1, 2), ref AS (SELECT estimator, avg(rmse) AS ref FROM runs WHERE condition = 'A_perimeter_only' GROUP BY 1),
+y AS (SELECT estimator, level, m - ref AS y, lag(m - ref) OVER w AS py, lag(level) OVER w AS pl FROM m JOIN ref USING (estimator) WINDOW w AS (PARTITION BY estimator ORDER BY level)), o AS (SELECT estimator, arg_min(y, level) AS y0, min(level) AS l0, min(CASE WHEN py < 0 AND y >= 0 THEN pl + (level - pl) * (0 - py) / (y - py) END) AS hit, arg_max(y, level) AS last FROM y GROUP BY 1)
+SELECT estimator, round(CASE WHEN y0 >= 0 THEN l0 ELSE hit END + 1e-9, 6) AS at, {q('y0', 'first')}, {q('last', 'last')}, round(CASE WHEN y0 >= 0 THEN l0 ELSE hit END - 0.03 + 1e-9, 6) AS margin FROM o""", "runs")
 def _(s, d):
-    """The first level at which the loss turns from below zero to zero or more, on the line between neighbours."""
+    """The level at which a condition stops being better than the reference: the first from below zero to zero or more, on the
+    line between neighbours; the least level if it never was better; null if it stays so. Margin over a measured 0.03."""
+    m = runs(s, d).groupBy("estimator", "level").agg(F.avg(F.when(F.col("condition") == "C_sidechannel", F.col("rmse"))).alias("m")).filter("m IS NOT NULL")
+    ref = runs(s, d).filter("condition = 'A_perimeter_only'").groupBy("estimator").agg(F.avg("rmse").alias("ref"))
     w = Window.partitionBy("estimator").orderBy("level")
-    y = levels(s, d).filter("level > 0 AND m0 IS NOT NULL").select("estimator", "level", (F.col("m") - F.col("m0")).alias("y"))
-    y = y.withColumns({"py": F.lag("y").over(w), "pl": F.lag("level").over(w)}).filter("py < 0 AND y >= 0")
-    return y.groupBy("estimator").agg(r(F.min(F.col("pl") + (F.col("level") - F.col("pl")) * (0 - F.col("py")) / (F.col("y") - F.col("py"))), "at"))
+    y = m.join(ref, "estimator").select("estimator", "level", (F.col("m") - F.col("ref")).alias("y"))
+    y = y.withColumns({"py": F.lag("y").over(w), "pl": F.lag("level").over(w)})
+    cross = F.when((F.col("py") < 0) & (F.col("y") >= 0), F.col("pl") + (F.col("level") - F.col("pl")) * (0 - F.col("py")) / (F.col("y") - F.col("py")))
+    o = y.groupBy("estimator").agg(F.min_by("y", "level").alias("y0"), F.min("level").alias("l0"), F.min(cross).alias("x"), F.max_by("y", "level").alias("z"))
+    at = F.when(F.col("y0") >= 0, F.col("l0")).otherwise(F.col("x"))
+    return o.select("estimator", r(at, "at"), r("y0", "first"), r("z", "last"), r(at - 0.03, "margin"))
 
 
-@query("seed_stability", f"WITH s AS (SELECT trajectory_id, estimator, seed, avg(rmse) AS m FROM runs GROUP BY 1, 2, 3) SELECT trajectory_id, estimator, count(*) AS n_seeds, {q('stddev_samp(m)', 'std')}, {q('max(m) - min(m)', 'spread')} FROM s GROUP BY 1, 2", "runs")
+@query("seed_stability", f"WITH s AS (SELECT trajectory_id, estimator, seed, avg(rmse) AS m FROM runs GROUP BY 1, 2, 3), a AS (SELECT estimator, seed, avg(m) AS m FROM s GROUP BY 1, 2), w AS (SELECT trajectory_id, estimator, stddev_samp(m) AS sd FROM s GROUP BY 1, 2), x AS (SELECT estimator, avg(sd) AS within FROM w GROUP BY 1) SELECT a.estimator, count(*) AS n_seeds, {q('max(m) - min(m)', 'spread')}, {q('min(x.within)', 'within')} FROM a JOIN x USING (estimator) GROUP BY 1", "runs")
 def _(s, d):
+    """Spread of the seeds' means, and the mean deviation within a trajectory over seeds."""
     m = runs(s, d).groupBy("trajectory_id", "estimator", "seed").agg(F.avg("rmse").alias("m"))
-    return m.groupBy("trajectory_id", "estimator").agg(F.count("*").alias("n_seeds"), r(F.stddev_samp("m"), "std"), r(F.max("m") - F.min("m"), "spread"))
+    seeds = m.groupBy("estimator", "seed").agg(F.avg("m").alias("m")).groupBy("estimator").agg(F.count("*").alias("n_seeds"), r(F.max("m") - F.min("m"), "spread"))
+    within = m.groupBy("trajectory_id", "estimator").agg(F.stddev_samp("m").alias("sd")).groupBy("estimator").agg(r(F.avg("sd"), "within"))
+    return seeds.join(within, "estimator")
 
 
 @query("stable_seed", "SELECT DISTINCT trajectory_id, seed, ('0x' || substr(sha1(trajectory_id::VARCHAR || '|' || seed::VARCHAR), 1, 8))::BIGINT % 2147483648 AS stable FROM runs", "runs")
@@ -159,12 +183,15 @@ def _(s, d):
     return runs(s, d).select("trajectory_id", "seed").distinct().withColumn("stable", S.stable_seed(F.col("trajectory_id").cast("string"), F.col("seed").cast("string")))
 
 
-@query("job_grid", "SELECT e.estimator, t.trajectory_id, c.condition FROM (SELECT DISTINCT estimator FROM runs) e, (SELECT DISTINCT trajectory_id FROM runs) t, (SELECT DISTINCT condition FROM runs) c", "runs")
+@query("job_grid", "SELECT e.estimator, t.trajectory_id, c.condition, coalesce(s.seed, 0) AS seed FROM (SELECT DISTINCT estimator FROM runs) e, (SELECT DISTINCT trajectory_id FROM runs) t, (SELECT DISTINCT condition FROM runs) c LEFT JOIN (SELECT DISTINCT seed FROM runs) s ON c.condition = 'C_sidechannel'", "runs")
 def _(s, d):
-    """Each trajectory carries the grid of estimators and conditions, which is a fixed list."""
+    """Each trajectory with every estimator and condition there is, the noisy condition with every seed, others once: one row
+    of short lists joins the trajectories."""
     t = runs(s, d).select("trajectory_id").distinct()
-    grid = lambda *v: F.explode(F.array(*[F.lit(x) for x in v]))
-    return t.withColumn("estimator", grid("dead_reckoning", "kalman", "road_pf")).withColumn("condition", grid("A_perimeter_only", "C_sidechannel"))
+    lists = runs(s, d).agg(F.collect_set("estimator").alias("e"), F.collect_set("condition").alias("c"), F.collect_set("seed").alias("s"))
+    g = t.join(F.broadcast(lists)).select("trajectory_id", "c", "s", F.explode("e").alias("estimator")).select("trajectory_id", "s", "estimator", F.explode("c").alias("condition"))
+    seed = F.explode(F.when(F.col("condition") == "C_sidechannel", F.col("s")).otherwise(F.array(F.lit(0).cast("bigint"))))
+    return g.select("estimator", "trajectory_id", "condition", seed.alias("seed"))
 
 
 @query("consistency_check", "SELECT trajectory_id, count(DISTINCT estimator) AS n_est, count(DISTINCT condition) AS n_cond, count(DISTINCT seed) AS n_seed, count(*) AS n FROM runs GROUP BY 1", "runs")
@@ -173,10 +200,12 @@ def _(s, d):
     return g.agg(*[F.count_distinct(c).alias(n) for c, n in (("estimator", "n_est"), ("condition", "n_cond"), ("seed", "n_seed"))], F.count("*").alias("n"))
 
 
-@query("rank_exemplars", f"WITH {CELLS}, k AS (SELECT *, row_number() OVER (PARTITION BY estimator, condition ORDER BY rmse DESC, trajectory_id) AS rk FROM cells) SELECT estimator, condition, rk, trajectory_id FROM k WHERE rk <= 3", "runs")
+@query("rank_exemplars", f"WITH {CELLS}, k AS (SELECT *, row_number() OVER (PARTITION BY estimator, condition ORDER BY gap, trajectory_id) - 1 AS i, count(*) OVER (PARTITION BY estimator, condition) AS n FROM cells) SELECT estimator, condition, i AS rk, trajectory_id FROM k WHERE i IN (n // 6, n // 2, n - 1 - n // 6)", "runs")
 def _(s, d):
-    w = Window.partitionBy("estimator", "condition").orderBy(F.desc("rmse"), "trajectory_id")
-    return cells(s, d).withColumn("rk", F.row_number().over(w).cast("bigint")).filter("rk <= 3").select("estimator", "condition", "rk", "trajectory_id")
+    """Trajectories a sixth from either end and in the middle, by blind gap."""
+    g = Window.partitionBy("estimator", "condition")
+    k = cells(s, d).withColumns({"rk": F.row_number().over(g.orderBy("gap", "trajectory_id")).cast("bigint") - 1, "n": F.count("*").over(g)})
+    return k.filter("rk IN (n div 6, n div 2, n - 1 - n div 6)").select("estimator", "condition", "rk", "trajectory_id")
 
 
 @query("union_conditions", "SELECT condition AS kind, count(*) AS n FROM (SELECT condition FROM runs UNION ALL SELECT estimator FROM runs) GROUP BY 1", "runs")
@@ -196,9 +225,15 @@ def _(s, d):
     return runs(s, d).groupBy("trajectory_id").agg(F.coalesce(new, F.count("*")).alias("v"))
 
 
-@query("select_sweep", "SELECT l_orderkey, seed, level FROM runs WHERE level IN (0.0, 0.05, 0.1) AND condition = 'C_sidechannel'", "runs")
+@query("select_sweep", "SELECT l_orderkey, seed, level FROM runs WHERE abs(level - 0.0) <= 1e-12 OR abs(level - 0.05) <= 1e-12 OR abs(level - 0.1) <= 1e-12 UNION ALL SELECT l_orderkey, seed, NULL FROM runs WHERE condition = 'A_perimeter_only'", "runs")
 def _(s, d):
-    return runs(s, d).filter(F.col("level").isin(0.0, 0.05, 0.1) & (F.col("condition") == "C_sidechannel")).select("l_orderkey", "seed", "level")
+    """Levels of the sweep within a tolerance, and the reference rows, whose level is null."""
+    x = runs(s, d)
+    near = F.lit(False)
+    for v in (0.0, 0.05, 0.1):
+        near = near | (F.abs(F.col("level") - v) <= 1e-12)
+    ref = x.filter("condition = 'A_perimeter_only'").select("l_orderkey", "seed", F.lit(None).cast("double").alias("level"))
+    return x.filter(near).select("l_orderkey", "seed", "level").unionByName(ref)
 
 
 @query("mv_summary", f"SELECT seed, condition, {q('avg(rmse)', 'mean')}, {q('sqrt(avg(rmse * rmse))', 'rms')} FROM runs GROUP BY 1, 2", "runs")
@@ -206,7 +241,8 @@ def _(s, d):
     return runs(s, d).groupBy("seed", "condition").agg(r(F.avg("rmse"), "mean"), r(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))), "rms"))
 
 
-BOOT = 40
+#: Resamples; the default of the experiments is 10,000, each a copy of the cells, and their number is a parameter of the plan.
+BOOT = 200
 
 
 @query("bootstrap_ci", f"""WITH {CELLS}, k AS (SELECT *, row_number() OVER g - 1 AS i, count(*) OVER (PARTITION BY estimator, condition) AS n FROM cells WINDOW g AS (PARTITION BY estimator, condition ORDER BY trajectory_id)),

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..operators import matching as M
 from ..operators import sequences as Q
+from ..sources import camera_id, select_cameras
 from .base import packets, query
 from .experiments import q, r
 from .sequences import islands
@@ -131,10 +132,12 @@ def _(s, d):
 
 
 
-@query("camera_filter", "SELECT DISTINCT concat('2026_01_01_00_00_00_', seq_id, '_camera_', seq_id % 11, '_x') AS stem FROM packets WHERE seq_id % 11 IN (2, 5)", "packets")
+@query("camera_filter", "SELECT DISTINCT concat('2026_01_01_00_00_00_', seq_id, '_camera_', seq_id % 11, '_x') AS stem FROM packets WHERE seq_id % 11 IN (2, 5, 7) AND seq_id % 11 NOT IN (5, 9)", "packets")
 def _(s, d):
+    """Cameras of the include list, then without those of the exclude list."""
     stem = F.concat(F.lit("2026_01_01_00_00_00_"), F.col("seq_id"), F.lit("_camera_"), F.col("seq_id") % 11, F.lit("_x"))
-    return packets(s, d).select(stem.alias("stem")).distinct().filter(F.regexp_extract("stem", r"_camera_(\d+)", 1).isin("2", "5"))
+    x = packets(s, d).select(stem.alias("stem")).distinct().withColumn("camera_id", camera_id(F.col("stem")))
+    return select_cameras(x, ["2", "5", "7"], ["5", "9"]).select("stem")
 
 
 @query("parse_sequence_key", "SELECT DISTINCT '2026_01_01_00_00_00_' || seq_id AS run, CAST(seq_id % 11 AS BIGINT) AS camera FROM packets", "packets")
