@@ -5,7 +5,7 @@ Texts become ``WIDTH`` surface statistics (numpy over UTF-8 bytes). A small tanh
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with logistic losses. The prior comes from the data too: a first
 network separates positives from unlabelled texts, and the least ratio of their upper tails bounds the share of
 positives among the unlabelled. The fit sees a bounded hash sample (``SAMPLE`` positives and as many unlabelled texts,
-parameters); scoring sees every whole text, row by row, without a shuffle.
+parameters, drawn by row); scoring sees every whole text, row by row, without a shuffle.
 
 Cases: null and empty texts score as the zero vector does; repeated rows score alike; without any positive label
 everything scores 0.5; an empty table gives no rows; label rows with null or repeated ids count once or not at all;
@@ -142,12 +142,14 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled: least ratio of upper tails of a held-out contrast score."""
     contrast = fit(positive[::2], unlabelled[::2], None, seed=11)
     p, u = np.sort(contrast.logit(positive[1::2])), np.sort(contrast.logit(unlabelled[1::2]))
-    best = 1.0
-    for t in p[: max(1, int(len(p) * 0.8))]:  # tails of a fifth of the positives at least
-        tail_p, tail_u = 1 - np.searchsorted(p, t) / len(p), 1 - np.searchsorted(u, t) / len(u)
-        best = min(best, tail_u / max(tail_p, 1e-9))
-    # an estimate above the truth turns whole groups of bad texts into positives; one below only lowers all scores a little
-    return float(np.clip(best, 0.05, 0.98))
+    t = p[: max(1, int(len(p) * 0.8))]  # tails of a fifth of the positives at least
+    tail_p, tail_u = np.maximum(1 - np.searchsorted(p, t) / len(p), 1e-9), np.maximum(1 - np.searchsorted(u, t) / len(u), 1e-9)
+    at = int(np.argmin(tail_u / tail_p))
+    ratio = tail_u[at] / tail_p[at]
+    error = ratio * np.sqrt((1 - tail_u[at]) / (len(u) * tail_u[at]) + (1 - tail_p[at]) / (len(p) * tail_p[at]))
+    # an estimate above the truth turns whole groups of bad texts into positives; one below only lowers all scores a
+    # little: two standard errors below the ratio
+    return float(np.clip(ratio - 2 * error, 0.05, 0.98))
 
 
 def _feature_rows(batches):
@@ -168,10 +170,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("text")).filter(fold(F.col("i"), 5) != 0)
     # about `sample` ids by the line above, however large the corpus
     marked = rows.join(F.broadcast(some), F.col("i") == F.col("l"), "left")
-    drawn = grade(F.coalesce("i", F.lit(0)), 2) < sample / counts.m
+    # by row, not by id: however many rows share one
+    drawn = grade(F.xxhash64("i", "text"), 2) < sample / counts.m
     both = marked.select(F.array(F.col("l").isNotNull(), drawn).alias("kind"), "text").filter("kind[0] or kind[1]")
     split = both.select(F.explode(F.when(F.col("kind")[0] & F.col("kind")[1], F.array(F.lit(1), F.lit(0))).when(F.col("kind")[0], F.array(F.lit(1))).otherwise(F.array(F.lit(0)))).alias("labelled"), "text")
-    got = split.mapInArrow(_feature_rows, "labelled int, x array<float>").toPandas()
+    # the shares above give about `sample` rows of each kind; the limit holds where one row or label repeats without end
+    got = split.limit(6 * sample).mapInArrow(_feature_rows, "labelled int, x array<float>").toPandas()
     if not len(got):
         return None
     x, is_p = np.stack(got["x"].to_numpy()).astype(np.float64), got["labelled"].to_numpy() == 1
