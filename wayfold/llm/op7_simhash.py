@@ -258,7 +258,7 @@ def _copy_rows(batches):
                 keys[some] = band_keys(made, first, COPY_BANDS, COPY_ROWS)
             none = border[1:] == border[:-1]
             columns = [pa.array(x.view(np.int64), mask=none) for x in (prints, *np.ascontiguousarray(keys.T))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h), *columns], names=["doc_id", "h", "fp", *_COPY_BANDS])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(h), *columns], names=["doc_id", "text_hash", "h", "fp", *_COPY_BANDS])
 
 
 def _copy_bodies(hits: np.ndarray):
@@ -274,10 +274,11 @@ def _copy_bodies(hits: np.ndarray):
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): a row for each input row; texts equal in words, or near by exact Jaccard similarity of their
+    """(doc_id, text_hash, component_id): a row for each input row, with xxhash64 of its text; texts equal in words, or near by exact Jaccard similarity of their
     5-word shingles, share a component, named by its smallest id. Texts under five words have equal copies only."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = cut(rows.mapInArrow(_copy_rows, "doc_id bigint, h bigint, fp bigint, " + ", ".join(f"{b} bigint" for b in _COPY_BANDS)))
+    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    made = cut(hashed.mapInArrow(_copy_rows, "doc_id bigint, text_hash bigint, h bigint, fp bigint, " + ", ".join(f"{b} bigint" for b in _COPY_BANDS)))
     known = cut(made.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("fp", *_COPY_BANDS)]))
     some = known.filter("fp is not null")
     # the most frequent text of a fingerprint stands for it
@@ -292,7 +293,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = known.join(roots, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(placed.join(least, "root").select(F.col("h").alias("g"), "component_id"))
-    return made.join(named, F.col("h") == F.col("g")).select("doc_id", "component_id")
+    return made.join(named, F.col("h") == F.col("g")).select("doc_id", "text_hash", "component_id")
 
 
 def op7_simhash_components(docs: DataFrame) -> DataFrame:
