@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of ``documents``,
 the last one excepted, which adds what the mixture decided. ``run`` writes each stage's result as Parquet to the shared
 checkpoint folder and reads it again, so a lost executor repeats one stage at most.
+
+Cases, for every stage: a null text counts as empty; rows with a null id stay in stages that name documents by id; rows
+equal in id and text go or stay together; an empty table gives an empty one; further columns of ``docs`` pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,26 +25,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not use."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the positive-unlabelled classifier scores below its threshold."""
     network = op10_quality.train(docs, _table(spark, sf_dir, "labels"))
-    kept = op10_quality.with_score(docs, network, score_col="_score").filter(F.col("_score") >= op10_quality.THRESHOLD)
-    return kept.select(*docs.columns)
+    score = _free(docs, "_score")
+    return op10_quality.with_score(docs, network, score_col=score).filter(F.col(score) >= op10_quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of 0.8 over 5-word shingles the smallest id stays; rows without an id stay."""
+    """Of texts linked by a Jaccard similarity of 0.8 over 5-word shingles the smallest id stays; rows without an id stay.
+    A row is named by its id and text, so another text under the same id is judged on its own."""
     groups = op7_simhash.near_copies(docs)
-    extra = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    extra = checked(extra)
-    return docs.join(extra, docs["doc_id"] == extra["_gone"], "left_anti")
+    extra = checked(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct())
+    return docs.join(extra, (docs["doc_id"] == extra["gone"]) & (F.xxhash64(docs["text"]) == extra["gone_text"]), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, its values changed or not."""
-    found = op2_decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
+    found = op2_decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone")).distinct()
     found = checked(found)
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    return docs.join(found, docs["doc_id"] == found["gone"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
