@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -93,9 +94,12 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which shuffles of finished steps nobody refers to any more, so their disk is freed."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner see which shuffles of finished steps nobody refers to any more, so their disk is freed. What
+    Python lets go reaches the JVM a little later, hence more than one turn."""
+    for _ in range(3):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def few(df: DataFrame, rows: int, per: int = 50_000) -> DataFrame:
