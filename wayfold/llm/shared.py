@@ -113,6 +113,14 @@ def checked(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= bound else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as a column of the table bears it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo: the split that contracts name. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
