@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op10_quality import op10_quality_scores
+from .op11_rules import op11_quality_rules
 from .op12_fill_middle import ORACLE as FILL_SQL
 from .op12_fill_middle import op12_fill_in_middle
 from .op13_collocations import ORACLE as PHRASES_SQL
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffixes": lambda s, d: op8_suffix_dedup(docs(s, d)),
         "op9_licenses": lambda s, d: op9_license_scan(docs(s, d)),
         "op10_quality": lambda s, d: op10_quality_scores(docs(s, d), table(s, d, "labels")),
+        "op11_rules": lambda s, d: op11_quality_rules(docs(s, d), table(s, d, "labels")),
         "op12_fill_middle": lambda s, d: op12_fill_in_middle(docs(s, d)),
         "op13_collocations": lambda s, d: op13_phrase_collocations(docs(s, d)),
     }
