@@ -106,3 +106,14 @@ def test_a_text_beyond_a_block(spark):
     df = spark.createDataFrame([(1, big), (2, "x" * 50 + big[700_000:701_000] + "y" * 60), (3, big[:500])], "doc_id bigint, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op.op8_suffix_dedup(df).collect()}
     assert got == {1: (1_300_000, 0, 0), 2: (1110, 1000, 1), 3: (500, 500, 1)}
+
+
+def test_short_texts_under_a_long_ones_id(spark):
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(200))
+    rows = [(1, passage), (5, passage + "zz"), (5, "short text"), (5, ""), (5, None), (None, passage[:150]), (None, "brief"), (None, passage + "y" * 120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in op.op8_suffix_dedup(df).collect()}
+    assert len(got) == len(rows) - 1  # the empty and the null text give equal rows
+    assert all(got[k] == (0, 0) for k in ((5, 10), (5, 0), (None, 5)))
+    assert got[5, 202] == (200, 1) and got[1, 200] == (200, 1)

@@ -268,7 +268,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # different texts under one id are told apart by their digest
     shared = checked(digests.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("s")), 100_000)
     number = lambda d: F.conv(F.substring(d, 1, 15), 16, 10).cast("bigint") + 1
-    own = F.when(F.col("s").isNotNull() & (F.octet_length("text") >= LENGTH), number(digest)).otherwise(0)
+    # texts too short for a window hold no repeat, and must not meet the ranges of another text under their id
+    own = F.when(F.octet_length("text") < LENGTH, -1).when(F.col("s").isNotNull(), number(digest)).otherwise(0)
     rows = plain.join(shared, F.col("id") == F.col("s"), "left").select("id", own.alias("u"), "text")
     # exact copies: of each digest the least id stays in play
     least = digests.groupBy("d").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).filter("i0 <> i1").select(F.col("d").alias("e"), "i0")
