@@ -173,3 +173,75 @@ def test_hit_table_finds_all(spark):
     ids = np.append(rng.integers(-(1 << 62), 1 << 62, 3000), [0, -1, 1, (1 << 24) - 1, 1 << 24])
     hits = hit_table(spark.createDataFrame([(int(x),) for x in ids], "i bigint"))
     assert wanted(hits, ids).all() and wanted(hits, rng.integers(-(1 << 62), 1 << 62, 100_000)).mean() < 0.001
+
+
+def shingle_set(text):
+    w = text.split()
+    return frozenset(zip(*[w[k:] for k in range(5)]))
+
+
+def test_recall_by_number_of_shingles(spark):
+    """Pairs at a similarity of 0.8 and more, whatever the number of shingles: all below 8, 0.95 from there on."""
+    from wayfold.llm.op3_paragraphs import near_pairs
+
+    rng = random.Random(23)
+    rows, pairs = [], {}
+    for n in range(4, 15):
+        for _ in range(60):
+            more = 1 if n < 8 else rng.choice([1, n // 4])
+            w = words(rng, n + 4 + more).split()
+            front = rng.randint(0, more)
+            a, b = " ".join(w[front : front + n + 4]), " ".join(w)
+            pairs.setdefault(n, []).append((len(rows), len(rows) + 1))
+            rows += [a, b]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    met = near_pairs(df)
+    found = met.count()
+    assert found <= sum(map(len, pairs.values()))
+    linked = linked_texts(spark, rows, met)
+    for n, some in pairs.items():
+        near = [p for p in some if len(shingle_set(rows[p[0]]) & shingle_set(rows[p[1]])) >= 0.8 * len(shingle_set(rows[p[0]]) | shingle_set(rows[p[1]]))]
+        recall = sum(p in linked for p in near) / len(near)
+        assert len(near) > 20 and recall >= (1 if n < 8 else 0.95), (n, recall)
+
+
+def linked_texts(spark, rows, met):
+    """Pairs of row numbers that an edge joins."""
+    import numpy as np
+    from wayfold.llm.op3_paragraphs import paragraphs
+
+    known = {}
+    for i, t in enumerate(rows):
+        raw = t.encode()
+        for h in paragraphs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), False)[4].view(np.int64).tolist():
+            known.setdefault(h, []).append(i)
+    return {tuple(sorted((x, y))) for r in met.collect() for x in known[r.a] for y in known[r.b]}
+
+
+def test_repeated_shingles_meet(spark):
+    from wayfold.llm.op3_paragraphs import near_pairs
+
+    rng = random.Random(31)
+    rows, want = [], []
+
+    def pair(a, b):
+        want.append((len(rows), len(rows) + 1))
+        rows.extend([a, b])
+
+    for _ in range(30):
+        five = words(rng, 5)
+        pair(" ".join([five] * 2), " ".join([five] * 3))
+        five = words(rng, 5)
+        pair(" ".join([five] * 4), " ".join([five] * 40))
+        one = words(rng, 1)
+        pair(" ".join([one] * 6), " ".join([one] * 9))
+        three = words(rng, 3)
+        pair(" ".join([three] * 3), " ".join([three] * 4))
+        seven = words(rng, 7)  # seven shingles, and the same with an eighth at the end
+        pair(" ".join([seven] * 3), words(rng, 1) + " " + " ".join([seven] * 2))
+    for a, b in want:
+        x, y = shingle_set(rows[a]), shingle_set(rows[b])
+        assert len(x & y) >= 0.8 * len(x | y)
+    assert set(want) <= linked_texts(spark, rows, near_pairs(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")))
+    twice = spark.createDataFrame([(1, "alpha beta gamma delta omega " * 5), (2, "alpha beta gamma delta omega " * 7)], "doc_id bigint, text string")
+    assert [r.doc_id for r in op3_repeated_paragraphs(twice).collect()] == [2]

@@ -2,10 +2,12 @@
 
 Paragraphs of two sizes are taken from each text: lines, and the sentences within them, of five words and more. Equal
 paragraphs share a content hash and are one row from then on, with the number of places they stand for. Each sends
-``BANDS`` bands of ``ROWS`` minima over its 5-word shingles (recall 0.985 at a similarity of 0.8, 0.9995 at 0.9); those of
-4 to 8 shingles, whose near partners are equal or a word shorter or longer at an end, send the hashes of the whole and of
-the whole without its first and its last word instead (with five bands besides at 8). Fewer shingles reach 0.8 only
-when equal. ``near_sets`` verifies exact Jaccard among the paragraphs of a band, whatever component they lie in.
+``BANDS`` bands of ``ROWS`` minima over its 5-word shingles (recall 0.985 at a similarity of 0.8, 0.9995 at 0.9) if it has 8
+distinct ones or more. At 8 and fewer a near partner holds the same set, or one shingle more or less: the hash of the
+set goes out, and that of the set without its first and without its last shingle. Where a run of four words comes twice,
+shingles repeat or can be read in another order; such a paragraph sends the set without each of its shingles instead, and
+below 4 distinct ones (where only equal sets are near) the set alone.
+``near_sets`` verifies exact Jaccard among the paragraphs of a band, whatever component they lie in.
 
 Verified pairs join into components; a place is removable if the first line or the first sentence of its component
 stands before it (document id, then position) and does not overlap it. Removable places that touch form a run; runs of
@@ -31,7 +33,9 @@ from .near_sets import SIMILARITY, WORDS, band_keys, near_edges, wanted
 from .shared import LOWER, SPACE, Scratch, blocks, checked, code_points, mix, owner, prefix_hash, runs, shingles, span_hash, word_runs_hash
 
 BANDS, ROWS, RUN = 8, 4, 20
-TRIMMED, BANDED = 4, 8  # shingles from which on a paragraph sends trimmed hashes, and bands
+TRIMMED, BANDED = 4, 8  # distinct shingles from which on a paragraph sends sets less one shingle, and bands
+TAKEN = 1 + BANDED  # hashes of sets: of all shingles, and of all but one
+_SET = np.uint64(0x7A11)
 _END = np.zeros(256, bool)
 _END[list(b".!?")] = True
 PLACES = "doc_id bigint, line boolean, w0 int, w1 int, c0 int, c1 int, h bigint"
@@ -39,7 +43,7 @@ PLACES = "doc_id bigint, line boolean, w0 int, w1 int, c0 int, c1 int, h bigint"
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray, with_bands: bool = True):
     """(text, is a line, first word, end word, hash, bands, has band, byte start, byte end, first word of its text, own line) of
-    all paragraphs of a block; bands and the mask of those sent have ``BANDS`` columns. ``own`` is the row of the line that
+    all paragraphs of a block; keys and the mask of those sent have ``BANDS + TAKEN`` columns. ``own`` is the row of the line that
     a sentence is near to as its greatest part, else -1."""
     low = LOWER[data]
     starts, ends = runs(~SPACE[data], offsets)
@@ -64,26 +68,39 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, with_bands: bool = True):
     order = np.argsort(b, kind="stable")
     b, e, is_line = b[order], e[order], is_line[order]
     h = word_runs_hash(words, b, e)
-    bands, sent, own = np.zeros((len(b), BANDS), np.uint64), np.zeros((len(b), BANDS), bool), np.full(len(b), -1)
+    bands, sent, own = np.zeros((len(b), BANDS + TAKEN), np.uint64), np.zeros((len(b), BANDS + TAKEN), bool), np.full(len(b), -1)
     if with_bands:
         width = e - b - WORDS + 1
         # windows of all positions; those that leave a paragraph fall between its end and the next start
         grams = np.zeros(n, np.uint64)
         made, at = shingles(words, whose, WORDS)
         grams[at] = made
-        wide = width >= BANDED
+        distinct, loops = width.copy(), np.zeros(len(b), bool)
+        suspect = np.flatnonzero(_repeating(words, whose, np.cumsum(new_line))[b])
+        if len(suspect):
+            distinct[suspect] = _distinct(grams, b[suspect], width[suspect])
+            loops[suspect] = True
+        wide = distinct >= BANDED
         if wide.any():
             bb, ww = b[wide], width[wide]
             first = np.cumsum(ww) - ww
             values = grams[np.repeat(bb - first, ww) + np.arange(int(ww.sum()))]
-            bands[wide] = band_keys(values, first, BANDS, ROWS)
-            sent[wide] = True
-        short = (width >= TRIMMED) & (width <= BANDED)
-        if short.any():
-            x, y = b[short], e[short]
-            for k, (p, q) in enumerate(((x, y), (x + 1, y), (x, y - 1))):
-                bands[short, k] = mix(word_runs_hash(words, p, q) ^ np.uint64(0x7A11))
-                sent[short, k] = True
+            bands[wide, :BANDS] = band_keys(values, first, BANDS, ROWS)
+            sent[wide, :BANDS] = True
+        few = np.flatnonzero((distinct <= BANDED) & (distinct >= TRIMMED) & ~loops)
+        mixed = mix(grams)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed, out=total[1:])
+        whole = total[b[few] + width[few]] - total[b[few]]
+        for k, less in enumerate((np.uint64(0), mixed[b[few]], mixed[b[few] + width[few] - 1])):
+            bands[few, BANDS + k] = mix((whole - less) ^ _SET)
+            sent[few, BANDS + k] = True
+        for r in np.flatnonzero(loops & (distinct <= BANDED)).tolist():
+            each = mix(np.unique(grams[b[r] : b[r] + width[r]]))
+            keys = mix((each.sum() - np.append(np.uint64(0), each)) ^ _SET)
+            keys = keys[: None if len(each) >= TRIMMED else 1]
+            bands[r, BANDS : BANDS + len(keys)] = keys
+            sent[r, BANDS : BANDS + len(keys)] = True
         rows = np.flatnonzero(is_line)
         line = rows[np.maximum(np.searchsorted(b[rows], b, side="right") - 1, 0)] if len(rows) else np.zeros(len(b), np.int64)
         part = np.flatnonzero(~is_line & (b >= b[line]) & (e <= e[line]) & is_line[line] & (width >= SIMILARITY * width[line]) & (width >= TRIMMED))
@@ -94,6 +111,17 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, with_bands: bool = True):
     return whose[b], is_line, b, e, h, bands, sent, starts[b], ends[e - 1], np.searchsorted(whose, whose[b]), own
 
 
+def _repeating(words: np.ndarray, whose: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Mask of the words whose line holds a run of WORDS - 1 words twice. Without one, a paragraph's shingles are distinct
+    and in one order only: another text with the same set is the same text."""
+    made, at = shingles(words, whose, WORDS - 1)
+    at, made = at[line[at] == line[at + WORDS - 2]], made[line[at] == line[at + WORDS - 2]]
+    key = np.sort(line[at].astype(np.uint64) << np.uint64(40) | made >> np.uint64(24))
+    hit = np.zeros(int(line[-1]) + 1, bool)
+    hit[(key[1:][key[1:] == key[:-1]] >> np.uint64(40)).astype(np.int64)] = True
+    return hit[line]
+
+
 def _distinct(grams: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Distinct shingles of each paragraph."""
     row = np.repeat(np.arange(len(begin)), width)
@@ -117,7 +145,7 @@ def _place_rows(batches):
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in PLACES.split(", ")])
 
 
-_BAND_NAMES = [f"b{k}" for k in range(BANDS)]
+_BAND_NAMES = [f"b{k}" for k in range(BANDS + TAKEN)]
 
 
 def _band_rows(batches):
@@ -129,10 +157,10 @@ def _band_rows(batches):
             if got is None:
                 continue
             _, _, _, _, h, bands, sent, *_, line = got
-            at = np.flatnonzero(sent[:, 0])
+            at = np.flatnonzero(sent.any(axis=1))
             each, first, n = np.unique(h[at], return_index=True, return_counts=True)
             at = at[first]
-            columns = [pa.array(bands[at, k].view(np.int64), mask=~sent[at, k]) for k in range(BANDS)]
+            columns = [pa.array(bands[at, k].view(np.int64), mask=~sent[at, k]) for k in range(BANDS + TAKEN)]
             own = pa.array(h[line[at]].view(np.int64), mask=line[at] < 0)
             yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n), own, *columns], names=["h", "n", "own", *_BAND_NAMES])
 
@@ -147,7 +175,7 @@ def _body_rows(hits: np.ndarray):
                 if got is None:
                     continue
                 _, _, b, e, h, _, _, s, t, *_ = got
-                h, keep = h.view(np.int64), e - b >= WORDS + TRIMMED - 1
+                h, keep = h.view(np.int64), e - b > WORDS  # of two with equal sets one at least is longer than a shingle
                 at = np.flatnonzero(keep & wanted(hits, h))
                 at = at[np.unique(h[at], return_index=True)[1]]
                 raw = LOWER[data]
