@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from wayfold.llm import op6_mixture
 from wayfold.llm.op6_mixture import op6_mix_sources
 
 
@@ -43,3 +44,19 @@ def test_targets_and_taken_words(spark):
 
 def test_empty_table(spark):
     assert op6_mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_names_that_clash(spark):
+    rows = [(i, "word " * (i % 9), "abc"[i % 3], 1, 2, 3.0, "p") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _mix_key int, size int, _mix_ double, plan string")
+    got = op6_mixture.mix_sources(df)
+    assert got.columns == [*df.columns, "_mix__"] and got.count() == 60
+    plain = {r.doc_id: r for r in op6_mixture.op6_mix_sources(df).collect()}
+    assert all((r["_mix__"].size, r["_mix__"].taken) == (plain[r.doc_id].size, plain[r.doc_id].taken) for r in got.collect())
+
+
+def test_repeated_rows_and_long_texts(spark):
+    rows = [(1, "same text here", "a")] * 40 + [(2, "w " * 300_000, "a"), (None, None, None)]
+    got = op6_mixture.op6_mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(got) == 42 and len({r.taken for r in got if r.doc_id == 1}) == 1
+    assert [r.size for r in got if r.doc_id == 2] == [300_000] and all(r.taken <= 2 * r.size for r in got)

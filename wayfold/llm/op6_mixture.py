@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checked, cut
+from .shared import checked, cut, free_name
 
 LEVELS, BITS = 5, 12
 PREFIX = "_mix_"
@@ -64,7 +64,8 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Every input row with its columns and a struct ``_mix_``: size, source_size, target, copies, taken.
+    """Every input row with its columns and, last, a struct ``_mix_`` (or the next free name): size, source_size, target,
+    copies, taken.
 
     The plan of thresholds (a row a source, counted) is broadcast up to a million sources; beyond, a shuffled join whose
     hot source adaptive skew handling splits."""
@@ -73,14 +74,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = checked(thresholds(rows, cut(source_targets(sizes, weights, share, most))))
-    plan = plan.select(F.struct("*").alias(PREFIX + "plan"))
-    p = F.col(PREFIX + "plan")
-    out = docs.withColumn(PREFIX + "size", word_count(F.col(text_col))).withColumn(PREFIX + "key", key)
-    out = out.join(plan, F.col(source_col).eqNullSafe(p["source"]), "left")
-    copies = p["copies"] + (F.col(PREFIX + "key") < p["threshold"]).cast("int")
-    size = F.col(PREFIX + "size")
-    row = F.struct(size.alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), copies.alias("copies"), (size * copies).alias("taken"))
-    return out.select(*[docs[c] for c in docs.columns], row.alias(PREFIX))
+    plan = plan.select(F.struct("*").alias("plan"))
+    # rows travel as one struct, so no name of theirs meets one of ours
+    out = docs.select(F.struct("*").alias("row"), word_count(F.col(text_col)).alias("size"), key.alias("key"), F.col(source_col).alias("source"))
+    p = F.col("plan")
+    out = out.join(plan, F.col("source").eqNullSafe(p["source"]), "left")
+    copies = p["copies"] + (F.col("key") < p["threshold"]).cast("int")
+    row = F.struct("size", p["source_size"].alias("source_size"), p["target"].alias("target"), copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("row.*", row.alias(free_name(docs, PREFIX)))
 
 
 def op6_mix_sources(docs: DataFrame) -> DataFrame:
