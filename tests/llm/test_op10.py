@@ -75,3 +75,20 @@ def test_sample_is_bounded(spark, monkeypatch):
     docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(3000)], "doc_id bigint, text string")
     op.train(docs, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int"), sample=40)
     assert all(n <= 240 for n in seen)
+
+
+def test_scored_rows_may_bear_the_name(spark):
+    docs, labels = tables(spark, corpus(120))
+    assert "score" in docs.columns
+    got = op.with_score(docs, op.train(docs, labels))
+    assert got.columns == [*docs.columns, "score_"] and got.filter("score <> 0.5D").count() == 0
+    assert got.filter("score_ between 0 and 1").count() == 120
+
+
+def test_ties_and_repeated_rows(spark):
+    rows = corpus(150)
+    docs, labels = tables(spark, rows + rows + [(None, rows[0][1], 1)])
+    scores = {}
+    for r in op.op10_quality_scores(docs, labels).collect():
+        scores.setdefault(r.doc_id, set()).add(round(r.score, 9))
+    assert len(scores) == 151 and all(len(v) == 1 for v in scores.values())

@@ -48,7 +48,7 @@ def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
     rng = random.Random(1)
     rows = [(i, " ".join(words(rng, 40)).capitalize() + ".", "en", "a", 1) for i in range(40)]
     rows += [(None, None, None, None, None), (None, "", "en", "a", 0), (3, rows[3][1], "en", "a", 1), (3, "another text under one id " + rows[5][1], "en", "b", 1), (99, "w " * 100_000, "en", "a", 2)]
-    extra = [("_score", 1.0), ("gone", 2.0), ("size", 3.0)]
+    extra = [("_score", 1.0), ("gone", 2.0), ("size", 3.0), ("taken", 4.0), ("_name", 5.0), ("leak", 6.0), ("_mix_", 7.0)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     df = spark.createDataFrame(rows, schema)
     for c, v in extra:
@@ -56,10 +56,9 @@ def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, rows[7][1])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, fn in corpus_pipeline.STAGES:
-        if name == "mixture":
-            df = df.drop("size")
         got = fn(spark, df, str(tmp_path))
         assert got.columns[: len(df.columns)] == df.columns and (name == "mixture") == (len(got.columns) > len(df.columns))
+        got.write.parquet(str(tmp_path / f"out-{name}"))
         kept = got.collect()
         assert 0 < len(kept) <= len(rows), name
         if name == "decontaminate":
@@ -87,3 +86,12 @@ def test_run_chains_the_stages(spark, tmp_path):
     ids = {r.doc_id for r in got.collect()}
     assert not ids & {30, *range(100, 110)} and ids <= set(range(60)) | {200}
     assert all("example.org" not in (r.text or "") for r in got.collect())
+
+
+def test_leaks_go_by_id_and_text(spark, tmp_path):
+    rng = random.Random(5)
+    leaked, clean = " ".join(words(rng, 60)), " ".join(words(rng, 60))
+    spark.createDataFrame([(1, leaked)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame([(7, leaked), (7, clean), (None, leaked), (None, clean), (None, None), (8, clean), (9, leaked), (9, leaked)], "doc_id bigint, text string")
+    kept = stage("decontaminate")(spark, df, str(tmp_path)).collect()
+    assert sorted(((r.doc_id or 0), r.text == clean) for r in kept) == [(0, False), (0, True), (7, True), (8, True)]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LOWER, SPACE, blocks, fold, owner, prefix_hash, runs, span_hash
+from .shared import LOWER, SPACE, blocks, fold, free_name, owner, prefix_hash, runs, span_hash
 
 SAMPLE, HIDDEN, STEPS, THRESHOLD = 8000, 24, 900, 0.3
 
@@ -189,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def with_score(docs: DataFrame, network: Network | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` and a double ``score_col`` (0 to 1)."""
+    """All columns of ``docs`` and, last, a double ``score_col`` or the next free name (0 to 1)."""
+    score_col = free_name(docs, score_col)
 
     def rows(batches):
         for batch in batches:
