@@ -48,10 +48,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, its values changed or not."""
-    found = op2_decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone")).distinct()
+    """Drop documents that hold a benchmark item, its values changed or not. Rows are named by the hash of id and text."""
+    name = _free(docs, "_name")
+    named = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    found = op2_decontaminate.leaks(named, _table(spark, sf_dir, "benchmark"), id_col=name).select(F.col("doc_id").alias("leak")).distinct()
     found = checked(found)
-    return docs.join(found, docs["doc_id"] == found["gone"], "left_anti")
+    return named.join(found, named[name] == found["leak"], "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +62,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the mixture takes, with size, target and copies; those it leaves out go."""
-    m = F.col(op6_mixture.PREFIX)
-    mixed = op6_mixture.mix_sources(docs).filter(m["copies"] > 0)
-    return mixed.select(*docs.columns, *[m[c].alias(c) for c in ("size", "source_size", "target", "copies", "taken")])
+    """Documents the mixture takes, with size, target and copies (under free names); those it leaves out go."""
+    mixed = op6_mixture.mix_sources(docs)
+    m = mixed[mixed.columns[-1]]
+    return mixed.filter(m["copies"] > 0).select(*docs.columns, *[m[c].alias(_free(docs, c)) for c in ("size", "source_size", "target", "copies", "taken")])
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data), ("mixture", mixture)]
