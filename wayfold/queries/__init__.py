@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, experiments, geometry, graph, matching, sequences, tracking, visibility  # noqa: F401  registers their queries
+from . import evaluation, experiments, geometry, graph, labelling, matching, sequences, tracking, visibility  # noqa: F401  registers their queries
 from .base import ORACLE, SPARK
 
 
