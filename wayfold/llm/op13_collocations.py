@@ -1,7 +1,8 @@
 """Phrase collocation mining: n-grams as rows, hash aggregation per language, exact scores, whole phrases before their parts.
 
 Every occurrence of a run of 1 to ``max_n`` words inside a piece is a row; the grouped count combines on the map side, so
-a phrase that fills a third of the corpus costs the reducer one row a task. Phrases below ``least`` cannot be part of a
+a phrase that fills a third of the corpus costs the reducer one row a task. Words and pairs are counted first, then each further length, so
+that the shuffle of one goes before the next. Phrases below ``least`` cannot be part of a
 candidate (a part is at least as frequent as the whole), so only frequent ones are written. Candidates then meet the
 counts of their first and last parts by joins, which adaptive skew handling splits where one part is very common. Scores
 are Decimals of 38 digits, exact up to counts of 10^16 and products of 10^38. A phrase whose one-word extension keeps
@@ -20,25 +21,32 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, release
 
-#: Ends of pieces, and what parts words.
-PIECES, BETWEEN = "[.,;:!?\\x0A-\\x0D]", "[\\x20\\x09]+"
+#: Ends of pieces.
+PIECES = "[.,;:!?\\x0A-\\x0D]"
 CLASSES = 64
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_n: int = 3) -> DataFrame:
-    """(lang, phrase, f) of all runs of 1 to ``max_n`` words; the empty phrase carries the language's number of words."""
-    lowered = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    pieces = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(lowered, PIECES)).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split("piece", BETWEEN), "").alias("g1")).filter(F.size("g1") > 0)
-    names = [f"g{k + 1}" for k in range(max_n)]
-    moved = words.select("lang", F.size("g1").cast("bigint").alias("m"), "g1", *[F.slice("g1", k + 1, F.size("g1")).alias(names[k]) for k in range(1, max_n)])
+def phrase_counts(docs: DataFrame, text_col: str, lang_col: str, shortest: int, longest: int) -> DataFrame:
+    """(lang, phrase, f) of all runs of ``shortest`` to ``longest`` words; where single words are among them, the empty phrase
+    carries the language's number of words."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # tabs part words as spaces do, and become such on the way; for ASCII the plain lower() says the same, far faster
+    ascii_only = F.octet_length(text) == F.length(text)
+    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    pieces = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(F.replace(lowered, F.lit("\t"), F.lit(" ")), PIECES)).alias("piece"))
+    words = pieces.select(F.concat("lang", F.lit("\n")).alias("lead"), F.array_remove(F.split("piece", " "), "").alias("g1")).filter(F.size("g1") > 0)
+    names = [f"g{k + 1}" for k in range(longest)]
+    moved = words.select("lead", F.size("g1").cast("bigint").alias("m"), "g1", *[F.slice("g1", k + 1, F.size("g1")).alias(names[k]) for k in range(1, longest)])
     total = F.array(F.struct(F.lit("").alias("g1"), *[F.lit(None).cast("string").alias(x) for x in names[1:]]))
-    places = moved.select("lang", "m", F.explode(F.concat(F.arrays_zip(*names), total)).alias("g"))
-    begun = [F.when(F.col(f"g.{names[k]}").isNotNull(), F.concat_ws(" ", *[F.col(f"g.{x}") for x in names[: k + 1]])) for k in range(1, max_n)]
-    rows = places.select("lang", F.when(F.col("g.g1") == "", F.col("m")).otherwise(1).alias("c"), F.explode(F.array(F.col("g.g1"), *begun)).alias("phrase"))
-    return rows.filter("phrase is not null").groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+    places = moved.select("lead", "m", F.explode(F.concat(F.arrays_zip(*names), total)).alias("g"))
+    # one string as key, language first: words hold no line feed; runs past a piece's end are null
+    begun = [F.concat("lead", "g.g1", *[x for n in names[1:k] for x in (F.lit(" "), F.col(f"g.{n}"))]) for k in range(shortest, longest + 1)]
+    rows = places.select(F.when(F.col("g.g1") == "", F.col("m")).otherwise(1).alias("c"), (F.explode(F.array(*begun)) if len(begun) > 1 else begun[0]).alias("key"))
+    counts = rows.filter("key is not null").groupBy("key").agg(F.sum("c").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    return counts.select(F.expr("substring(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
 
 
 def _run(words: Column, start, length) -> Column:
@@ -77,8 +85,13 @@ def first_ranks(scored: DataFrame, top: int) -> DataFrame:
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_n: int = 3, least: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
     """Each language's first ``top`` phrases of 2 to ``max_n`` words: lang, rank, phrase, a, l, r, n, score."""
-    counts = phrase_counts(docs, text_col, lang_col, max_n)
-    frequent = cut(counts.filter((F.col("f") >= least) | (F.col("phrase") == "")))
+    frequent = None
+    for shortest, longest in ((1, min(2, max_n)), *((k, k) for k in range(3, max_n + 1))):
+        counts = phrase_counts(docs, text_col, lang_col, shortest, longest)
+        part = cut(counts.filter((F.col("f") >= least) | (F.col("phrase") == "")))
+        frequent = part if frequent is None else frequent.union(part)
+        del counts
+        release(docs.sparkSession)
     totals = frequent.filter("phrase = ''").select("lang", F.col("f").alias("n"))
     candidates = frequent.filter(F.instr("phrase", " ") > 0).select("lang", "phrase", F.col("f").alias("a"))
     ranked = first_ranks(cut_scores(frequent, whole_phrases(candidates, share)), top)
