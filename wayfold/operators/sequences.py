@@ -2,7 +2,8 @@
 
 Each takes a DataFrame, the keys of a sequence and its order, stays lazy and shuffles once by the keys; operators in a
 row over the same keys reuse that partitioning. Sequences are independent, so a long table of many sequences scales out;
-nothing here gathers rows of more than one sequence.
+nothing here gathers rows of more than one sequence. Rolling
+quantiles, recursions and medians do not gather one either (``ranks``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from . import ranks as R
+from .graph import durable
+
 Names = Sequence[str]
 
 
@@ -126,14 +130,16 @@ def keep_runs(df: DataFrame, keys: Names, order: Names, flag: str, least: int |
 
 
 def ewm(df: DataFrame, keys: Names, order: Names, value: str, alpha: float, out: str = "ewm") -> DataFrame:
-    """y0 = x0, y = alpha x + (1 - alpha) y before: a recursion, so one Arrow batch a sequence."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` double"
-    return per_sequence(df, keys, order, lambda x: x.assign(**{out: x[value].astype(float).ewm(alpha=alpha, adjust=False).mean()}), schema)
+    """y0 = x0, y = alpha x + (1 - alpha) y before, by linear maps of ranges (``ranks.smoothed``)."""
+    return R.smoothed(df, keys, order, value, alpha, out)
 
 
-def rolling_quantile(df: DataFrame, keys: Names, order: Names, value: str, window: int, q: float, out: str) -> DataFrame:
-    """Centred rolling quantile, shorter at the ends."""
-    return df.withColumn(out, F.percentile(value, q).over(around(keys, order, (window - 1) // 2, (window - 1) // 2)))
+def rolling_quantile(df: DataFrame, keys: Names, order: Names, value: str, window: int, q: float, out: str, dense: bool = False) -> DataFrame:
+    """Centred rolling quantile, shorter at the ends, in chunks of a sequence; ``dense`` says that the order counts rows
+    without gaps and need not be ranked."""
+    half = (window - 1) // 2
+    d, at = R.indexed(df, keys, order, dense)
+    return R.in_chunks(d, keys, at, [value], half, lambda v: R.centred_quantile(v, half, q), out).select(*df.columns, out)
 
 
 def rolling_mean(df: DataFrame, keys: Names, order: Names, value: str, window: int, out: str) -> DataFrame:
@@ -141,34 +147,39 @@ def rolling_mean(df: DataFrame, keys: Names, order: Names, value: str, window: i
 
 
 def robust_center(df: DataFrame, keys: Names, value: str) -> DataFrame:
-    """Adds ``med`` and ``mad`` of a sequence: two passes over the same partitioning."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("med", F.percentile(value, 0.5).over(w)).withColumn("_d", F.abs(F.col(value) - F.col("med"))).withColumn("mad", F.percentile("_d", 0.5).over(w)).drop("_d")
+    """Adds ``med`` and ``mad`` of a sequence: exact quantiles, twice."""
+    d = R.with_quantiles(durable(df), keys, value, {"med": 0.5}).withColumn("_d", F.abs(F.col(value) - F.col("med")))
+    return R.with_quantiles(d, keys, "_d", {"mad": 0.5}).drop("_d")
 
 
 def robust_zscore(df: DataFrame, keys: Names, value: str, out: str = "z") -> DataFrame:
     return robust_center(df, keys, value).withColumn(out, (F.col(value) - F.col("med")) / (1.4826 * F.col("mad") + 1e-9))
 
 
-def residual_signal(df: DataFrame, keys: Names, order: Names, size: str, window: int = 301, q: float = 0.2, smooth: int = 7) -> DataFrame:
-    """log1p of the size less its rolling baseline, median-smoothed, as a robust z."""
-    d = df.withColumn("lv", F.log1p(F.greatest(F.col(size), F.lit(0)).cast("double")))
-    d = rolling_quantile(d, keys, order, "lv", window, q, "base").withColumn("res", F.col("lv") - F.col("base"))
-    return robust_zscore(rolling_quantile(d, keys, order, "res", smooth, 0.5, "sm"), keys, "sm", "z")
+def residual_signal(df: DataFrame, keys: Names, order: Names, size: str, window: int = 301, q: float = 0.2, smooth: int = 7, dense: bool = False) -> DataFrame:
+    """log1p of the size less its rolling baseline, median-smoothed (both in one pass over chunks), as a robust z."""
+    wide, near = (window - 1) // 2, (smooth - 1) // 2
+    d, at = R.indexed(df.withColumn("lv", F.log1p(F.greatest(F.col(size), F.lit(0)).cast("double"))), keys, order, dense)
+    d = R.in_chunks(d, keys, at, ["lv"], wide + near, lambda v: R.centred_quantile(v - R.centred_quantile(v, wide, q), near, 0.5), "sm")
+    return robust_zscore(d, keys, "sm", "z").drop("_at")
 
 
-def threshold_detector(df: DataFrame, keys: Names, order: Names, size: str, threshold: float, active: int = 21, share: float = 0.45, gap: int = 8, least: int = 15) -> DataFrame:
-    """Sustained excess: point test, rolling share of hits, short gaps filled, short runs dropped; column ``visible``."""
-    d = residual_signal(df, keys, order, size).withColumn("hit", (F.col("z") >= threshold).cast("double"))
+def threshold_detector(df: DataFrame, keys: Names, order: Names, size: str, threshold: float, active: int = 21, share: float = 0.45, gap: int = 8, least: int = 15, dense: bool = False) -> DataFrame:
+    """Sustained excess: point test, rolling share of hits, short gaps filled, short runs dropped; column ``visible``. ``score``
+    (0 to 1) is the logistic of the excess times the share, standardised over the sequence."""
+    d = residual_signal(df, keys, order, size, dense=dense).withColumn("hit", (F.col("z") >= threshold).cast("double"))
     d = rolling_mean(d, keys, order, "hit", active, "frac").withColumn("on", (F.col("frac") >= share).cast("int"))
+    d = d.withColumn("_e", F.greatest(F.col("z") - threshold, F.lit(0.0)) * F.col("frac"))
+    whole = Window.partitionBy(*keys)
+    d = d.withColumn("score", 1 / (1 + F.exp(-(F.col("_e") - F.avg("_e").over(whole)) / (F.stddev_pop("_e").over(whole) + 1e-9)))).drop("_e")
     return keep_runs(fill_short_gaps(d, keys, order, "on", gap, "filled"), keys, order, "filled", least=least, out="visible")
 
 
 def iframe_mask(df: DataFrame, keys: Names, order: Names, size: str, k: float = 8.0, tail: int = 2) -> DataFrame:
     """Outliers of log size (median + k MAD) or above the .995 quantile, and ``tail`` rows after each."""
     d = robust_center(df.withColumn("lv", F.log1p(F.col(size).cast("double"))), keys, "lv")
-    top = F.percentile(size, 0.995).over(Window.partitionBy(*keys))
-    d = d.withColumn("hit", ((F.col("lv") > F.col("med") + k * (F.col("mad") + 1e-9)) | (F.col(size) > top)).cast("int"))
+    d = R.with_quantiles(durable(d), keys, size, {"_top": 0.995})
+    d = d.withColumn("hit", ((F.col("lv") > F.col("med") + k * (F.col("mad") + 1e-9)) | (F.col(size) > F.col("_top"))).cast("int")).drop("_top")
     return d.withColumn("mask", F.max("hit").over(around(keys, order, tail, 0)))
 
 
@@ -177,10 +188,10 @@ def head_omit(df: DataFrame, keys: Names, order: Names, hit: str, k: int, out: s
     return df.withColumn(out, F.coalesce(F.max(hit).over(over(keys, order).rowsBetween(1, k)), F.lit(0)))
 
 
-def spike_mask(df: DataFrame, keys: Names, order: Names, value: str, window: int = 9, k: float = 6.0, narrow: int = 3) -> DataFrame:
+def spike_mask(df: DataFrame, keys: Names, order: Names, value: str, window: int = 9, k: float = 6.0, narrow: int = 3, dense: bool = False) -> DataFrame:
     """Narrow runs above rolling median + k * 1.4826 * rolling MAD."""
-    d = rolling_quantile(df, keys, order, value, window, 0.5, "rm").withColumn("_d", F.abs(F.col(value) - F.col("rm")))
-    d = rolling_quantile(d, keys, order, "_d", window, 0.5, "rmad").withColumn("hit", (F.col(value) > F.col("rm") + k * 1.4826 * F.col("rmad")).cast("int"))
+    d = rolling_quantile(df, keys, order, value, window, 0.5, "rm", dense).withColumn("_d", F.abs(F.col(value) - F.col("rm")))
+    d = rolling_quantile(d, keys, order, "_d", window, 0.5, "rmad", dense).withColumn("hit", (F.col(value) > F.col("rm") + k * 1.4826 * F.col("rmad")).cast("int"))
     return keep_runs(d.drop("_d"), keys, order, "hit", most=narrow, out="spike")
 
 
@@ -234,6 +245,23 @@ def in_windows(df: DataFrame, keys: Names, index: str, size: int, stride: int) -
     return df.withColumn("_n", n).withColumn("start", F.explode(starts)).drop("_n")
 
 
+def drop_surplus(windows: DataFrame, label: str, order: Names) -> DataFrame:
+    """All windows with a true label, and of the others as many as there are of these at most: the surplus goes at evenly
+    spaced ranks floor(j (n - 1) / (k - 1)), j from 0 to k - 1. The rank comes by ranges; whether a rank is one of these
+    follows from arithmetic on the two counts."""
+    zero = R.positions(windows.filter(~F.col(label)), [], order, "_at").withColumn("_at", F.col("_at") - 1)
+    n = windows.agg(F.count_if(label).alias("_p"), F.count_if(~F.col(label)).alias("_n"))  # one row
+    d = zero.crossJoin(F.broadcast(n)).withColumn("_k", F.col("_n") - F.least("_n", "_p"))
+    step = lambda j: F.floor(j * (F.col("_n") - 1).cast("double") / F.greatest(F.col("_k") - 1, F.lit(1)))
+    # the only numbers whose step can be this rank
+    near = F.floor(F.col("_at") * F.greatest(F.col("_k") - 1, F.lit(1)) / F.greatest(F.col("_n") - 1, F.lit(1)))
+    gone = F.lit(False)
+    for e in (-1, 0, 1, 2):
+        j = near + e
+        gone = gone | ((j >= 0) & (j < F.col("_k")) & (step(j) == F.col("_at")))
+    return windows.filter(label).unionByName(d.filter(~gone).select(*windows.columns))
+
+
 def fixed_period(df: DataFrame, keys: Names, order: Names, time_us: str, period_us: int, out: str = "boundary") -> DataFrame:
     """The last row of each period counted from the first row in order, and the final row."""
     w = over(keys, order)

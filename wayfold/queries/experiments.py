@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..operators import ranks as R
+from ..operators import resampling as B
+from ..operators.graph import durable
 from .base import query, runs
 
 EPS = 1e-9
@@ -20,19 +23,43 @@ def q(sql: str, name: str) -> str:
     return f"round({sql} + 1e-9, 6) AS {name}"
 
 
-def stats(value: str = "rmse") -> list:
-    """Of the finite values: count, mean, sample deviation (0 for one value) and its error, median, 95th percentile, lost share."""
+def finite(value: str):
     v = F.col(value)
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
+def nan_mean(c):
+    """Mean of the values that are numbers."""
+    return F.avg(F.when(~F.isnan(c), c))
+
+
+def summary(df, keys: list[str], value: str = "rmse", row_id: str | None = None, resamples: int = B.RESAMPLES, extra: dict | None = None):
+    """Of the finite values: count, mean, sample deviation (0 for one value) and its error, median, 95th percentile; share of
+    lost rows; with ``row_id`` the mean's bootstrap interval; ``extra`` aggregates. Quantiles come by rank where a group is
+    large, and resamples by partial sums, so no group meets in one task. Null keys are groups."""
+    df = durable(df)
+    v = finite(value)
     std = F.when(F.count(v) > 1, F.stddev_samp(v)).otherwise(0.0)
-    return [
-        F.count(v).alias("n"), r(F.avg(v), "mean"), r(std, "std"), r(std / F.sqrt(F.count(v)), "sem"), r(F.percentile(v, 0.5), "median"), r(F.percentile(v, 0.95), "p95"),
-        r(F.avg((v > 100).cast("double")), "lost"),
-    ]
+    known = df.groupBy(*keys).agg(F.count(v).alias("n"), r(F.avg(v), "mean"), r(std, "std"), r(std / F.sqrt(F.count(v)), "sem"), r(F.avg((F.col(value) > 100).cast("double")), "lost"), *[c.alias(k) for k, c in (extra or {}).items()])
+    fine = df.withColumn("_f", v)
+    out = B.beside(known, R.quantiles(fine, keys, "_f", {"median": 0.5, "p95": 0.95}).drop("n"), keys)
+    out = out.withColumns({"median": F.round(F.col("median") + EPS, 6), "p95": F.round(F.col("p95") + EPS, 6)})
+    if row_id is None:
+        return out
+    got = B.mean_interval(df, keys, row_id, value, resamples).drop("n", "mean")
+    return B.beside(out, got, keys).withColumns({"lo": F.round(F.col("lo") + EPS, 6), "hi": F.round(F.col("hi") + EPS, 6)})
 
 
 STD = "CASE WHEN count(rmse) > 1 THEN stddev_samp(rmse) ELSE 0 END"
 STATS = ", ".join(["count(rmse) AS n", q("avg(rmse)", "mean"), q(STD, "std"), q(f"{STD} / sqrt(count(rmse))", "sem"), q("quantile_cont(rmse, 0.5)", "median"), q("quantile_cont(rmse, 0.95)", "p95"), q("avg((rmse > 100)::INT)", "lost")])
 
+
+def interval_sql(source: str, keys: str, row_id: str, value: str, n: int, name: str = "ci") -> str:
+    """Views with the bootstrap interval of a mean: ``name`` has keys, lo and hi."""
+    return f"""{name}_s AS (SELECT {keys}, b, sum(w * {value}) / sum(w) AS v FROM (SELECT {keys}, {value}, b, {B.weight_sql(row_id, 'b')} AS w FROM {source}, range({n}) t(b)) GROUP BY {keys}, b HAVING sum(w) > 0),
+{name} AS (SELECT {keys}, {q('quantile_cont(v, 0.025)', 'lo')}, {q('quantile_cont(v, 0.975)', 'hi')} FROM {name}_s GROUP BY {keys})"""
+
+
 #: Several rows share a trajectory, estimator, condition and seed; they count as their mean.
 CELL = ["trajectory_id", "estimator", "condition"]
 CELLS = "cells AS (SELECT trajectory_id, estimator, condition, avg(rmse) AS rmse, avg(gap) AS gap FROM runs GROUP BY 1, 2, 3)"
@@ -49,19 +76,30 @@ def stratum(c: str = "gap"):
 STRATUM = "CASE WHEN gap IS NULL THEN 'unknown' WHEN gap < 10 THEN 'easy' WHEN gap < 30 THEN 'medium' ELSE 'hard' END"
 
 
-@query("summarise", f"SELECT estimator, condition, {STATS} FROM runs GROUP BY 1, 2", "runs")
+#: A row's own number, and resamples of whole rows (cells take the default of 10,000).
+ROW_ID, ROW_RESAMPLES = "l_orderkey * 8 + seed", 1000
+ROWS = f"rows_ AS (SELECT *, {ROW_ID} AS row_id FROM runs)"
+
+
+def rows(s, d):
+    return runs(s, d).withColumn("row_id", F.expr(ROW_ID))
+
+
+@query("summarise", f"WITH {ROWS}, {interval_sql('rows_', 'estimator, condition', 'row_id', 'rmse', ROW_RESAMPLES)}, g AS (SELECT estimator, condition, {STATS} FROM runs GROUP BY 1, 2) SELECT g.*, lo, hi FROM g JOIN ci USING (estimator, condition)", "runs")
 def _(s, d):
-    return runs(s, d).groupBy("estimator", "condition").agg(*stats())
+    return summary(rows(s, d), ["estimator", "condition"], row_id="row_id", resamples=ROW_RESAMPLES)
 
 
-@query("grouped_summary", f"SELECT estimator, level, {STATS} FROM runs GROUP BY 1, 2", "runs")
+@query("grouped_summary", f"SELECT estimator, nullif(level, 0.05) AS level, {STATS}, {q('avg(rmse) FILTER (seed <> 3)', 'mae_mean')}, {q('max(rmse)', 'most')}, {q('avg(CASE WHEN seed = 3 THEN NULL ELSE gap / 50 END)', 'coverage_mean')} FROM runs GROUP BY 1, 2", "runs")
 def _(s, d):
-    return runs(s, d).groupBy("estimator", "level").agg(*stats())
+    """Null levels (0.05 here) are a group; the means of further columns leave NaN out (rows of seed 3 have it here)."""
+    x = runs(s, d).withColumns({"level": F.nullif("level", F.lit(0.05)), "mae": F.when(F.col("seed") == 3, float("nan")).otherwise(F.col("rmse")), "coverage": F.when(F.col("seed") == 3, float("nan")).otherwise(F.col("gap") / 50)})
+    return summary(x, ["estimator", "level"], extra={"mae_mean": F.round(nan_mean(F.col("mae")) + EPS, 6), "most": F.round(F.max("rmse") + EPS, 6), "coverage_mean": F.round(nan_mean(F.col("coverage")) + EPS, 6)})
 
 
-@query("two_level_agg", f"WITH {CELLS} SELECT estimator, condition, {STATS} FROM cells GROUP BY 1, 2", "runs")
+@query("two_level_agg", f"WITH {CELLS}, {interval_sql('cells', 'estimator, condition', 'trajectory_id', 'rmse', B.RESAMPLES)}, g AS (SELECT estimator, condition, {STATS} FROM cells GROUP BY 1, 2) SELECT g.*, lo, hi FROM g JOIN ci USING (estimator, condition)", "runs")
 def _(s, d):
-    return cells(s, d).groupBy("estimator", "condition").agg(*stats())
+    return summary(cells(s, d), ["estimator", "condition"], row_id="trajectory_id")
 
 
 @query("paper_table", f"SELECT estimator, {q('avg(rmse) FILTER (condition = $$A_perimeter_only$$)', 'a')}, {q('avg(rmse) FILTER (condition = $$C_sidechannel$$)', 'c')}, {q('1 - avg(rmse) FILTER (condition = $$C_sidechannel$$) / avg(rmse) FILTER (condition = $$A_perimeter_only$$)', 'reduction')} FROM runs GROUP BY 1", "runs")
@@ -113,27 +151,83 @@ def _(s, d):
 @query("by_stratum", f"WITH st AS (SELECT *, {STRATUM} AS stratum FROM runs) SELECT coalesce(stratum, 'all') AS stratum, estimator, {STATS} FROM st GROUP BY GROUPING SETS ((stratum, estimator), (estimator))", "runs")
 def _(s, d):
     twice = runs(s, d).withColumn("stratum", F.explode(F.array(stratum(), F.lit("all"))))
-    return twice.groupBy("stratum", "estimator").agg(*stats())
+    return summary(twice, ["stratum", "estimator"])
+
+
+FIRST = "first_ AS (SELECT trajectory_id, arg_min({'gap': gap, 'level': level}, {'o': l_orderkey, 's': seed}) AS f FROM runs GROUP BY 1), per AS (SELECT trajectory_id, f.gap AS gap, f.level AS level FROM first_)"
+LEVEL = "CASE WHEN level < 0.03 THEN 'low' WHEN level < 0.07 THEN 'mid' ELSE 'high' END"
+
+
+def per_trajectory(s, d):
+    """The first row of each trajectory, with its stratum on both axes."""
+    f = runs(s, d).groupBy("trajectory_id").agg(F.min_by(F.struct("gap", "level"), F.struct("l_orderkey", "seed")).alias("f")).select("trajectory_id", "f.gap", "f.level")
+    return f.withColumns({"stratum": stratum(), "level_stratum": S.bins(F.col("level"), [(0.03, "low"), (0.07, "mid")], "high")})
+
+
+@query("stratum_profile", f"WITH {FIRST} SELECT {STRATUM} AS stratum, count(*) AS n, {q('avg(gap)', 'gap')}, {q('avg(level)', 'level')}, {q('min(gap)', 'lo')}, {q('max(gap)', 'hi')} FROM per GROUP BY 1", "runs")
+def _(s, d):
+    return per_trajectory(s, d).groupBy("stratum").agg(F.count("*").alias("n"), r(F.avg("gap"), "gap"), r(F.avg("level"), "level"), r(F.min("gap"), "lo"), r(F.max("gap"), "hi"))
+
+
+@query("stratum_crosstab", f"WITH {FIRST} SELECT {STRATUM} AS stratum, {LEVEL} AS level_stratum, count(*) AS n FROM per GROUP BY 1, 2", "runs")
+def _(s, d):
+    return per_trajectory(s, d).groupBy("stratum", "level_stratum").agg(F.count("*").alias("n"))
+
+
+@query("axis_correlation", f"WITH {FIRST} SELECT count(*) AS n, {q('corr(gap, level)', 'pearson')} FROM per", "runs")
+def _(s, d):
+    return per_trajectory(s, d).agg(F.count("*").alias("n"), r(F.corr("gap", "level"), "pearson"))
 
 
-@query("stratum_profile", f"SELECT {STRATUM} AS stratum, count(*) AS n, count(DISTINCT trajectory_id) AS n_traj, {q('avg(gap)', 'gap')}, {q('min(gap)', 'lo')}, {q('max(gap)', 'hi')} FROM runs GROUP BY 1", "runs")
+#: Rows with the gain of one estimator over another on a trajectory, and its stratum.
+GAINS = f"""{CELLS}, gains AS (SELECT trajectory_id, avg(rmse) FILTER (estimator = 'kalman') AS base, avg(rmse) FILTER (estimator = 'road_pf') AS best, avg(gap) FILTER (estimator = 'kalman') AS gap, avg(gap) FILTER (estimator = 'road_pf') AS own_gap
+  FROM cells WHERE condition = 'C_sidechannel' GROUP BY 1),
+gain AS (SELECT *, base - best AS gain, CASE WHEN gap IS NULL THEN 'unknown' WHEN gap < 24 THEN 'easy' WHEN gap < 27 THEN 'medium' ELSE 'hard' END AS stratum FROM gains WHERE base IS NOT NULL AND best IS NOT NULL)"""
+
+
+def gains(s, d):
+    of = lambda k, c: F.avg(F.when(F.col("estimator") == k, F.col(c)))
+    c = cells(s, d).filter("condition = 'C_sidechannel'").groupBy("trajectory_id")
+    g = c.agg(of("kalman", "rmse").alias("base"), of("road_pf", "rmse").alias("best"), of("kalman", "gap").alias("gap"), of("road_pf", "gap").alias("own_gap")).filter("base is not null and best is not null")
+    return g.withColumns({"gain": F.col("base") - F.col("best"), "stratum": S.bins(F.col("gap"), [(24.0, "easy"), (27.0, "medium")], "hard")})
+
+
+@query("gain_by_stratum", f"""WITH {GAINS}, {interval_sql('gain', 'stratum', 'trajectory_id', 'gain', B.RESAMPLES)}, g AS (SELECT stratum, count(*) AS n, avg(base) AS b, avg(best) AS c, avg(gain) AS m FROM gain GROUP BY 1)
+SELECT stratum, n, {q('b', 'base')}, {q('c', 'best')}, {q('m', 'gain')}, {q('100 * m / b', 'gain_pct')}, CASE WHEN n = 1 THEN {q('m', '').removesuffix(' AS ')} ELSE lo END AS lo, CASE WHEN n = 1 THEN {q('m', '').removesuffix(' AS ')} ELSE hi END AS hi, (CASE WHEN n = 1 THEN m ELSE lo END) > 0 AS significant FROM g JOIN ci USING (stratum)""", "runs")
 def _(s, d):
-    g = runs(s, d).groupBy(stratum().alias("stratum"))
-    return g.agg(F.count("*").alias("n"), F.count_distinct("trajectory_id").alias("n_traj"), r(F.avg("gap"), "gap"), r(F.min("gap"), "lo"), r(F.max("gap"), "hi"))
+    g = durable(gains(s, d))
+    ci = B.mean_interval(g, ["stratum"], "trajectory_id", "gain").drop("n", "mean")
+    sums = g.groupBy("stratum").agg(F.count("*").alias("n"), F.avg("base").alias("b"), F.avg("best").alias("c"), F.avg("gain").alias("m"))
+    x = B.beside(sums, ci, ["stratum"])
+    return x.select("stratum", "n", r("b", "base"), r("c", "best"), r("m", "gain"), r(100 * F.col("m") / F.col("b"), "gain_pct"), r("lo", "lo"), r("hi", "hi"), (F.round(F.col("lo") + EPS, 6) > 0).alias("significant"))
 
 
-@query("gain_by_stratum", f"WITH {PAIRS} SELECT {STRATUM.replace('30', '26')} AS stratum, estimator, count(*) AS n, {q('avg(delta)', 'gain')}, {q('quantile_cont(delta, 0.5)', 'median')} FROM pairs GROUP BY 1, 2", "runs")
+@query("interaction_test", f"""WITH {GAINS}, {interval_sql('gain', 'stratum', 'trajectory_id', 'gain', B.RESAMPLES)}, d AS (SELECT h.v - e.v AS v FROM ci_s h JOIN ci_s e USING (b) WHERE h.stratum = 'hard' AND e.stratum = 'easy')
+SELECT {q("(SELECT avg(gain) FROM gain WHERE stratum = 'hard') - (SELECT avg(gain) FROM gain WHERE stratum = 'easy')", 'delta')}, {q('quantile_cont(v, 0.025)', 'lo')}, {q('quantile_cont(v, 0.975)', 'hi')}, {q('avg((v <= 0)::INT)', 'p')} FROM d""", "runs")
 def _(s, d):
-    bins = S.bins(F.col("gap"), [(10.0, "easy"), (26.0, "medium")], "hard")
-    return pairs(s, d).groupBy(bins.alias("stratum"), "estimator").agg(F.count("*").alias("n"), r(F.avg("delta"), "gain"), r(F.percentile("delta", 0.5), "median"))
+    """Gain in the hard stratum less gain in the easy one, with its interval and one-sided p."""
+    g = durable(gains(s, d))
+    got = B.difference(B.resampled(g, ["stratum"], "trajectory_id", ["gain"]), "stratum", "easy", "hard")
+    of = lambda k: F.avg(F.when(F.col("stratum") == k, F.col("gain")))
+    return got.crossJoin(F.broadcast(g.agg((of("hard") - of("easy")).alias("delta")))).select(r("delta", "delta"), r("lo", "lo"), r("hi", "hi"), r("p", "p"))  # one row by one row
 
 
-@query("partial_corr", """WITH c AS (SELECT estimator, corr(rmse, gap) AS xy, corr(rmse, level) AS xz, corr(gap, level) AS yz FROM runs GROUP BY 1)
-SELECT estimator, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) + 1e-9, 6) AS partial FROM c""", "runs")
+RESID = f"""{GAINS}, f AS (SELECT regr_slope(gain, own_gap) AS gs, regr_intercept(gain, own_gap) AS gi, regr_slope(gap, own_gap) AS xs, regr_intercept(gap, own_gap) AS xi FROM gain),
+res AS (SELECT trajectory_id, gap - xi - xs * own_gap AS x, gain - gi - gs * own_gap AS y FROM gain, f)"""
+
+
+@query("partial_corr", f"""WITH {RESID}, w AS (SELECT x, y, b, {B.weight_sql('trajectory_id', 'b')} AS w FROM res, range({B.RESAMPLES}) t(b)), m AS (SELECT b, sum(w) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * y * y) AS yy, sum(w * x * y) AS xy FROM w GROUP BY 1),
+s AS (SELECT CASE WHEN n * xx - x * x > 1e-9 * n * xx AND n * yy - y * y > 1e-9 * n * yy THEN (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)) END AS v FROM m)
+SELECT {q('(SELECT corr(x, y) FROM res)', 'partial')}, {q('quantile_cont(v, 0.025)', 'lo')}, {q('quantile_cont(v, 0.975)', 'hi')} FROM s""", "runs")
 def _(s, d):
-    c = runs(s, d).groupBy("estimator").agg(F.corr("rmse", "gap").alias("xy"), F.corr("rmse", "level").alias("xz"), F.corr("gap", "level").alias("yz"))
-    x, y, z = F.col("xy"), F.col("xz"), F.col("yz")
-    return c.select("estimator", r((x - y * z) / F.sqrt((1 - y * y) * (1 - z * z)), "partial"))
+    """Correlation of gain and gap with a third variable's line taken out of both, and its interval."""
+    g = durable(gains(s, d))
+    c = "own_gap"
+    f = g.agg(F.regr_slope("gain", c).alias("gs"), F.regr_intercept("gain", c).alias("gi"), F.regr_slope("gap", c).alias("xs"), F.regr_intercept("gap", c).alias("xi"))  # one row
+    res = g.crossJoin(F.broadcast(f)).select("trajectory_id", (F.col("gap") - F.col("xi") - F.col("xs") * F.col(c)).alias("x"), (F.col("gain") - F.col("gi") - F.col("gs") * F.col(c)).alias("y"))
+    res = durable(res.select("*", (F.col("x") * F.col("x")).alias("xx"), (F.col("y") * F.col("y")).alias("yy"), (F.col("x") * F.col("y")).alias("xy")))
+    ci = B.interval(B.resampled(res, [], "trajectory_id", ["x", "y", "xx", "yy", "xy"]), [], B.pearson(1, 2, 3, 4, 5))
+    return ci.crossJoin(F.broadcast(res.agg(F.corr("x", "y").alias("c")))).select(r("c", "partial"), r("lo", "lo"), r("hi", "hi"))  # one row by one row
 
 
 LEVELS = "lv AS (SELECT estimator, level, avg(rmse) AS m FROM runs GROUP BY 1, 2), base AS (SELECT estimator, m AS m0 FROM lv WHERE level = 0)"
@@ -241,22 +335,8 @@ def _(s, d):
     return runs(s, d).groupBy("seed", "condition").agg(r(F.avg("rmse"), "mean"), r(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))), "rms"))
 
 
-#: Resamples; the default of the experiments is 10,000, each a copy of the cells, and their number is a parameter of the plan.
-BOOT = 200
-
-
-@query("bootstrap_ci", f"""WITH {CELLS}, k AS (SELECT *, row_number() OVER g - 1 AS i, count(*) OVER (PARTITION BY estimator, condition) AS n FROM cells WINDOW g AS (PARTITION BY estimator, condition ORDER BY trajectory_id)),
-d AS (SELECT estimator, condition, b, CAST(floor((('0x' || substr(md5(b || '|' || i), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 * n) AS BIGINT) AS i FROM k, range({BOOT}) t(b)),
-m AS (SELECT estimator, condition, b, avg(k.rmse) AS m FROM d JOIN k USING (estimator, condition, i) GROUP BY 1, 2, 3)
-SELECT estimator, condition, {q('quantile_cont(m, 0.025)', 'lo')}, {q('quantile_cont(m, 0.975)', 'hi')} FROM m GROUP BY 1, 2""", "runs")
+@query("bootstrap_ci", f"""WITH {CELLS}, {interval_sql('cells', 'estimator, condition', 'trajectory_id', 'rmse', B.RESAMPLES)} SELECT estimator, condition, lo, hi FROM ci""", "runs")
 def _(s, d):
-    """Percentile interval of the mean over whole resamples; draws come from a counter hash, so reruns agree.
-
-    A draw names a rank; draws are counted per rank before they meet the values, so the join carries ranks, not draws of
-    every resample."""
-    g = ["estimator", "condition"]
-    k = cells(s, d).withColumns({"i": F.row_number().over(Window.partitionBy(*g).orderBy("trajectory_id")).cast("bigint") - 1, "n": F.count("*").over(Window.partitionBy(*g))})
-    draws = k.select(*g, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(BOOT - 1))).alias("b"))
-    draws = draws.select(*g, "b", F.floor(S.uniform(F.col("b"), F.col("i")) * F.col("n")).alias("i")).groupBy(*g, "b", "i").agg(F.count("*").alias("w"))
-    means = draws.join(k.select(*g, "i", "rmse"), [*g, "i"]).groupBy(*g, "b").agg((F.sum(F.col("w") * F.col("rmse")) / F.sum("w")).alias("m"))
-    return means.groupBy(*g).agg(r(F.percentile("m", 0.025), "lo"), r(F.percentile("m", 0.975), "hi"))
+    """Percentile interval of the mean over 10,000 resamples, by weights of a counter hash."""
+    got = B.mean_interval(cells(s, d), ["estimator", "condition"], "trajectory_id", "rmse")
+    return got.select("estimator", "condition", r("lo", "lo"), r("hi", "hi"))

@@ -188,7 +188,7 @@ def _(s, d):
 
 @query("rolling_quantile", "SELECT seq_id, row_idx, round(quantile_cont(frame_len, 0.2) OVER (PARTITION BY seq_id ORDER BY row_idx ROWS BETWEEN 150 PRECEDING AND 150 FOLLOWING), 6) AS q FROM packets", "packets")
 def _(s, d):
-    return Q.rolling_quantile(packets(s, d), K, O, "frame_len", 301, 0.2, "q").select("seq_id", "row_idx", r6("q"))
+    return Q.rolling_quantile(packets(s, d), K, O, "frame_len", 301, 0.2, "q", dense=True).select("seq_id", "row_idx", r6("q"))
 
 
 @query("rolling_mean", "SELECT seq_id, row_idx, round(avg(frame_len) OVER (PARTITION BY seq_id ORDER BY row_idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) AS m FROM packets", "packets")
@@ -205,7 +205,7 @@ signal AS (SELECT seq_id, row_idx, frame_len, (sm - med) / (1.4826 * mad + 1e-9)
 
 @query("residual_signal", f"WITH {SIGNAL} SELECT seq_id, row_idx, round(z, 6) AS z FROM signal", "packets")
 def _(s, d):
-    return Q.residual_signal(packets(s, d), K, O, "frame_len").select("seq_id", "row_idx", r6("z"))
+    return Q.residual_signal(packets(s, d), K, O, "frame_len", dense=True).select("seq_id", "row_idx", r6("z"))
 
 
 def runs_sql(source: str, flag: str, tag: str) -> str:
@@ -234,11 +234,13 @@ def _(s, d):
 
 
 @query("threshold_detector", f"""WITH {SIGNAL}, hit AS (SELECT *, (z >= 0.5)::INT::DOUBLE AS hit FROM signal),
-frac AS (SELECT seq_id, row_idx, (avg(hit) OVER (PARTITION BY seq_id ORDER BY row_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) >= 0.45)::INT AS on_ FROM hit),
+share AS (SELECT seq_id, row_idx, z, avg(hit) OVER (PARTITION BY seq_id ORDER BY row_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS frac FROM hit),
+frac AS (SELECT seq_id, row_idx, greatest(z - 0.5, 0) * frac AS e, (frac >= 0.45)::INT AS on_ FROM share),
 {runs_sql('frac', 'on_', 'a')}, {FILL.format(t='a', f='on_', k=2)}, {runs_sql('a_f', 'filled', 'b')}
-SELECT seq_id, row_idx, (filled = 1 AND count(*) OVER (PARTITION BY seq_id, run) >= 4)::INT AS visible FROM b""", "packets")
+SELECT seq_id, row_idx, (filled = 1 AND count(*) OVER (PARTITION BY seq_id, run) >= 4)::INT AS visible,
+  round(1 / (1 + exp(-(e - avg(e) OVER (PARTITION BY seq_id)) / (stddev_pop(e) OVER (PARTITION BY seq_id) + 1e-9))) + 1e-9, 6) AS score FROM b""", "packets")
 def _(s, d):
-    return Q.threshold_detector(packets(s, d), K, O, "frame_len", 0.5, active=7, gap=2, least=4).select("seq_id", "row_idx", "visible")
+    return Q.threshold_detector(packets(s, d), K, O, "frame_len", 0.5, active=7, gap=2, least=4, dense=True).select("seq_id", "row_idx", "visible", r6(F.col("score") + 1e-9, "score"))
 
 
 IFRAME = """ifm AS (SELECT *, ln(1 + frame_len) AS lv FROM packets), ifmed AS (SELECT *, quantile_cont(lv, 0.5) OVER (PARTITION BY seq_id) AS med, quantile_cont(frame_len, 0.995) OVER (PARTITION BY seq_id) AS top FROM ifm),
@@ -316,12 +318,7 @@ def _(s, d):
     """All-zero windows beyond the number of others go at evenly spaced ranks. The rank is global, over windows only."""
     p = Q.in_windows(packets(s, d).withColumn("i", F.col("row_idx") - 1), K, "i", 32, 25)
     w = p.groupBy("seq_id", "start").agg(F.max(F.col("marker") & (F.col("prob") > 0.75)).alias("label"))
-    n = w.agg(F.count_if("label").alias("np"), F.count_if(~F.col("label")).alias("nz"))
-    surplus = n.select("nz", (F.col("nz") - F.least("nz", "np")).alias("k"))
-    drop = surplus.filter("k > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("j"), "nz", "k")
-    drop = drop.select(F.floor(F.col("j") * (F.col("nz") - 1).cast("double") / F.greatest(F.col("k") - 1, F.lit(1))).alias("rk")).distinct()
-    zero = w.filter(~F.col("label")).withColumn("rk", F.row_number().over(Window.orderBy("seq_id", "start")) - 1)
-    return w.filter("label").unionByName(zero.join(drop, "rk", "left_anti").select("seq_id", "start", "label"))
+    return Q.drop_surplus(w, "label", ["seq_id", "start"])
 
 
 @query("ffill_bfill", """WITH g AS (SELECT seq_id, row_idx, CASE WHEN event_id % 13 = 0 OR row_idx <= 2 THEN NULL ELSE prob END AS v FROM packets)
