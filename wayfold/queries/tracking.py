@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..operators import graph as G
 from ..operators import matching as M
+from ..operators import particles as PF
 from ..operators import sequences as Q
 from ..operators import simulation as X
 from ..operators import trackers as T
-from .base import VIEWS, edges, packets, points, query, sensors
+from .base import VIEWS, edges, packets, points, query, sensors, table
 from .experiments import q, r
 from .geometry import NEAR, near, own
 
@@ -328,9 +328,62 @@ def _(s, d):
 
 @query("road_pf")
 def _(s, d):
-    """The particle filter over every trajectory; rows only, its behaviour is tested."""
+    """The particle filter (2000 particles a track) over every trajectory; its single laws have SQL twins below."""
     roads = T.Roads.collect(edges(s, d))
-    return T.track(observed(s, d), steps(s, d), "road_pf", roads, n=200).select(F.col("vehicle_id").alias("traj_id"), "step", "x", "y")
+    return T.track(observed(s, d), steps(s, d), "road_pf", roads).select(F.col("vehicle_id").alias("traj_id"), "step", "x", "y")
+
+
+#: Particles: embeddings as clouds on edges of 100 m, with the turns of each edge.
+VIEWS["swarm"] = """swarm AS (SELECT vec_id % 5 AS cloud, vec_id, embedding[1]::DOUBLE * 40 AS x, embedding[2]::DOUBLE * 40 AS y, CAST(label AS BIGINT) AS edge, CAST(vec_id % 120 AS DOUBLE) AS r, 4 + CAST(vec_id % 9 AS DOUBLE) AS v, ln((vec_id % 17 + 1)::DOUBLE) AS lw FROM embeddings)"""
+
+
+def swarm(s, d):
+    e = table(s, d, "embeddings")
+    at = lambda k: F.col("embedding")[k].cast("double") * 40
+    i = F.col("vec_id")
+    return e.select((i % 5).alias("cloud"), i, at(0).alias("x"), at(1).alias("y"), F.col("label").cast("bigint").alias("edge"), (i % 120).cast("double").alias("r"), (4 + i % 9).cast("double").alias("v"), F.log((i % 17 + 1).cast("double")).alias("lw"))
+
+
+WEIGHED = """z AS (SELECT *, lw - ((x - cloud) * (x - cloud) + (y + cloud) * (y + cloud)) / (2 * 2.5 * 2.5) AS l FROM swarm),
+weighed AS (SELECT * EXCLUDE (lw, l), l - max(l) OVER c - ln(sum(exp(l - m)) OVER c) AS lw FROM (SELECT *, max(l) OVER (PARTITION BY cloud) AS m FROM z) WINDOW c AS (PARTITION BY cloud))"""
+
+
+@query("particle_weigh", f"WITH {WEIGHED} SELECT cloud, vec_id, {q('lw', 'lw')} FROM weighed", "swarm")
+def _(s, d):
+    """Log weights of every particle after a measurement of its cloud."""
+    return PF.weighed(swarm(s, d), ["cloud"], F.col("cloud"), -F.col("cloud"), 2.5).select("cloud", "vec_id", r("lw", "lw"))
+
+
+@query("systematic_resample", f"""WITH {WEIGHED}, c AS (SELECT *, count(*) OVER (PARTITION BY cloud) AS n, {uni("'7'", 'cloud')} AS u, CASE WHEN lead(vec_id) OVER w IS NULL THEN 1.0 ELSE least(sum(exp(lw)) OVER w, 1.0) END AS h FROM weighed WINDOW w AS (PARTITION BY cloud ORDER BY vec_id)),
+p AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY cloud ORDER BY vec_id), 0) AS lo FROM c)
+SELECT cloud, vec_id, k AS copies FROM (SELECT *, CAST(greatest(0, ceil(round(h * n - u, 9))) - greatest(0, ceil(round(lo * n - u, 9))) AS BIGINT) AS k FROM p) WHERE k > 0""", "swarm")
+def _(s, d):
+    """How often each particle is drawn by n evenly spaced points over the summed weights of its cloud."""
+    w = PF.weighed(swarm(s, d), ["cloud"], F.col("cloud"), -F.col("cloud"), 2.5).withColumn("w", F.exp("lw"))
+    return PF.systematic(w, ["cloud"], "vec_id", S.uniform(F.lit(7), F.col("cloud"))).select("cloud", "vec_id", "copies")
+
+
+PASSED = f"""ways AS (SELECT DISTINCT CAST(label AS BIGINT) AS edge FROM embeddings), raw AS (SELECT a.edge, b.edge AS next, 1.0 / (1 + abs(b.edge - a.edge)) AS w FROM ways a JOIN ways b ON abs(b.edge - a.edge) BETWEEN 1 AND 2 WHERE a.edge % 4 <> 0),
+turns AS (SELECT edge, next, round(coalesce(sum(w) OVER (PARTITION BY edge ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(w) OVER (PARTITION BY edge), 9) AS lo, round(sum(w) OVER (PARTITION BY edge ORDER BY next) / sum(w) OVER (PARTITION BY edge), 9) AS hi FROM raw),
+m AS (SELECT cloud, vec_id, edge, r + v + {normal_sql("'r'", 'vec_id')} * sqrt(0.5 / 3) AS r, greatest(v + {normal_sql("'v'", 'vec_id')} * sqrt(0.5), 0.001) AS v, {uni("'t'", 'vec_id')} AS u FROM swarm),
+n AS (SELECT m.*, t.next FROM m LEFT JOIN turns t ON m.r > 100 AND t.edge = m.edge AND m.u > t.lo AND m.u <= t.hi)"""
+
+
+@query("particle_predict", f"WITH {PASSED} SELECT cloud, vec_id, coalesce(next, edge) AS edge, {q('greatest(CASE WHEN r <= 100 THEN r WHEN next IS NULL THEN 99.999 ELSE r - 100 END, 0)', 'r')}, {q('v', 'v')} FROM n", "swarm")
+def _(s, d):
+    """A step along the road by counter draws: motion, then the passing of edge ends by turn probabilities."""
+    ways = table(s, d, "embeddings").select(F.col("label").cast("bigint").alias("edge")).distinct()
+    step = F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)]))
+    near = ways.filter("edge % 4 <> 0").select("edge", step.alias("k")).select("edge", (F.col("edge") + F.col("k")).alias("next"), (1.0 / (1 + F.abs("k"))).alias("w"))
+    known = near.join(ways.select(F.col("edge").alias("next")), "next")
+    upto = Window.partitionBy("edge").orderBy("next")
+    total = F.sum("w").over(Window.partitionBy("edge"))
+    before = F.coalesce(F.sum("w").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    turns = known.select("edge", "next", F.round(before / total, 9).alias("lo"), F.round(F.sum("w").over(upto) / total, 9).alias("hi"))
+    i = F.col("vec_id")
+    gone = PF.moved(swarm(s, d), S.normal(F.lit("r"), i), S.normal(F.lit("v"), i))
+    out = PF.passed(gone, ways.withColumn("length", F.lit(100.0)), turns, S.uniform(F.lit("t"), i))
+    return out.select("cloud", "vec_id", "edge", r("r", "r"), r("v", "v"))
 
 
 @query("run_jobs")
@@ -341,7 +394,7 @@ def _(s, d):
     grid = F.inline(F.array(*[F.struct(F.lit(n).alias("estimator"), F.lit(c).alias("condition")) for n in T.ESTIMATORS for c in ("A", "B")]))
     jobs = e.select("*", grid).filter("condition = 'B' or kind <> 'passage'").withColumn("job", F.concat_ws("|", "scenario", "condition"))
     truth = points(s, d).join(active(s, d), "traj_id").filter("step between lo and hi").select(F.col("traj_id").alias("vehicle_id"), "step", "x", "y")
-    return T.run_jobs(jobs, truth, roads, n=100)
+    return T.run_jobs(jobs, truth, roads)
 
 
 TRACK = f"""tr AS (SELECT p.traj_id, p.step, p.x, p.y, CASE WHEN p.event_id % 13 <> 0 THEN lag(p.x, 2) OVER w END AS ex, CASE WHEN p.event_id % 13 <> 0 THEN lag(p.y, 2) OVER w END AS ey FROM points p WINDOW w AS (PARTITION BY traj_id ORDER BY step)),
