@@ -3,25 +3,13 @@ routes, components. Edges are (edge_id, a, b, ax, ay, tx, ty): from node a to no
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .matching import nearest_site
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: rounds of a loop must not grow one plan. The session's shared folder is used; one is made only
-    where none is set in local mode."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        root = sc.getConf().get("spark.checkpoint.dir", None)
-        if not root and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="wayfold-"))
-    return df.checkpoint()
+from .ranks import positions
+from .store import durable
 
 
 def length() -> Column:
@@ -73,13 +61,14 @@ def project(points: DataFrame, edges: DataFrame, cell: float = 25.0) -> DataFram
         reach = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell) - 1, F.floor(F.greatest(a, b) / cell) + 1))  # noqa: B023, E731
         spread = edges.withColumn("_cx", reach("ax", "tx")).withColumn("_cy", reach("ay", "ty"))
         placed = todo.withColumns({"_cx": F.floor(F.col("_x") / cell), "_cy": F.floor(F.col("_y") / cell)})
-        best = placed.join(spread, ["_cx", "_cy"], "left").groupBy("_x", "_y").agg(F.min(F.struct(d2.alias("d2"), "edge_id", px.alias("px"), py.alias("py"))).alias("_m"))
+        # each ring is written, so the next one starts from its rows; the loop ends with the last open position
+        best = durable(placed.join(spread, ["_cx", "_cy"], "left").groupBy("_x", "_y").agg(F.min(F.struct(d2.alias("d2"), "edge_id", px.alias("px"), py.alias("py"))).alias("_m")))
         near = F.coalesce(F.col("_m.d2") <= cell * cell, F.lit(False))
         got = best if last else best.filter(near)
         done = got if done is None else done.unionByName(got)
-        if last:
-            break
         todo, cell = best.filter(~near).select("_x", "_y"), cell * 16
+        if last or todo.isEmpty():
+            break
     found = done.select(F.col("_x").alias("x"), F.col("_y").alias("y"), "_m.edge_id", "_m.px", "_m.py", F.sqrt("_m.d2").alias("distance"))
     return points.join(found, ["x", "y"]).select(*points.columns, "edge_id", "px", "py", "distance")
 
@@ -109,41 +98,56 @@ def crossings(edges: DataFrame, regions: DataFrame, steps: int = 30) -> DataFram
     return t.select("region", "edge_id", "a", "b", "inward", (F.col("ax") + F.col("t") * (F.col("tx") - F.col("ax"))).alias("cx"), (F.col("ay") + F.col("t") * (F.col("ty") - F.col("ay"))).alias("cy"))
 
 
-def _distance(s: Column, x: Column, y: Column) -> Column:
-    return F.sqrt((s["x"] - x) * (s["x"] - x) + (s["y"] - y) * (s["y"] - y))
+def _close(points: DataFrame, x: str, y: str, radius: float) -> DataFrame:
+    """(region, p, q, gap): pairs of points of a region closer than ``radius``, p before q in their order ``_at``. Points meet
+    in the cells of a grid as wide as the radius, so a join sees a point's surroundings only."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    one = points.select("region", F.col("_at").alias("p"), F.col(x).alias("px"), F.col(y).alias("py"), cell(x).alias("cx"), cell(y).alias("cy"))
+    around = lambda c: F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)]))
+    two = points.select("region", F.col("_at").alias("q"), F.col(x).alias("qx"), F.col(y).alias("qy"), cell(x).alias("cx"), cell(y).alias("cy"))
+    two = two.withColumn("cx", around("cx")).withColumn("cy", around("cy"))
+    gap = F.sqrt((F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")))
+    return one.join(two, ["region", "cx", "cy"]).filter((F.col("p") < F.col("q")) & (gap < radius)).select("region", "p", "q", gap.alias("gap"))
+
+
+def first_independent(points: DataFrame, close: DataFrame) -> DataFrame:
+    """(region, p) of the points that a greedy pass in order would choose: a point is chosen once no open point before it is
+    close, and then closes those after it. Rounds, not a fold: as many as the longest chain of close points in falling order
+    (about the logarithm of the points where the order is a hash)."""
+    open_, chosen = durable(points.select("region", F.col("_at").alias("p"))), None
+    while True:
+        links = close.join(open_, ["region", "p"]).join(open_.select("region", F.col("p").alias("q")), ["region", "q"])
+        later = links.select("region", F.col("q").alias("p")).distinct()
+        now = durable(open_.join(later, ["region", "p"], "left_anti"))
+        chosen = now if chosen is None else chosen.unionByName(now)
+        closed = close.join(now, ["region", "p"]).select("region", F.col("q").alias("p")).distinct()
+        open_ = durable(open_.join(now, ["region", "p"], "left_anti").join(closed, ["region", "p"], "left_anti"))
+        if open_.isEmpty():
+            return chosen
+
+
+def _in_order(points: DataFrame, order: list[str]) -> DataFrame:
+    return durable(positions(points, ["region"], order, "_at"))
 
 
 def merge_sites(points: DataFrame, radius: float, order: list[str]) -> DataFrame:
-    """Greedy merging in the given order: a point closer than ``radius`` to a placed site joins the nearest one (first in
-    ties), else it becomes a site. Adds ``site`` (from 0) and ``placed``. One fold a region over its border crossings."""
-    rows = points.groupBy("region").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in points.columns if c not in (*order, "region")]))).alias("all"))
-    x, y = order[0], order[1]
-    sites = "array<struct<x:double,y:double>>"
-
-    def step(acc, p):
-        gaps = F.transform(acc["sites"], lambda s: _distance(s, p[x], p[y]))
-        near = F.array_min(gaps)
-        joins = F.coalesce(near < radius, F.lit(False))
-        at = F.when(joins, F.array_position(gaps, near) - 1).otherwise(F.size(acc["sites"]).cast("bigint"))
-        own = F.array(F.struct(p[x].cast("double").alias("x"), p[y].cast("double").alias("y")))
-        return F.struct(F.when(joins, acc["sites"]).otherwise(F.concat(acc["sites"], own)).alias("sites"), F.concat(acc["site"], F.array(at)).alias("site"))
-
-    start = F.struct(F.array().cast(sites).alias("sites"), F.array().cast("array<bigint>").alias("site"))
-    folded = rows.withColumn("site", F.aggregate("all", start, step)["site"])
-    each = folded.select("region", F.posexplode(F.arrays_zip("all", "site")).alias("i", "z")).select("region", "i", "z.all.*", "z.site")
-    first = F.min("i").over(Window.partitionBy("region", "site"))
-    return each.withColumn("placed", F.col("i") == first).drop("i")
+    """Greedy merging in the given order (x and y first): a point closer than ``radius`` to a placed site joins the nearest one
+    (first in ties), else it becomes a site. Adds ``site`` (from 0) and ``placed``."""
+    rows = _in_order(points, order)
+    close = durable(_close(rows, order[0], order[1], radius))
+    sites = durable(positions(first_independent(rows, close), ["region"], ["p"], "site").withColumn("site", F.col("site") - 1))
+    nearest = close.join(sites, ["region", "p"]).groupBy("region", "q").agg(F.min(F.struct("gap", "site")).alias("m")).select("region", F.col("q").alias("_at"), F.col("m.site").alias("_near"))
+    own = sites.select("region", F.col("p").alias("_at"), F.col("site").alias("_own"))
+    out = rows.join(own, ["region", "_at"], "left").join(nearest, ["region", "_at"], "left")
+    return out.withColumns({"site": F.coalesce("_own", "_near"), "placed": F.col("_own").isNotNull()}).drop("_at", "_own", "_near")
 
 
 def spaced_sites(points: DataFrame, spacing: float, order: list[str]) -> DataFrame:
     """Greedy choice in the given order of points (x, y) at least ``spacing`` from all chosen before; adds ``site``."""
-    rows = points.groupBy("region").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in points.columns if c not in (*order, "region")]))).alias("all"))
-
-    def step(chosen, p):
-        return F.when(F.exists(chosen, lambda s: _distance(s, p["x"], p["y"]) < spacing), chosen).otherwise(F.concat(chosen, F.array(p)))
-
-    kept = rows.select("region", F.aggregate("all", F.slice("all", 1, 0), step).alias("kept"))
-    return kept.select("region", F.posexplode("kept").alias("site", "p")).select("region", F.col("site").cast("bigint").alias("site"), "p.*")
+    rows = _in_order(points, order)
+    chosen = first_independent(rows, durable(_close(rows, "x", "y", spacing)))
+    site = positions(chosen, ["region"], ["p"], "site").select("region", F.col("p").alias("_at"), (F.col("site") - 1).alias("site"))
+    return rows.join(site, ["region", "_at"]).drop("_at")
 
 
 def thinned(sites: DataFrame, density: float) -> DataFrame:
@@ -177,6 +181,52 @@ def reach(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     return all_.groupBy("source", "node_id").agg(F.min(F.struct("distance", "hops")).alias("m")).select("source", "node_id", "m.distance", "m.hops")
 
 
+def distances(edges: DataFrame, sources: DataFrame, width: float = 8.0) -> DataFrame:
+    """(source, node_id, distance) of all nodes that can be reached, over any number of edges.
+
+    Nodes are relaxed in buckets of ``width`` times the mean edge length: the nodes of the nearest open bucket go out until
+    none of it improves, then the next bucket follows. Labels of each round are written, and the loop ends when no node
+    waits. A round moves the waiting nodes and their edges only."""
+    steps = durable(edges.select(F.col("a").alias("node_id"), F.col("b"), length().alias("len")))
+    mean = steps.agg(F.avg("len")).first()[0] or 1.0
+    bucket = max(mean * width, 1e-9)
+    label = durable(sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0.0).alias("distance"), F.lit(True).alias("waits")).distinct())
+    while True:
+        least = label.filter("waits").agg(F.min("distance")).first()[0]
+        if least is None:
+            return label.drop("waits")
+        goes = F.col("waits") & (F.col("distance") < (int(least / bucket) + 1) * bucket)
+        out = label.filter(goes).join(steps, "node_id").select("source", F.col("b").alias("node_id"), (F.col("distance") + F.col("len")).alias("d"), F.lit(True).alias("new"))
+        kept = label.select("source", "node_id", F.col("distance").alias("d"), F.lit(False).alias("new"), (F.col("waits") & ~goes).alias("w"))
+        both = kept.unionByName(out, allowMissingColumns=True).groupBy("source", "node_id").agg(F.min("d").alias("distance"), F.min(F.when(~F.col("new"), F.col("d"))).alias("was"), F.max("w").alias("w"))
+        waits = F.coalesce("w", F.lit(False)) | F.col("was").isNull() | (F.col("distance") < F.col("was"))
+        label = durable(both.select("source", "node_id", "distance", waits.alias("waits")))
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(source, target, seq, edge_id, a, b, distance): the edges of the shortest way to each target that can be reached, in
+    order from 0; of equally short ways the one whose last edges have the lowest ids. ``distance`` is that of the edge's end.
+
+    The edge before a node is recovered from the distances, then all ways are walked back at once, an edge a round."""
+    far = distances(edges, sources)
+    a = far.select("source", F.col("node_id").alias("a"), F.col("distance").alias("da"))
+    b = far.select("source", F.col("node_id").alias("b"), F.col("distance").alias("db"))
+    tight = edges.select("edge_id", "a", "b", length().alias("len")).join(a, "a").join(b, ["source", "b"]).filter((F.abs(F.col("da") + F.col("len") - F.col("db")) <= tolerance) & (F.col("db") > 0))
+    before = durable(tight.groupBy("source", "b").agg(F.min(F.struct("edge_id", "a", "db")).alias("m")).select("source", "b", "m.edge_id", "m.a", "m.db"))
+    at = durable(far.join(targets.select("node_id").distinct(), "node_id").filter(F.col("node_id") != F.col("source")).select("source", F.col("node_id").alias("target"), F.col("node_id").alias("b")))
+    found, back = None, 0
+    while not at.isEmpty():
+        step = durable(at.join(before, ["source", "b"]).select("source", "target", F.lit(back).cast("bigint").alias("back"), "edge_id", "a", "b", F.col("db").alias("distance")))
+        found = step if found is None else found.unionByName(step)
+        if back % 16 == 15:
+            found = durable(found)
+        at, back = step.filter(F.col("a") != F.col("source")).select("source", "target", F.col("a").alias("b")), back + 1
+    if found is None:
+        return before.limit(0).select("source", F.col("b").alias("target"), F.lit(0).cast("bigint").alias("seq"), "edge_id", "a", "b", F.col("db").alias("distance"))
+    longest = Window.partitionBy("source", "target")
+    return found.withColumn("seq", F.max("back").over(longest) - F.col("back")).select("source", "target", "seq", "edge_id", "a", "b", "distance")
+
+
 def connected(links: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, component): least node reachable over links (keys, a, b), by label spreading with pointer jumps; rounds
     are as the logarithm of the longest chain, each a few shuffles of nodes and links."""

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import durable
+
 Names = Sequence[str]
 
 
@@ -91,13 +93,14 @@ def nearest_site(points: DataFrame, sites: DataFrame, per_cell: float = 4.0) ->
         around = lambda c: F.explode(F.array(*[F.floor(F.col(c) / cell) + k for k in (-1, 0, 1)]))  # noqa: B023, E731
         spread = s.withColumn("_cx", around("sx")).withColumn("_cy", around("sy"))
         placed = todo.withColumns({"_cx": F.floor(F.col("_x") / cell), "_cy": F.floor(F.col("_y") / cell)})
-        best = placed.join(spread, ["_cx", "_cy"], "left").groupBy("_x", "_y").agg(F.min(F.struct(d2.alias("d2"), F.col("sensor_id").alias("id"))).alias("_m"))
+        # each ring is written, so the next one starts from its rows; the loop ends with the last open position
+        best = durable(placed.join(spread, ["_cx", "_cy"], "left").groupBy("_x", "_y").agg(F.min(F.struct(d2.alias("d2"), F.col("sensor_id").alias("id"))).alias("_m")))
         near = F.coalesce(F.col("_m.d2") <= cell * cell, F.lit(False))
         got = best if last else best.filter(near)
         done = got if done is None else done.unionByName(got)
-        if last:
-            break
         todo, cell = best.filter(~near).select("_x", "_y"), cell * 16
+        if last or todo.isEmpty():
+            break
     found = done.select(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_m.id").alias("sensor_id"), F.col("_m.d2").alias("d2"))
     return points.join(found, ["x", "y"]).select(*points.columns, "sensor_id", "d2")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import durable
+from .store import durable
 
 Names = Sequence[str]
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from . import ranks as R
-from .graph import durable
+from .store import durable
 
 Names = Sequence[str]
 

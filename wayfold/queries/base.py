@@ -72,15 +72,16 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter(k < 196).select(k.alias("node_id"), ((k % 14) * 20 - 130).alias("x"), (F.floor(k / 14) * 20 - 130).alias("y"))
+    return table(spark, sf_dir, "customer").select(k.alias("node_id"), ((k % 14) * 20 - 130).alias("x"), (F.floor(k / 14) * 20 - 130).alias("y"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     k = F.col("node_id")
-    out = F.array_compact(F.array(F.when(k % 14 < 13, k + 1), k + 14, F.when((k % 3 == 0) & (k % 14 > 0), k - 1)))
-    pairs = n.select(k.alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(out).alias("b"))
-    return pairs.join(n.select(k.alias("b"), F.col("x").alias("tx"), F.col("y").alias("ty")), "b").select((F.col("a") * 1000 + F.col("b")).alias("edge_id"), "a", "b", "ax", "ay", "tx", "ty")
+    way = lambda number, to: F.struct(F.lit(number).alias("n"), to.alias("b"))
+    out = F.array_compact(F.array(F.when(k % 14 < 13, way(0, k + 1)), way(1, k + 14), F.when((k % 3 == 0) & (k % 14 > 0), way(2, k - 1))))
+    pairs = n.select(k.alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(out).alias("w")).select("*", "w.n", "w.b")
+    return pairs.join(n.select(k.alias("b"), F.col("x").alias("tx"), F.col("y").alias("ty")), "b").select((F.col("a") * 4 + F.col("n")).alias("edge_id"), "a", "b", "ax", "ay", "tx", "ty")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +102,10 @@ VIEWS = {
   CAST((seq_id * 29) % 261 - 130 + sum((event_id * 17 + seq_id) % 21 - 10) OVER (PARTITION BY seq_id ORDER BY row_idx) AS BIGINT) AS y, event_id FROM packets)""",
     "sensors": """sensors AS (SELECT s_suppkey AS sensor_id, CASE WHEN s_suppkey % 4 = 0 THEN 'perimeter' ELSE 'interior' END AS role,
   (s_suppkey * 37) % 261 - 130 AS x, (s_suppkey * 53) % 261 - 130 AS y FROM supplier)""",
-    "nodes": """nodes AS (SELECT c_custkey AS node_id, (c_custkey % 14) * 20 - 130 AS x, CAST(c_custkey // 14 AS BIGINT) * 20 - 130 AS y FROM customer WHERE c_custkey < 196)""",
-    "edges": """edges AS (SELECT p.a * 1000 + p.b AS edge_id, p.a, p.b, n.x AS ax, n.y AS ay, m.x AS tx, m.y AS ty FROM (
-  SELECT node_id AS a, node_id + 1 AS b FROM nodes WHERE node_id % 14 < 13 UNION ALL SELECT node_id, node_id + 14 FROM nodes
-  UNION ALL SELECT node_id, node_id - 1 FROM nodes WHERE node_id % 3 = 0 AND node_id % 14 > 0) p JOIN nodes n ON n.node_id = p.a JOIN nodes m ON m.node_id = p.b)""",
+    "nodes": """nodes AS (SELECT c_custkey AS node_id, (c_custkey % 14) * 20 - 130 AS x, CAST(c_custkey // 14 AS BIGINT) * 20 - 130 AS y FROM customer)""",
+    "edges": """edges AS (SELECT p.a * 4 + p.n AS edge_id, p.a, p.b, n.x AS ax, n.y AS ay, m.x AS tx, m.y AS ty FROM (
+  SELECT node_id AS a, node_id + 1 AS b, 0 AS n FROM nodes WHERE node_id % 14 < 13 UNION ALL SELECT node_id, node_id + 14, 1 FROM nodes
+  UNION ALL SELECT node_id, node_id - 1, 2 FROM nodes WHERE node_id % 3 = 0 AND node_id % 14 > 0) p JOIN nodes n ON n.node_id = p.a JOIN nodes m ON m.node_id = p.b)""",
     "runs": """runs AS (SELECT l_suppkey AS trajectory_id, CASE l_returnflag WHEN 'A' THEN 'dead_reckoning' WHEN 'N' THEN 'kalman' ELSE 'road_pf' END AS estimator,
   CASE l_linestatus WHEN 'F' THEN 'A_perimeter_only' ELSE 'C_sidechannel' END AS condition, CAST(l_linenumber AS BIGINT) AS seed, l_extendedprice / 1000 AS rmse,
   l_quantity AS gap, l_discount AS level, l_orderkey, l_partkey FROM lineitem)""",

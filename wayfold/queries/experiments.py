@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..operators import ranks as R
 from ..operators import resampling as B
-from ..operators.graph import durable
+from ..operators.store import durable
 from .base import query, runs
 
 EPS = 1e-9
@@ -125,13 +125,16 @@ def pairs(s, d):
     return p.filter("a IS NOT NULL AND c IS NOT NULL").withColumn("delta", F.col("a") - F.col("c"))
 
 
-@query("paired_delta", f"WITH k AS (SELECT trajectory_id, estimator, condition, seed, avg(rmse) AS rmse FROM runs GROUP BY 1, 2, 3, 4), d AS (SELECT a.trajectory_id, a.estimator, a.rmse - c.rmse AS delta FROM k a JOIN k c USING (trajectory_id, estimator, seed) WHERE a.condition = 'A_perimeter_only' AND c.condition = 'C_sidechannel') SELECT trajectory_id, estimator, count(*) AS n_pairs, {q('avg(delta)', 'delta')}, {q('min(delta)', 'least')}, {q('max(delta)', 'most')} FROM d GROUP BY 1, 2", "runs")
+@query("paired_delta", f"""WITH k AS (SELECT trajectory_id, estimator, condition, seed, avg(rmse) AS rmse FROM runs GROUP BY 1, 2, 3, 4), d AS (SELECT a.trajectory_id, a.estimator, c.rmse - a.rmse AS delta FROM k a JOIN k c USING (trajectory_id, estimator, seed) WHERE a.condition = 'A_perimeter_only' AND c.condition = 'C_sidechannel'),
+t AS (SELECT trajectory_id, estimator, avg(delta) AS delta, count(*) AS k FROM d GROUP BY 1, 2), {interval_sql('t', 'estimator', 'trajectory_id', 'delta', B.RESAMPLES)}, g AS (SELECT estimator, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_pairs, {q('avg(delta)', 'delta')}, {q('min(delta)', 'least')}, {q('max(delta)', 'most')} FROM t GROUP BY 1) SELECT g.*, lo, hi FROM g JOIN ci USING (estimator)""", "runs")
 def _(s, d):
-    """Both conditions paired on trajectory and seed, then the mean difference of each trajectory: two aggregates, no join."""
+    """Both conditions paired on trajectory and seed, the mean difference of each trajectory, and the interval of its mean over
+    trajectories: two aggregates and a bootstrap, no join of rows."""
     side = lambda k: F.avg(F.when(F.col("condition") == k, F.col("rmse")))
     p = runs(s, d).groupBy("trajectory_id", "estimator", "seed").agg(side("A_perimeter_only").alias("a"), side("C_sidechannel").alias("c")).filter("a IS NOT NULL AND c IS NOT NULL")
-    x = F.col("a") - F.col("c")
-    return p.groupBy("trajectory_id", "estimator").agg(F.count("*").alias("n_pairs"), r(F.avg(x), "delta"), r(F.min(x), "least"), r(F.max(x), "most"))
+    t = durable(p.groupBy("trajectory_id", "estimator").agg(F.avg(F.col("c") - F.col("a")).alias("delta"), F.count("*").alias("k")))
+    g = t.groupBy("estimator").agg(F.count("*").alias("n"), F.sum("k").alias("n_pairs"), r(F.avg("delta"), "delta"), r(F.min("delta"), "least"), r(F.max("delta"), "most"))
+    return B.beside(g, B.mean_interval(t, ["estimator"], "trajectory_id", "delta").select("estimator", r("lo", "lo"), r("hi", "hi")), ["estimator"])
 
 
 @query("sweep_summary", f"WITH g AS (SELECT estimator, nullif(level, 0.05) AS level, count(*) AS n, avg(rmse) AS m FROM runs GROUP BY 1, 2), e AS (SELECT estimator, nullif(level, 0.05) AS level, avg(gap) AS gap FROM runs WHERE condition = 'C_sidechannel' AND level < 0.08 GROUP BY 1, 2) SELECT g.estimator, g.level, g.n, {q('g.m', 'mean')}, {q('e.gap', 'gap')} FROM g LEFT JOIN e ON e.estimator = g.estimator AND e.level IS NOT DISTINCT FROM g.level", "runs")
@@ -288,10 +291,27 @@ def _(s, d):
     return g.select("estimator", "trajectory_id", "condition", seed.alias("seed"))
 
 
-@query("consistency_check", "SELECT trajectory_id, count(DISTINCT estimator) AS n_est, count(DISTINCT condition) AS n_cond, count(DISTINCT seed) AS n_seed, count(*) AS n FROM runs GROUP BY 1", "runs")
+@query("consistency_check", """WITH c AS (SELECT condition, trajectory_id, seed, count(DISTINCT estimator) AS n_est, count(DISTINCT l_partkey % 3) AS a, count(DISTINCT level) AS b FROM runs GROUP BY 1, 2, 3),
+t AS (SELECT trajectory_id, count(DISTINCT CASE WHEN gap < 10 THEN 0 WHEN gap < 30 THEN 1 ELSE 2 END) AS k FROM runs GROUP BY 1), n AS (SELECT count(DISTINCT estimator) AS n FROM runs)
+SELECT count(*) AS n_cells, count(*) FILTER (n_est <> n.n) AS n_missing, count(*) FILTER (a > 1) AS n_part_differs, count(*) FILTER (b > 1) AS n_level_differs, (SELECT count(*) FROM t WHERE k > 1) AS n_unstable FROM c, n""", "runs")
 def _(s, d):
-    g = runs(s, d).groupBy("trajectory_id")
-    return g.agg(*[F.count_distinct(c).alias(n) for c, n in (("estimator", "n_est"), ("condition", "n_cond"), ("seed", "n_seed"))], F.count("*").alias("n"))
+    """Cells (condition, trajectory, seed) in all, without one of the estimators, and with disagreeing columns; trajectories in
+    more than one stratum."""
+    x = runs(s, d)
+    n = x.agg(F.count_distinct("estimator").alias("all"))  # one row
+    c = x.groupBy("condition", "trajectory_id", "seed").agg(F.count_distinct("estimator").alias("n_est"), F.count_distinct(F.col("l_partkey") % 3).alias("a"), F.count_distinct("level").alias("b"))
+    cells_ = c.crossJoin(F.broadcast(n)).agg(F.count("*").alias("n_cells"), F.count_if(F.col("n_est") != F.col("all")).alias("n_missing"), F.count_if(F.col("a") > 1).alias("n_part_differs"), F.count_if(F.col("b") > 1).alias("n_level_differs"))
+    t = x.groupBy("trajectory_id").agg(F.count_distinct(stratum()).alias("k")).agg(F.count_if(F.col("k") > 1).alias("n_unstable"))
+    return cells_.crossJoin(F.broadcast(t))  # one row by one row
+
+
+@query("missing_cells", "WITH e AS (SELECT DISTINCT estimator FROM runs), c AS (SELECT DISTINCT condition, trajectory_id, seed FROM runs) SELECT c.*, e.estimator FROM c, e WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.condition = c.condition AND r.trajectory_id = c.trajectory_id AND r.seed = c.seed AND r.estimator = e.estimator)", "runs")
+def _(s, d):
+    """Cells that lack an estimator, with its name: what each cell has against the list of all, no join of rows."""
+    x = runs(s, d)
+    names = x.agg(F.collect_set("estimator").alias("all"))  # the experiments' estimators, a short list
+    c = x.groupBy("condition", "trajectory_id", "seed").agg(F.collect_set("estimator").alias("has"))
+    return c.crossJoin(F.broadcast(names)).select("condition", "trajectory_id", "seed", F.explode(F.array_except("all", "has")).alias("estimator"))
 
 
 @query("rank_exemplars", f"WITH {CELLS}, k AS (SELECT *, row_number() OVER (PARTITION BY estimator, condition ORDER BY gap, trajectory_id) - 1 AS i, count(*) OVER (PARTITION BY estimator, condition) AS n FROM cells) SELECT estimator, condition, i AS rk, trajectory_id FROM k WHERE i IN (n // 6, n // 2, n - 1 - n // 6)", "runs")
@@ -302,10 +322,12 @@ def _(s, d):
     return k.filter("rk IN (n div 6, n div 2, n - 1 - n div 6)").select("estimator", "condition", "rk", "trajectory_id")
 
 
-@query("union_conditions", "SELECT condition AS kind, count(*) AS n FROM (SELECT condition FROM runs UNION ALL SELECT estimator FROM runs) GROUP BY 1", "runs")
+@query("union_conditions", "SELECT trajectory_id, seed, condition AS kind, rmse, NULL::DOUBLE AS gap FROM runs WHERE condition = 'A_perimeter_only' UNION ALL SELECT trajectory_id, seed, condition, NULL, gap FROM runs WHERE condition <> 'A_perimeter_only'", "runs")
 def _(s, d):
-    x = runs(s, d)
-    return x.select(F.col("condition").alias("kind")).unionByName(x.select(F.col("estimator").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    """One table under another, the columns that either lacks as nulls."""
+    x = runs(s, d).withColumn("kind", F.col("condition"))
+    a = x.filter("condition = 'A_perimeter_only'").select("trajectory_id", "seed", "kind", "rmse")
+    return a.unionByName(x.filter("condition <> 'A_perimeter_only'").select("trajectory_id", "seed", "kind", "gap"), allowMissingColumns=True).select("trajectory_id", "seed", "kind", "rmse", "gap")
 
 
 @query("distinct_points", "SELECT DISTINCT level, gap FROM runs", "runs")
@@ -330,9 +352,13 @@ def _(s, d):
     return x.filter(near).select("l_orderkey", "seed", "level").unionByName(ref)
 
 
-@query("mv_summary", f"SELECT seed, condition, {q('avg(rmse)', 'mean')}, {q('sqrt(avg(rmse * rmse))', 'rms')} FROM runs GROUP BY 1, 2", "runs")
+@query("mv_summary", f"SELECT seed, estimator, condition, count(*) AS n, {q('avg(rmse)', 'mean')}, {q('sqrt(avg(rmse * rmse))', 'rms')}, {q('avg(v)', 'nan_mean')}, {q('quantile_cont(v, 0.5)', 'nan_median')} FROM (SELECT *, CASE WHEN l_orderkey % 5 <> 0 THEN gap END AS v FROM runs) GROUP BY 1, 2, 3", "runs")
 def _(s, d):
-    return runs(s, d).groupBy("seed", "condition").agg(r(F.avg("rmse"), "mean"), r(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))), "rms"))
+    """Per number of vehicles (here the seed), estimator and condition; mean and median leave NaN out (every fifth order here)."""
+    keys = ["seed", "estimator", "condition"]
+    x = durable(runs(s, d).withColumn("v", F.when(F.col("l_orderkey") % 5 == 0, float("nan")).otherwise(F.col("gap"))))
+    g = x.groupBy(*keys).agg(F.count("*").alias("n"), r(F.avg("rmse"), "mean"), r(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))), "rms"), r(nan_mean(F.col("v")), "nan_mean"))
+    return B.beside(g, R.quantiles(x, keys, "v", {"m": 0.5}).select(*keys, r("m", "nan_median")), keys)
 
 
 @query("bootstrap_ci", f"""WITH {CELLS}, {interval_sql('cells', 'estimator, condition', 'trajectory_id', 'rmse', B.RESAMPLES)} SELECT estimator, condition, lo, hi FROM ci""", "runs")

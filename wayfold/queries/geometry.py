@@ -29,9 +29,11 @@ def near(s, d):
     return M.nearest_site(points(s, d), sensors(s, d).filter("role = 'interior'"))
 
 
-@query("nearest_sensor", "SELECT traj_id, step, sensor_id, d2 FROM near", NEAR)
+@query("nearest_sensor", "SELECT traj_id, step, near.sensor_id, s.x AS sx, s.y AS sy, d2 FROM near JOIN sensors s USING (sensor_id)", NEAR)
 def _(s, d):
-    return near(s, d).select("traj_id", "step", "sensor_id", F.col("d2").cast("bigint").alias("d2"))
+    """The nearest sensor with its position and the squared distance."""
+    at = sensors(s, d).select("sensor_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    return near(s, d).join(at, "sensor_id").select("traj_id", "step", "sensor_id", "sx", "sy", F.col("d2").cast("bigint").alias("d2"))
 
 
 SEEN = """inside AS (SELECT *, (d2 <= 625) AS ok FROM near), cg AS (SELECT *, CASE WHEN lag(ok) OVER w IS NOT DISTINCT FROM ok AND lag(sensor_id) OVER w IS NOT DISTINCT FROM sensor_id THEN 0 ELSE 1 END AS c FROM inside WINDOW w AS (PARTITION BY traj_id ORDER BY step)),

@@ -34,10 +34,10 @@ def _(s, d):
     return crossings(s, d).select("region", "edge_id", "inward", "cx", "cy")
 
 
-@query("out_degree", "WITH u AS (SELECT a AS n, b AS o, 1 AS k FROM edges UNION ALL SELECT b, a, 0 FROM edges) SELECT n.node_id, CAST(coalesce(sum(k), 0) AS BIGINT) AS out_degree, CAST(coalesce(sum(1 - k), 0) AS BIGINT) AS in_degree, coalesce(string_agg(DISTINCT lpad(o::VARCHAR, 3, '0'), ',' ORDER BY lpad(o::VARCHAR, 3, '0')), '') AS neighbours FROM nodes n LEFT JOIN u ON u.n = n.node_id GROUP BY 1", "nodes edges")
+@query("out_degree", "WITH u AS (SELECT a AS n, b AS o, 1 AS k FROM edges UNION ALL SELECT b, a, 0 FROM edges) SELECT n.node_id, CAST(coalesce(sum(k), 0) AS BIGINT) AS out_degree, CAST(coalesce(sum(1 - k), 0) AS BIGINT) AS in_degree, coalesce(string_agg(DISTINCT lpad(o::VARCHAR, 9, '0'), ',' ORDER BY lpad(o::VARCHAR, 9, '0')), '') AS neighbours FROM nodes n LEFT JOIN u ON u.n = n.node_id GROUP BY 1", "nodes edges")
 def _(s, d):
     g = nodes(s, d).select("node_id").join(G.degrees(edges(s, d)), "node_id", "left").fillna(0, ["out_degree", "in_degree"])
-    names = F.transform("neighbours", lambda x: F.lpad(x.cast("string"), 3, "0"))
+    names = F.transform("neighbours", lambda x: F.lpad(x.cast("string"), 9, "0"))
     return g.select("node_id", "out_degree", "in_degree", F.coalesce(F.array_join(names, ","), F.lit("")).alias("neighbours"))
 
 
@@ -109,6 +109,20 @@ def _(s, d):
     return G.reach(edges(s, d), src, 6).select("source", "node_id", r("distance", "distance"), "hops")
 
 
+@query("shortest_paths", f"""WITH RECURSIVE src AS (SELECT DISTINCT a AS node FROM crossings WHERE region = 0 AND inward), dst AS (SELECT DISTINCT b AS node FROM crossings WHERE region = 2 AND NOT inward),
+w AS (SELECT node AS source, node AS node_id, 0 AS h FROM src UNION SELECT w.source, e.b, w.h + 1 FROM w JOIN edges e ON e.a = w.node_id WHERE w.h < (SELECT count(*) // 14 + 40 FROM nodes)),
+far AS (SELECT source, node_id, min(h) * 20.0::DOUBLE AS d FROM w GROUP BY 1, 2), pre AS (SELECT a.source, e.b, min(e.edge_id) AS edge_id FROM edges e JOIN far a ON a.node_id = e.a JOIN far b ON b.source = a.source AND b.node_id = e.b WHERE a.d + 20 = b.d AND b.d > 0 GROUP BY 1, 2),
+p AS (SELECT f.source, f.node_id AS target, f.node_id AS at, CAST(NULL AS BIGINT) AS edge_id, f.d, 0 AS k FROM far f JOIN dst ON dst.node = f.node_id WHERE f.node_id <> f.source UNION ALL
+  SELECT p.source, p.target, e.a, pre.edge_id, far.d, p.k + 1 FROM p JOIN pre ON pre.source = p.source AND pre.b = p.at JOIN edges e ON e.edge_id = pre.edge_id JOIN far ON far.source = p.source AND far.node_id = p.at)
+SELECT source, target, max(k) OVER (PARTITION BY source, target) - k AS seq, edge_id, {q('d', 'distance')} FROM p WHERE edge_id IS NOT NULL""", "nodes edges regions crossings")
+def _(s, d):
+    """Edges of the shortest ways from where one region is entered to where another is left, over any number of edges."""
+    c = crossings(s, d)
+    src = c.filter("region = 0 and inward").select(F.col("a").alias("node_id")).distinct()
+    dst = c.filter("region = 2 and not inward").select(F.col("b").alias("node_id")).distinct()
+    return G.shortest_paths(edges(s, d), src, dst).select("source", "target", "seq", "edge_id", r("distance", "distance"))
+
+
 @query("route_topology", f"""WITH rt AS (SELECT CAST(a // 14 AS BIGINT) AS route_id, edge_id, b, {LEN} AS len FROM edges WHERE b = a + 1), o AS (SELECT a, count(*) AS ways FROM edges GROUP BY 1), j AS (SELECT rt.*, coalesce(ways, 0) AS ways FROM rt LEFT JOIN o ON o.a = rt.b)
 SELECT route_id, count(*) AS n_edges, count(*) FILTER (ways > 1) AS n_junctions, {q('avg(ways)', 'mean_branch')}, max(ways) AS max_branch, {q('count(*) FILTER (ways > 1) / greatest(sum(len) / 1000, 1e-6)', 'junctions_per_km')} FROM j GROUP BY 1""", "nodes edges")
 def _(s, d):

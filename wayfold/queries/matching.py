@@ -102,34 +102,59 @@ def scores(df):
     return df.withColumns({"precision": r(S.safe_ratio(tp, tp + fp), "x"), "recall": r(S.safe_ratio(tp, tp + fn), "x"), "f1": r(S.safe_ratio(2 * tp, 2 * tp + fp + fn), "x")})
 
 
-@query("confusion_metrics", f"WITH c AS (SELECT seq_id, {COUNTS} FROM (SELECT *, prob >= 0.5 AS on_ FROM packets) GROUP BY 1) SELECT *, {SCORES} FROM c", "packets")
-def _(s, d):
-    return scores(counts(packets(s, d), "seq_id"))
-
+#: What keeps denominators off zero. The recurrent labeller and the packet baseline add theirs, the event level
+#: gives 0 for an empty denominator.
+EPSILONS = {"labeller": 1e-8, "baseline": 1e-12}
 
 
+def with_epsilon(df, eps: float, name: str):
+    """Precision, recall, f1 of the two, and accuracy, each denominator grown by ``eps``."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    p, rec = tp / (tp + fp + eps), tp / (tp + fn + eps)
+    return df.withColumns({f"{name}_precision": r(p, "x"), f"{name}_recall": r(rec, "x"), f"{name}_f1": r(2 * p * rec / (p + rec + eps), "x"), f"{name}_accuracy": r((tp + tn) / (tp + fp + fn + tn + eps), "x")})
 
 
+def epsilon_sql(eps: float, name: str) -> str:
+    p, rec = f"(tp / (tp + fp + {eps}::DOUBLE))", f"(tp / (tp + fn + {eps}::DOUBLE))"
+    return ", ".join([q(p, f"{name}_precision"), q(rec, f"{name}_recall"), q(f"2 * {p} * {rec} / ({p} + {rec} + {eps}::DOUBLE)", f"{name}_f1"), q(f"(tp + tn) / (tp + fp + fn + tn + {eps}::DOUBLE)", f"{name}_accuracy")])
 
 
+@query("confusion_metrics", f"WITH c AS (SELECT seq_id, {COUNTS} FROM (SELECT *, prob >= 0.5 AS on_ FROM packets) GROUP BY 1) SELECT *, {SCORES}, {', '.join(epsilon_sql(e, n) for n, e in EPSILONS.items())} FROM c", "packets")
+def _(s, d):
+    """All three conventions for empty denominators."""
+    out = scores(counts(packets(s, d), "seq_id"))
+    for name, eps in EPSILONS.items():
+        out = with_epsilon(out, eps, name)
+    return out
 
 
-@query("stride_sample", "SELECT seq_id, row_idx, frame_len FROM packets WHERE (row_idx - 1) % 5 = 0", "packets")
+@query("stride_sample", "SELECT seq_id, row_idx, frame_len, value FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY value IS NOT NULL, value, row_idx) AS k FROM (SELECT *, CASE WHEN event_id % 9 <> 0 THEN prob END AS value FROM packets)) WHERE (k - 1) % 5 = 0", "packets")
 def _(s, d):
-    return packets(s, d).filter("(row_idx - 1) % 5 = 0").select("seq_id", "row_idx", "frame_len")
+    """Every fifth row by value, those without one (null or NaN) first."""
+    v = F.when(F.col("event_id") % 18 == 0, float("nan")).when(F.col("event_id") % 9 != 0, F.col("prob"))
+    p = packets(s, d).withColumn("value", F.nanvl(v, F.lit(None).cast("double")))
+    w = Window.partitionBy("seq_id").orderBy(F.col("value").asc_nulls_first(), "row_idx")
+    return p.withColumn("k", F.row_number().over(w)).filter("(k - 1) % 5 = 0").select("seq_id", "row_idx", "frame_len", "value")
 
 
-@query("event_order", "SELECT seq_id, event_id, row_number() OVER (PARTITION BY seq_id ORDER BY prob DESC, t_us, event_id) AS rk FROM packets", "packets")
+@query("event_order", "SELECT seq_id, event_id, row_number() OVER (PARTITION BY seq_id ORDER BY t_us, NOT marker, event_id) AS rk, row_number() OVER (PARTITION BY seq_id, t_us // 86400000000 ORDER BY NOT marker, t_us, event_id) AS bin_rk FROM packets", "packets")
 def _(s, d):
-    w = Window.partitionBy("seq_id").orderBy(F.desc("prob"), "t_us", "event_id")
-    return packets(s, d).select("seq_id", "event_id", F.row_number().over(w).cast("bigint").alias("rk"))
+    """Two orders: the stream's (time, perimeter events first among equals), and within a step (perimeter first, then time)."""
+    late = (~F.col("marker")).cast("int")
+    stream = Window.partitionBy("seq_id").orderBy("t_us", late, "event_id")
+    step = Window.partitionBy("seq_id", F.expr("t_us div 86400000000")).orderBy(late, "t_us", "event_id")
+    return packets(s, d).select("seq_id", "event_id", F.row_number().over(stream).cast("bigint").alias("rk"), F.row_number().over(step).cast("bigint").alias("bin_rk"))
 
 
-@query("lag_vote", "SELECT seq_id, row_idx, (marker::INT + coalesce(lag(marker::INT) OVER w, 0) + coalesce(lag(marker::INT, 2) OVER w, 0)) >= 2 AS vote FROM packets WINDOW w AS (PARTITION BY seq_id ORDER BY row_idx)", "packets")
+@query("lag_vote", """WITH v AS (SELECT seq_id % 11 AS camera, seq_id, CAST((max(row_idx) FILTER (marker) - min(row_idx) FILTER (gt)) % 41 AS BIGINT) AS lag FROM packets GROUP BY 1, 2),
+k AS (SELECT camera, seq_id, CASE WHEN lag > 0 THEN lag END AS lag FROM v)
+SELECT camera, count(lag) AS n_votes, CAST(CASE WHEN count(lag) >= 2 THEN trunc(quantile_cont(lag, 0.5)) ELSE 0 END AS BIGINT) AS lag FROM k GROUP BY 1""", "packets")
 def _(s, d):
-    w, m = Q.over(K, O), F.col("marker").cast("int")
-    return packets(s, d).select("seq_id", "row_idx", ((m + F.lag(m, 1, 0).over(w) + F.lag(m, 2, 0).over(w)) >= 2).alias("vote"))
-
+    """Lag of a camera: the median (cut to a whole number) of the positive lags of its runs if there are two at least, else 0."""
+    lag = (F.max(F.when(F.col("marker"), F.col("row_idx"))) - F.min(F.when(F.col("gt"), F.col("row_idx")))) % 41
+    runs = packets(s, d).groupBy((F.col("seq_id") % 11).alias("camera"), "seq_id").agg(lag.alias("lag"))
+    vote = F.when(F.col("lag") > 0, F.col("lag"))
+    return runs.groupBy("camera").agg(F.count(vote).alias("n_votes"), F.when(F.count(vote) >= 2, F.percentile(vote, 0.5)).otherwise(0).cast("bigint").alias("lag"))
 
 
 @query("camera_filter", "SELECT DISTINCT concat('2026_01_01_00_00_00_', seq_id, '_camera_', seq_id % 11, '_x') AS stem FROM packets WHERE seq_id % 11 IN (2, 5, 7) AND seq_id % 11 NOT IN (5, 9)", "packets")
@@ -147,8 +172,19 @@ def _(s, d):
     return x.select(F.split_part("stem", F.lit("_camera_"), F.lit(1)).alias("run"), F.regexp_extract("stem", r"_camera_(\d+)", 1).cast("bigint").alias("camera"))
 
 
-@query("lookup_join_last_wins", "WITH l AS (SELECT seq_id % 11 AS camera, arg_max(event_id, {'t': t_us, 'e': event_id}) AS last_event FROM packets GROUP BY 1) SELECT p.event_id, l.last_event FROM packets p JOIN l ON l.camera = p.seq_id % 11 WHERE p.marker", "packets")
+NAME = "'run_' || (seq_id // 11) || '_camera_' || (seq_id % 11) || '.csv'"
+
+
+@query("lookup_join_last_wins", f"""WITH t AS (SELECT regexp_extract({NAME}, '(run_[0-9]+_camera_[0-9]+)', 1) AS key, event_id, t_us FROM packets WHERE seq_id % 3 <> 0 AND event_id % 4 = 0), l AS (SELECT key, arg_max(event_id, {{'t': t_us, 'e': event_id}}) AS last_event FROM t GROUP BY 1),
+c AS (SELECT {NAME} AS name, regexp_extract({NAME}, '(run_[0-9]+_camera_[0-9]+)', 1) AS key, count(*) AS n FROM packets GROUP BY 1, 2)
+SELECT c.name, c.n, l.last_event, CAST(count(*) FILTER (l.key IS NULL) OVER () AS BIGINT) AS n_missed FROM c LEFT JOIN l USING (key)""", "packets")
 def _(s, d):
-    p = packets(s, d).withColumn("camera", F.col("seq_id") % 11)
-    last = p.groupBy("camera").agg(F.max_by("event_id", F.struct("t_us", "event_id")).alias("last_event"))
-    return p.filter("marker").join(last, "camera").select("event_id", "last_event")
+    """Truth by the key parsed from a file's name, the last of equal keys wins; files without truth stay and are counted."""
+    p = packets(s, d)
+    i = F.col("seq_id")
+    name = F.concat(F.lit("run_"), F.floor(i / 11), F.lit("_camera_"), i % 11, F.lit(".csv"))
+    key = F.regexp_extract("name", "(run_[0-9]+_camera_[0-9]+)", 1)
+    truth = p.filter("seq_id % 3 <> 0 and event_id % 4 = 0").withColumn("name", name).groupBy(key.alias("key")).agg(F.max_by("event_id", F.struct("t_us", "event_id")).alias("last_event"))
+    files = p.groupBy(name.alias("name")).agg(F.count("*").alias("n")).withColumn("key", key)
+    missed = files.join(truth, "key", "left_anti").agg(F.count("*").alias("n_missed"))  # one row
+    return files.join(truth, "key", "left").crossJoin(F.broadcast(missed)).select("name", "n", "last_event", "n_missed")

@@ -26,14 +26,24 @@ def _(s, d):
     return clean.na.drop(subset=["t_us", "size"]).select("seq_id", "row_idx", "t_us", "frame_len")
 
 
-@query("stream_diagnostics", "SELECT seq_id, count(*) AS n, CAST(sum(marker::INT) AS BIGINT) AS n_markers, count(DISTINCT t_us // 3600000000) AS n_hours FROM packets GROUP BY 1", "packets")
+#: A capture made of packets: the source number, and the media time (90 kHz ticks of the packet's day).
+RTP = "rtp AS (SELECT seq_id % 7 AS ssrc, (t_us // 86400000000) * 3000 % 4294967296 AS media_time, marker, t_us FROM packets)"
+
+
+def rtp(s, d):
+    return packets(s, d).select((F.col("seq_id") % 7).alias("ssrc"), F.expr("(t_us div 86400000000) * 3000 % 4294967296").alias("media_time"), "marker", "t_us")
+
+
+@query("stream_diagnostics", f"WITH {RTP} SELECT ssrc, count(*) AS n, CAST(sum(marker::INT) AS BIGINT) AS n_markers, count(DISTINCT media_time) AS n_times FROM rtp GROUP BY 1", "packets")
 def _(s, d):
-    return packets(s, d).groupBy("seq_id").agg(F.count("*").alias("n"), F.count_if("marker").alias("n_markers"), F.count_distinct(F.expr("t_us div 3600000000")).alias("n_hours"))
+    """Packets, markers and distinct media times of each source."""
+    return rtp(s, d).groupBy("ssrc").agg(F.count("*").alias("n"), F.count_if("marker").alias("n_markers"), F.count_distinct("media_time").alias("n_times"))
 
 
-@query("topk_markers", "SELECT t_us // 86400000000 AS day, count(*) AS n FROM packets WHERE marker GROUP BY 1 ORDER BY n DESC, day LIMIT 10", "packets")
+@query("topk_markers", f"WITH {RTP} SELECT media_time, count(*) AS n FROM rtp WHERE marker GROUP BY 1 ORDER BY n DESC, media_time LIMIT 10", "packets")
 def _(s, d):
-    return packets(s, d).filter("marker").groupBy(F.expr("t_us div 86400000000").alias("day")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "day").limit(10)
+    """Media times with the most markers, the earlier of equals first: a top-k report."""
+    return rtp(s, d).filter("marker").groupBy("media_time").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "media_time").limit(10)
 
 
 @query("drop_leading_surplus", "WITH c AS (SELECT *, count(*) OVER (PARTITION BY seq_id) AS n, sum(gt::INT) OVER (PARTITION BY seq_id) AS m FROM packets) SELECT seq_id, row_idx, frame_len FROM c WHERE row_idx > n - m", "packets")

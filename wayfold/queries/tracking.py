@@ -226,16 +226,28 @@ def _(s, d):
     return g.select("traj_id", "seed", "number", "sensor_id", F.floor(F.col("t_us") / 1000 + 0.5).cast("bigint").alias("t_ms"))
 
 
-@query("condition_streams", """WITH a AS (SELECT traj_id, t_us, kind, sensor_id FROM perimeter), b AS (SELECT v.traj_id, v.t_us, 'passage' AS kind, v.sensor_id FROM visits v JOIN (SELECT DISTINCT traj_id FROM perimeter) USING (traj_id)), c AS (SELECT k.traj_id, k.t_us, 'passage' AS kind, k.sensor_id FROM kept k JOIN (SELECT DISTINCT traj_id FROM perimeter) USING (traj_id) WHERE seed = 0)
-SELECT 'A_perimeter_only' AS condition, * FROM a UNION ALL SELECT 'B_oracle_interior', * FROM a UNION ALL SELECT 'B_oracle_interior', * FROM b UNION ALL SELECT 'C_sidechannel', * FROM a UNION ALL SELECT 'C_sidechannel', * FROM c""", f"{PERIMETER} kept")
+JITTERED = f"CAST(floor(greatest(t0, least(t1, t_us + 1e6 * ({BIAS} + {JITTER} * {normal_sql('traj_id', 'sensor_id', 'step', 'seed', chr(39) + 'jitter' + chr(39))}))) / 1000 + 0.5::DOUBLE) AS BIGINT)"
+
+
+@query("condition_streams", f"""WITH a AS (SELECT traj_id, t_us // 1000 AS t_ms, kind, sensor_id FROM perimeter), tracked AS (SELECT DISTINCT traj_id FROM perimeter), b AS (SELECT v.traj_id, v.t_us // 1000 AS t_ms, 'passage' AS kind, v.sensor_id FROM visits v JOIN tracked USING (traj_id)),
+c AS (SELECT seed, traj_id, {JITTERED} AS t_ms, 'passage' AS kind, sensor_id FROM kept JOIN tracked USING (traj_id) UNION ALL SELECT seed, traj_id, CAST(floor(t / 1000 + 0.5::DOUBLE) AS BIGINT), 'ghost', sensor_id FROM ghosts JOIN tracked USING (traj_id))
+SELECT 'A_perimeter_only' AS condition, NULL::BIGINT AS seed, * FROM a UNION ALL SELECT 'B_oracle_interior', NULL, * FROM a UNION ALL SELECT 'B_oracle_interior', NULL, * FROM b
+UNION ALL SELECT 'C_sidechannel', k.seed, a.* FROM a, (SELECT CAST(unnest(range({SEEDS})) AS BIGINT) AS seed) k UNION ALL SELECT 'C_sidechannel', * FROM c""", f"{PERIMETER} kept ghosts")
 def _(s, d):
-    """Streams of the three conditions; C here with losses only, of the first seed."""
-    cols = ["traj_id", "t_us", "kind", "sensor_id"]
-    a = perimeter(s, d).select(*cols)
+    """Streams of the three conditions. C in full and for every seed: passages lost and their times moved, ghosts added."""
+    a = perimeter(s, d).select(F.lit(None).cast("bigint").alias("seed"), "traj_id", F.expr("t_us div 1000").alias("t_ms"), "kind", "sensor_id")
     tracked = a.select("traj_id").distinct()
-    passage = lambda df: df.join(tracked, "traj_id", "left_semi").withColumn("kind", F.lit("passage")).select(*cols)
-    c = X.drop_events(oracle(s, d).filter("seed = 0"), observation(), overrides(s, d))
-    return X.condition_streams(a, passage(visits(s, d)), passage(c))
+    ms = F.floor(F.col("t_us") / 1000 + 0.5).cast("bigint")
+
+    def stream(df, kind: str, time=ms):
+        seed = F.col("seed") if "seed" in df.columns else F.lit(None).cast("bigint")
+        return df.join(tracked, "traj_id", "left_semi").select(seed.alias("seed"), "traj_id", time.alias("t_ms"), F.lit(kind).alias("kind"), "sensor_id")
+
+    o = oracle(s, d)
+    lost = X.jitter_events(X.drop_events(o, observation(), overrides(s, d)), observation())
+    ghosts = X.ghost_events(o, sensors(s, d).filter("role = 'interior'"), observation())
+    each = a.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1)).cast("array<bigint>"))).select(*a.columns)
+    return X.condition_streams(a, stream(visits(s, d), "passage", F.expr("t_us div 1000")), each.unionByName(stream(lost, "passage")).unionByName(stream(ghosts, "ghost")))
 
 
 @query("bin_events", "WITH m AS (SELECT seq_id, max(t_s) AS last FROM packets GROUP BY 1) SELECT seq_id, bin, count(*) AS n FROM (SELECT p.seq_id, CAST(greatest(0, least(floor(m.last / 3600 * 0.9::DOUBLE), round_even(p.t_s / 3600.0::DOUBLE, 0))) AS BIGINT) AS bin FROM packets p JOIN m USING (seq_id)) GROUP BY 1, 2", "packets")
@@ -354,7 +366,7 @@ def _(s, d):
     return PF.weighed(swarm(s, d), ["cloud"], F.col("cloud"), -F.col("cloud"), 2.5).select("cloud", "vec_id", r("lw", "lw"))
 
 
-@query("systematic_resample", f"""WITH {WEIGHED}, c AS (SELECT *, count(*) OVER (PARTITION BY cloud) AS n, {uni("'7'", 'cloud')} AS u, CASE WHEN lead(vec_id) OVER w IS NULL THEN 1.0 ELSE least(sum(exp(lw)) OVER w, 1.0) END AS h FROM weighed WINDOW w AS (PARTITION BY cloud ORDER BY vec_id)),
+@query("particle_resample", f"""WITH {WEIGHED}, c AS (SELECT *, count(*) OVER (PARTITION BY cloud) AS n, {uni("'7'", 'cloud')} AS u, CASE WHEN lead(vec_id) OVER w IS NULL THEN 1.0 ELSE least(sum(exp(lw)) OVER w, 1.0) END AS h FROM weighed WINDOW w AS (PARTITION BY cloud ORDER BY vec_id)),
 p AS (SELECT *, coalesce(lag(h) OVER (PARTITION BY cloud ORDER BY vec_id), 0) AS lo FROM c)
 SELECT cloud, vec_id, k AS copies FROM (SELECT *, CAST(greatest(0, ceil(round(h * n - u, 9))) - greatest(0, ceil(round(lo * n - u, 9))) AS BIGINT) AS k FROM p) WHERE k > 0""", "swarm")
 def _(s, d):
