@@ -4,7 +4,9 @@ import itertools
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from wayfold.operators import assignment as A
 from wayfold.operators import matching as M
 
 
@@ -42,8 +44,8 @@ def test_assignment_is_cheapest():
 
 def test_gate_drops_pairs(spark):
     x = spark.createDataFrame(pd.DataFrame({"k": [1, 1], "pi": [1, 2], "gi": [1, 1], "cost": [9.0, 5.0]}))
-    assert [(r.pi, r.gi) for r in M.gated_assignment(x, ["k"], 6.0).collect()] == [(2, 1)]
-    assert M.gated_assignment(x, ["k"], 5.0).count() == 0
+    assert [(r.pi, r.gi) for r in A.gated_assignment(x, ["k"], 6.0).collect()] == [(2, 1)]
+    assert A.gated_assignment(x, ["k"], 5.0).count() == 0
 
 
 def test_nearest_in_time_prefers_the_earlier(spark):
@@ -71,3 +73,25 @@ def test_nearest_site_equals_brute_force(spark):
         assert got == {i: (k, float(d)) for i, (d, k) in want.items()}
     none = spark.createDataFrame([], "sensor_id long, x long, y long")
     assert {r.sensor_id for r in M.nearest_site(spark.createDataFrame(pts, "id long, x long, y long"), none).collect()} == {None}
+
+
+def test_prices_prove_the_assignment(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, int(p), int(g), float(c)) for k, n, m in (("a", 9, 7), (None, 5, 8), ("c", 30, 30)) for p in range(n) for g in range(m) if (c := rng.integers(1, 60)) < 25]
+    rows += [("a", 100, 100, 3.0), ("a", 100, 100, 2.0), ("a", 101, 100, None)]  # a component of its own, a repeated pair
+    df = spark.createDataFrame(rows, "k string, pi bigint, gi bigint, cost double")
+    got = A.assigned(df, ["k"], 20.0).collect()
+    for key in ("a", None, "c"):
+        own = [r for r in rows if r[0] == key and r[3] is not None and r[3] < 20]
+        cost = np.full((102, 102), 1e6)
+        for _, p, g, c in own:
+            cost[p, g] = min(cost[p, g], c)
+        best = [(a, b) for a, b in M.assign(cost) if cost[a, b] < 1e6]
+        mine = [r for r in got if r.k == key and r.cost is not None]
+        assert len(mine) == len(best) and abs(sum(r.cost for r in mine) - sum(cost[a, b] for a, b in best)) < 1e-6
+    assert len({(r.k, r.component) for r in got}) >= 4
+    solution = spark.createDataFrame(got, A.assigned(df, ["k"], 20.0).schema)
+    assert {tuple(r)[1:] for r in A.certificate(df.fillna("x", ["k"]), solution.fillna("x", ["k"]), ["k"], 20.0).collect()} == {(0, 0, 0)}
+    worse = solution.fillna("x", ["k"]).withColumn("left_price", F.col("left_price") + 5)
+    assert all(r.n_uneven for r in A.certificate(df.fillna("x", ["k"]), worse, ["k"], 20.0).collect())
+    assert A.assigned(df.limit(0), ["k"], 20.0).count() == 0

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,7 +105,13 @@ def nearest_site(points: DataFrame, sites: DataFrame, per_cell: float = 4.0) ->
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Least-cost assignment of rows to columns (shortest augmenting paths); pairs in row order."""
+    """Least-cost assignment of rows to columns; pairs in row order."""
+    return solve(cost)[0]
+
+
+def solve(cost: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Least-cost assignment by shortest augmenting paths, with the prices of rows and columns: nowhere is their sum above the
+    cost, and in all they add up to the total."""
     flip = cost.shape[0] > cost.shape[1]
     c = cost.T if flip else cost
     n, m = c.shape
@@ -132,21 +137,7 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
             match[j0] = match[way[j0]]
             j0 = way[j0]
     pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return sorted((b, a) if flip else (a, b) for a, b in pairs)
-
-
-def gated_assignment(pairs: DataFrame, keys: Names, gate: float) -> DataFrame:
-    """Least total cost one-to-one assignment in each group of (pi, gi, cost); pairs at or beyond the gate are dropped."""
-
-    def solve(x: pd.DataFrame) -> pd.DataFrame:
-        grid = x.pivot_table(index="pi", columns="gi", values="cost", aggfunc="min")
-        cost = np.where(grid.to_numpy() < gate, grid.to_numpy(), 1e6)
-        cost = np.nan_to_num(cost, nan=1e6)
-        rows = [(*[x[k].iloc[0] for k in keys], grid.index[a], grid.columns[b], cost[a, b]) for a, b in assign(cost) if cost[a, b] < 1e6]
-        return pd.DataFrame(rows, columns=[*keys, "pi", "gi", "cost"])
-
-    cols = pairs.select(*keys, "pi", "gi", F.col("cost").cast("double").alias("cost"))
-    return cols.groupBy(*keys).applyInPandas(solve, cols.schema)
+    return sorted((b, a) if flip else (a, b) for a, b in pairs), *((v[1:], u[1:]) if flip else (u[1:], v[1:]))
 
 
 def last_wins(df: DataFrame, keys: Names, order: Names) -> DataFrame:

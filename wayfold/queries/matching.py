@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..operators import assignment as A
 from ..operators import matching as M
 from ..operators import sequences as Q
 from ..sources import camera_id, select_cameras
+from ..operators.store import durable
 from .base import packets, query
 from .experiments import q, r
 from .sequences import islands
@@ -80,12 +82,22 @@ def _(s, d):
     return candidates(s, d).select("seq_id", "pt", "gt_us")
 
 
-
+def costs(s, d):
+    return candidates(s, d).withColumn("cost", F.col("delta").cast("double"))
 
 
 @query("gated_assignment")
 def _(s, d):
-    return M.gated_assignment(candidates(s, d).withColumn("cost", F.col("delta").cast("double")), K, float(SIX_HOURS))
+    """Least total distance one-to-one; ``assignment_certificate`` proves it, as many solutions may be equally good."""
+    return A.gated_assignment(costs(s, d), K, float(SIX_HOURS))
+
+
+@query("assignment_certificate", f"SELECT DISTINCT a.seq_id, 0::BIGINT AS n_twice, 0::BIGINT AS n_cheaper, 0::BIGINT AS n_uneven FROM islands a JOIN gt_islands b ON a.seq_id = b.seq_id AND abs(a.start_us - b.start_us) < {SIX_HOURS}", BOTH)
+def _(s, d):
+    """No row used twice, no candidate below its prices, prices that add up to the cost: every group's solution is optimal."""
+    pairs = costs(s, d)
+    solution = durable(A.assigned(pairs, K, float(SIX_HOURS)))
+    return A.certificate(pairs, solution, K, float(SIX_HOURS), tolerance=1.0)
 
 
 COUNTS = ", ".join(f"CAST(sum(({e})::INT) AS BIGINT) AS {n}" for n, e in (("tp", "on_ AND gt"), ("fp", "on_ AND NOT gt"), ("fn", "NOT on_ AND gt"), ("tn", "NOT on_ AND NOT gt")))
