@@ -1,8 +1,9 @@
 """Streams of events: windows, sessions, passage events and tracks with watermarks and a stated policy for late rows.
 
 Each has a batch twin among the queries; over the same rows a stream gives the twin's rows for all windows that the
-watermark has closed. Rows later than the watermark are dropped by Spark. State is kept for each key and goes once the
-watermark passes it, so it is bounded by the keys active within the watermark, not by the stream.
+watermark has closed. Rows later than the watermark are dropped by Spark. State of windows, sessions and ``passages`` goes
+once the watermark passes it; ``tracks`` here knows no time and keeps one state a vehicle. ``streaming.ordered`` has both as
+stateful processors: rows in any order within the watermark, and state that expires with silence.
 """
 
 from __future__ import annotations
