@@ -157,13 +157,13 @@ def _(s, d):
     return summary(twice, ["stratum", "estimator"])
 
 
-FIRST = "first_ AS (SELECT trajectory_id, arg_min({'gap': gap, 'level': level}, {'o': l_orderkey, 's': seed}) AS f FROM runs GROUP BY 1), per AS (SELECT trajectory_id, f.gap AS gap, f.level AS level FROM first_)"
+FIRST = "first_ AS (SELECT trajectory_id, arg_min({'gap': gap, 'level': level}, {'o': l_orderkey, 's': seed, 'g': gap, 'l': level}) AS f FROM runs GROUP BY 1), per AS (SELECT trajectory_id, f.gap AS gap, f.level AS level FROM first_)"
 LEVEL = "CASE WHEN level < 0.03 THEN 'low' WHEN level < 0.07 THEN 'mid' ELSE 'high' END"
 
 
 def per_trajectory(s, d):
     """The first row of each trajectory, with its stratum on both axes."""
-    f = runs(s, d).groupBy("trajectory_id").agg(F.min_by(F.struct("gap", "level"), F.struct("l_orderkey", "seed")).alias("f")).select("trajectory_id", "f.gap", "f.level")
+    f = runs(s, d).groupBy("trajectory_id").agg(F.min_by(F.struct("gap", "level"), F.struct("l_orderkey", "seed", "gap", "level")).alias("f")).select("trajectory_id", "f.gap", "f.level")
     return f.withColumns({"stratum": stratum(), "level_stratum": S.bins(F.col("level"), [(0.03, "low"), (0.07, "mid")], "high")})
 
 
