@@ -181,33 +181,48 @@ def reach(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     return all_.groupBy("source", "node_id").agg(F.min(F.struct("distance", "hops")).alias("m")).select("source", "node_id", "m.distance", "m.hops")
 
 
-def distances(edges: DataFrame, sources: DataFrame, width: float = 8.0) -> DataFrame:
-    """(source, node_id, distance) of all nodes that can be reached, over any number of edges.
+#: Hops between two checkpoints of a search.
+HOPS = 6
+
+
+def distances(edges: DataFrame, sources: DataFrame, width: float = 12.0, together: bool = False) -> DataFrame:
+    """(source, node_id, distance) of all nodes that can be reached, over any number of edges; ``together`` counts all sources
+    as one, numbered 0.
 
     Nodes are relaxed in buckets of ``width`` times the mean edge length: the nodes of the nearest open bucket go out until
-    none of it improves, then the next bucket follows. Labels of each round are written, and the loop ends when no node
-    waits. A round moves the waiting nodes and their edges only."""
+    none of it improves, then the next bucket follows. Labels are written every ``HOPS`` hops, and the loop ends when no node
+    waits. A hop moves the waiting nodes and their edges only."""
     steps = durable(edges.select(F.col("a").alias("node_id"), F.col("b"), length().alias("len")))
     mean = steps.agg(F.avg("len")).first()[0] or 1.0
     bucket = max(mean * width, 1e-9)
-    label = durable(sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0.0).alias("distance"), F.lit(True).alias("waits")).distinct())
-    while True:
-        least = label.filter("waits").agg(F.min("distance")).first()[0]
-        if least is None:
-            return label.drop("waits")
-        goes = F.col("waits") & (F.col("distance") < (int(least / bucket) + 1) * bucket)
+    source = F.lit(0).cast("bigint") if together else F.col("node_id")
+    label = durable(sources.select(source.alias("source"), "node_id", F.lit(0.0).alias("distance"), F.lit(True).alias("waits")).distinct())
+    def relaxed(label: DataFrame, end: float) -> DataFrame:
+        goes = F.col("waits") & (F.col("distance") < end)
         out = label.filter(goes).join(steps, "node_id").select("source", F.col("b").alias("node_id"), (F.col("distance") + F.col("len")).alias("d"), F.lit(True).alias("new"))
         kept = label.select("source", "node_id", F.col("distance").alias("d"), F.lit(False).alias("new"), (F.col("waits") & ~goes).alias("w"))
         both = kept.unionByName(out, allowMissingColumns=True).groupBy("source", "node_id").agg(F.min("d").alias("distance"), F.min(F.when(~F.col("new"), F.col("d"))).alias("was"), F.max("w").alias("w"))
         waits = F.coalesce("w", F.lit(False)) | F.col("was").isNull() | (F.col("distance") < F.col("was"))
-        label = durable(both.select("source", "node_id", "distance", waits.alias("waits")))
+        return both.select("source", "node_id", "distance", waits.alias("waits"))
+
+    while True:
+        least = label.filter("waits").agg(F.min("distance")).first()[0]
+        if least is None:
+            return label.drop("waits")
+        for _ in range(HOPS):
+            label = relaxed(label, (int(least / bucket) + 1) * bucket)
+        label = durable(label)
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """(source, target, seq, edge_id, a, b, distance): the edges of the shortest way to each target that can be reached, in
     order from 0; of equally short ways the one whose last edges have the lowest ids. ``distance`` is that of the edge's end.
 
-    The edge before a node is recovered from the distances, then all ways are walked back at once, an edge a round."""
+    The search keeps to nodes from which a target can be reached, found from the targets first. The edge before a node is
+    recovered from the distances, then all ways are walked back at once, ``HOPS`` edges a round."""
+    turned = edges.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b"), F.col("tx").alias("ax"), F.col("ty").alias("ay"), F.col("ax").alias("tx"), F.col("ay").alias("ty"))
+    useful = distances(turned, targets.select("node_id").distinct(), together=True).select(F.col("node_id").alias("b"))
+    edges = durable(edges.join(useful, "b", "left_semi"))
     far = distances(edges, sources)
     a = far.select("source", F.col("node_id").alias("a"), F.col("distance").alias("da"))
     b = far.select("source", F.col("node_id").alias("b"), F.col("distance").alias("db"))
@@ -216,11 +231,14 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, tol
     at = durable(far.join(targets.select("node_id").distinct(), "node_id").filter(F.col("node_id") != F.col("source")).select("source", F.col("node_id").alias("target"), F.col("node_id").alias("b")))
     found, back = None, 0
     while not at.isEmpty():
-        step = durable(at.join(before, ["source", "b"]).select("source", "target", F.lit(back).cast("bigint").alias("back"), "edge_id", "a", "b", F.col("db").alias("distance")))
-        found = step if found is None else found.unionByName(step)
-        if back % 16 == 15:
-            found = durable(found)
-        at, back = step.filter(F.col("a") != F.col("source")).select("source", "target", F.col("a").alias("b")), back + 1
+        round_, ends = None, at
+        for _ in range(HOPS):
+            step = ends.join(before, ["source", "b"]).select("source", "target", F.lit(back).cast("bigint").alias("back"), "edge_id", "a", "b", F.col("db").alias("distance"))
+            round_ = step if round_ is None else round_.unionByName(step)
+            ends, back = step.filter(F.col("a") != F.col("source")).select("source", "target", F.col("a").alias("b")), back + 1
+        round_ = durable(round_)
+        at = round_.filter((F.col("back") == back - 1) & (F.col("a") != F.col("source"))).select("source", "target", F.col("a").alias("b"))
+        found = round_ if found is None else found.unionByName(round_)
     if found is None:
         return before.limit(0).select("source", F.col("b").alias("target"), F.lit(0).cast("bigint").alias("seq"), "edge_id", "a", "b", F.col("db").alias("distance"))
     longest = Window.partitionBy("source", "target")
