@@ -92,3 +92,32 @@ def test_ties_and_repeated_rows(spark):
     for r in op.op10_quality_scores(docs, labels).collect():
         scores.setdefault(r.doc_id, set()).add(round(r.score, 9))
     assert len(scores) == 151 and all(len(v) == 1 for v in scores.values())
+
+
+def test_memory_of_scored_batches_is_bounded():
+    """A batch of texts needs the memory of one block, not of its own size or of 2 MB of text at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"labelled": list(range(4000)), "text": ["some words of a text, " * 50] * 4000})
+    op.features(np.zeros(1 << 22, np.uint8), np.array([0, 1 << 22]))  # tables of powers are made
+    tracemalloc.start()
+    assert sum(b.num_rows for b in op._feature_rows(iter([batch]))) == 4000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20, peak
+
+
+def test_texts_of_the_sample_stay_where_they_are_read(spark):
+    """Numbers, not texts, go to the one task that ends the sample."""
+    rows = corpus(200)
+    docs, labels = tables(spark, rows)
+    kind = type(docs)
+    plans, collect = [], kind.toPandas
+    try:
+        kind.toPandas = lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or collect(self)
+        op.train(docs, labels)
+    finally:
+        kind.toPandas = collect
+    assert len(plans) == 1 and 0 <= plans[0].find("GlobalLimit") < plans[0].find("MapInArrow")

@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .shared import LOWER, SPACE, blocks, fold, free_name, owner, prefix_hash, runs, span_hash
 
 SAMPLE, HIDDEN, STEPS, THRESHOLD = 8000, 24, 900, 0.3
+#: Bytes of text looked at together: numpy needs some fifty times as much.
+BLOCK = 1 << 19
 
 _CLASS = np.zeros((8, 256), bool)
 _CLASS[0, 65:91] = True  # upper case
@@ -154,7 +156,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def _feature_rows(batches):
     for batch in batches:
-        for part, data, offsets in blocks(batch, "text"):
+        for part, data, offsets in blocks(batch, "text", BLOCK):
             x = features(data, offsets)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["labelled", "x"])
 
@@ -174,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = grade(F.xxhash64("i", "text"), 2) < sample / counts.m
     both = marked.select(F.array(F.col("l").isNotNull(), drawn).alias("kind"), "text").filter("kind[0] or kind[1]")
     split = both.select(F.explode(F.when(F.col("kind")[0] & F.col("kind")[1], F.array(F.lit(1), F.lit(0))).when(F.col("kind")[0], F.array(F.lit(1))).otherwise(F.array(F.lit(0)))).alias("labelled"), "text")
-    # the shares above give about `sample` rows of each kind; the limit holds where one row or label repeats without end
-    got = split.limit(6 * sample).mapInArrow(_feature_rows, "labelled int, x array<float>").toPandas()
+    # the shares above give about `sample` rows of each kind; the limit holds where one row or label repeats without end.
+    # Texts become numbers where they are read, so that no task gets the texts of all
+    got = split.mapInArrow(_feature_rows, "labelled int, x array<float>").limit(6 * sample).toPandas()
     if not len(got):
         return None
     x, is_p = np.stack(got["x"].to_numpy()).astype(np.float64), got["labelled"].to_numpy() == 1
@@ -194,7 +197,7 @@ def with_score(docs: DataFrame, network: Network | None, text_col: str = "text",
 
     def rows(batches):
         for batch in batches:
-            for part, data, offsets in blocks(batch, text_col):
+            for part, data, offsets in blocks(batch, text_col, BLOCK):
                 x = features(data, offsets)
                 score = network.score(x) if network is not None else np.full(len(x), 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, score_col])
