@@ -114,3 +114,48 @@ def test_time_grows_with_the_length(spark):
         assert op9_license_scan(df).collect()[0].labels.startswith("licensed,mit")
         took.append(time.perf_counter() - start)
     assert took[1] < 30 * took[0]  # eight times the text; 64 were quadratic
+
+
+def test_every_match_holds_what_the_rule_needs():
+    """All spellings of every rule, optional parts present and absent: keyword, beginning and a stem are in each."""
+    from itertools import islice, product
+    from re import _parser
+
+    from wayfold.llm.op9_licenses import STEMS, needed
+
+    def spellings(items):
+        parts = []
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                parts.append([chr(arg)])
+            elif name == "NOT_LITERAL":
+                parts.append(["x"])
+            elif name == "IN":
+                parts.append([chr(a) if str(kind) == "LITERAL" else chr(a[0]) for kind, a in arg])
+            elif name == "BRANCH":
+                parts.append([x for branch in arg[1] for x in spellings(branch)])
+            elif name == "MAX_REPEAT":
+                inner = spellings(arg[2])
+                parts.append(([""] if arg[0] == 0 else []) + [x * max(1, arg[0]) for x in inner])
+            elif name == "SUBPATTERN":
+                parts.append(spellings(arg[3]))
+            else:
+                raise ValueError(name)
+        return ["".join(x) for x in islice(product(*parts), 5000)]
+
+    for label, key, pattern in rules():
+        for x in spellings(_parser.parse(pattern)):
+            text = f" {x} "
+            assert key in text and needed(key, pattern) in text and any(s in x for s in STEMS), (label, x)
+    assert all(any(s in p for s in STEMS) for p in BASE)
+
+
+def test_few_texts_pass_the_gate_and_fewer_get_rules(spark):
+    """Words that merely begin like a licence's name do not cost a scan: the German 'mit' is no licence, 'x11 license' is."""
+    from wayfold.llm.op9_licenses import scan
+
+    texts = ["wir kommen mit dem zug " * 50, "simple examples accent", "under the x11 license", "released under the expat license"]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got[0].norm is None and got[1].hits is None
+    assert "mit" in {h.label for h in got[2].hits} & {h.label for h in got[3].hits}
