@@ -63,6 +63,17 @@ def test_band_join_equals_brute_force(spark):
     assert got == sorted((x, y) for x in left for y in right if abs(x - y) <= 7)
 
 
+def test_sites_at_one_place_are_looked_up_once(spark, monkeypatch):
+    """300 sites at three places: what the rings join is the three places, and the lowest id speaks for each."""
+    written, durable = [], M.durable
+    monkeypatch.setattr(M, "durable", lambda df: written.append(durable(df)) or written[-1])
+    sites = spark.createDataFrame([(i, (i % 3) * 10, 0) for i in range(7, 307)], "sensor_id long, x long, y long")
+    points = spark.createDataFrame([(0, 1, 0), (1, 12, 3), (2, 900, 0)], "id long, x long, y long")
+    got = {r.id: (r.sensor_id, r.d2) for r in M.nearest_site(points, sites).collect()}
+    assert got == {0: (9, 1.0), 1: (7, 13.0), 2: (8, 774400.0)}
+    assert written[0].count() == 3
+
+
 def test_nearest_site_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     pts = [(i, *map(int, rng.integers(-100, 100, 2))) for i in range(60)] + [(60, 5000, -4000), (61, 5000, -4000)]
