@@ -1,12 +1,15 @@
 """Matching operators against brute force on small inputs."""
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from wayfold.operators import assignment as A
+from wayfold.operators import blocks as B
+from wayfold.operators import graph as G
 from wayfold.operators import matching as M
 
 
@@ -74,6 +77,41 @@ def test_sites_at_one_place_are_looked_up_once(spark, monkeypatch):
     assert written[0].count() == 3
 
 
+def test_blocks_bring_every_pair_together_once(spark):
+    import pyarrow as pa
+
+    a = spark.createDataFrame([(i % 3, i) for i in range(200)], "k long, a long")
+    b = spark.createDataFrame([(i % 4, i) for i in range(90)], "k long, b long")
+
+    def pairs(x, y):
+        assert len(x) <= 60 and len(y) <= 40, (len(x), len(y))
+        return pa.table({"a": np.repeat(x["a"].to_numpy(), len(y)), "b": np.tile(y["b"].to_numpy(), len(x))})
+
+    got = sorted((r.a, r.b) for r in B.meet_in_blocks(a, b, ["k"], pairs, "a bigint, b bigint", 20, 10).collect())
+    assert got == sorted((i, j) for i in range(200) for j in range(90) if i % 3 == j % 4)
+
+
+def test_snap_lists_no_samples_and_leaves_far_edges_out(spark, monkeypatch):
+    """Edges of a million samples each, and a thousand edges out of sight: nearest samples by brute force over those near."""
+    monkeypatch.setattr(G, "samples", None)
+    joined, meet = [], G.meet_in_blocks
+    monkeypatch.setattr(G, "meet_in_blocks", lambda p, e, *rest: joined.append(e.count()) or meet(p, e, *rest))
+    near = [(1, 0.0, 0.0, 500_000.0, 0.0), (2, 0.0, 7.0, 30.0, 7.0), (3, 0.0, 0.0, 0.0, 7.3)]
+    far = [(10 + i, 1e6 + 30 * i, 9e5, 1e6 + 30 * i, 9e5 + 20) for i in range(1000)]
+    edges = spark.createDataFrame(near + far, "edge_id long, ax double, ay double, tx double, ty double")
+    at = [(1, 3.3, 2.0), (2, 3.3, 5.0), (3, -2.0, 3.6), (4, 60.0, 40.0), (5, 3.25, 3.5)]
+    got = {r.id: (r.edge_id, r.r) for r in G.snap(spark.createDataFrame(at, "id long, x double, y double"), edges).collect()}
+    want = {}
+    for i, x, y in at:
+        some = []
+        for edge, ax, ay, tx, ty in near:
+            size = math.hypot(tx - ax, ty - ay)
+            n = max(2, int(size / 0.5) + 1)
+            some += [(((ax + k / (n - 1) * (tx - ax)) - x) ** 2 + ((ay + k / (n - 1) * (ty - ay)) - y) ** 2, edge, k, k / (n - 1) * size) for k in range(min(n, 400))]
+        want[i] = (min(some)[1], min(some)[3])
+    assert got == want and max(joined) < 200, (got, want, joined)
+
+
 def test_nearest_site_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     pts = [(i, *map(int, rng.integers(-100, 100, 2))) for i in range(60)] + [(60, 5000, -4000), (61, 5000, -4000)]
