@@ -137,3 +137,12 @@ def test_empty(spark):
     none = spark.createDataFrame([], "k string, i int, v double")
     assert R.positions(none, ["k"], ["i"]).count() == 0 and R.smoothed(none, ["k"], ["i"], "v", 0.5, "y").count() == 0
     assert Q.rolling_quantile(none, ["k"], ["i"], "v", 9, 0.5, "q").count() == 0
+
+
+def test_places_hold_in_a_union_and_in_fewer_tasks(spark, split):
+    """In a union the second side's tasks have other numbers than its partitions; after coalesce a task reads several."""
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"))
+    at = R.positions(df, [], ["v"], "at")
+    assert at.rdd.getNumPartitions() > 1
+    for some in (df.select("v", F.lit(-1).cast("bigint").alias("at")).filter("v < 0").unionByName(at), at.coalesce(1), at.coalesce(2)):
+        assert [(r.v, r.at) for r in some.orderBy("v").collect()] == [(v, v + 1) for v in range(5000)]

@@ -17,7 +17,6 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +26,11 @@ from .store import durable
 Names = Sequence[str]
 
 
-def in_ranges(df: DataFrame, keys: Names, order: Names) -> DataFrame:
-    """Sorted by keys and order over all partitions; what follows may rely on partition numbers."""
-    return durable(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
+def in_ranges(df: DataFrame, keys: Names, order: Names, number: str | None = None) -> DataFrame:
+    """Sorted by keys and order over all partitions, whose numbers are the last column, if named: tasks that read them later
+    may have others."""
+    rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return durable(rows.withColumn(number, F.spark_partition_id()) if number else rows)
 
 
 def runs_of(batch: pa.RecordBatch, columns: Sequence[int]) -> np.ndarray:
@@ -81,14 +82,16 @@ def _key(batch: pa.RecordBatch, columns: Sequence[int], row: int) -> bytes:
 
 
 def _edges(rule: Recursion, columns: Sequence[int], value: int | None):
-    """(partition, number of runs, first key, first map, last key, last map) of a partition."""
+    """(partition, number of runs, first key, first map, last key, last map) of a partition, which is numbered in the last
+    column."""
 
     def run(batches):
         first = last = None  # [key, map]
-        n = 0
+        n = p = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
+            p = batch.column(batch.num_columns - 1)[0].as_py()
             starts, x = runs_of(batch, columns), _values(batch, value)
             for k in {0, len(starts) - 1}:  # runs between are whole within this partition
                 a, b = int(starts[k]), int(starts[k + 1]) if k + 1 < len(starts) else batch.num_rows
@@ -102,7 +105,7 @@ def _edges(rule: Recursion, columns: Sequence[int], value: int | None):
                     last = [key, made]
                     first = first or last
         if first:
-            yield pa.RecordBatch.from_pylist([{"p": TaskContext.get().partitionId(), "n": n, "edges": pickle.dumps((first, last))}])
+            yield pa.RecordBatch.from_pylist([{"p": p, "n": n, "edges": pickle.dumps((first, last))}])
 
     return run
 
@@ -123,11 +126,22 @@ def _carried(rule: Recursion, rows: DataFrame, columns: Sequence[int], value: in
 
 
 def _along(rule: Recursion, carried: dict[int, float | None], columns: Sequence[int], value: int | None, kind: pa.DataType, out: str):
-    def run(batches):
-        last, y, begun = None, carried.get(TaskContext.get().partitionId()), TaskContext.get().partitionId() in carried
+    def partitions(batches):
+        """Batches without the last column, which numbers the partition the rows were sorted in: the task that reads them may
+        have another number (in a union) or read several of them."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            p = batch.column(batch.num_columns - 1).to_numpy()
+            starts = np.flatnonzero(np.append(True, p[1:] != p[:-1])[: len(p)])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(p)]):
+                part = batch.slice(a, b - a)
+                yield int(p[a]), pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+
+    def run(batches):
+        at = last = y = None
+        begun = False
+        for p, batch in partitions(batches):
+            if p != at:
+                at, last, y, begun = p, None, carried.get(p), p in carried
             starts, x = runs_of(batch, columns), _values(batch, value)
             ends = np.append(starts[1:], batch.num_rows)
             made = np.empty(batch.num_rows)
@@ -145,11 +159,11 @@ def _along(rule: Recursion, carried: dict[int, float | None], columns: Sequence[
 
 
 def _scan(df: DataFrame, rule: Recursion, keys: Names, order: Names, value: str | None, kind: T.DataType, arrow: pa.DataType, out: str) -> DataFrame:
-    rows = in_ranges(df, keys, order)
+    rows = in_ranges(df, keys, order, "_part")
     columns = [rows.columns.index(k) for k in keys]
     at = None if value is None else rows.columns.index(value)
     carried = _carried(rule, rows, columns, at)
-    return rows.mapInArrow(_along(rule, carried, columns, at, arrow, out), T.StructType([*rows.schema.fields, T.StructField(out, kind)]))
+    return rows.mapInArrow(_along(rule, carried, columns, at, arrow, out), T.StructType([*rows.schema.fields[:-1], T.StructField(out, kind)]))
 
 
 def positions(df: DataFrame, keys: Names, order: Names, out: str = "pos") -> DataFrame:
